@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def doc_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes:
     """Slices of the batches holding about ``max_bytes`` of text each, with the texts as UTF-8 (null: empty)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray([0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()], np.int64)
+        sizes = np.asarray([0 if n is None else n for n in pc.binary_length(column).to_pylist()], np.int64)
         start = 0
         while start < batch.num_rows:
             total = np.cumsum(sizes[start:])
