@@ -91,31 +91,53 @@ def decode(model: LanguageModel, f: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
 
+def predict_texts(model: LanguageModel, scores: WordScores, raw: list[bytes]) -> list[tuple[str, float, bool]]:
+    texts = [t.decode("utf-8", "replace") for t in raw]
+    if not model.languages:
+        return [("und", 0.0, False)] * len(texts)
+    words = [words_of(t) for t in texts]
+    count = np.array([len(w) for w in words], np.int64)
+    flat, doc = scores(words), np.repeat(np.arange(len(texts)), count)
+    f = SCALE * np.stack([np.bincount(doc, weights=flat[:, c], minlength=len(texts)) for c in range(flat.shape[1])], axis=1) / np.maximum(count, 1)[:, None] + model.bias
+    known = [_LETTER.search(t) is not None for t in texts]
+    return [(model.languages[b], float(s), bool(c)) if k else ("und", 0.0, False) for k, b, s, c in zip(known, *decode(model, f))]
+
+
 def _predict(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(model.table, GRAMS)
         for part, raw in doc_chunks(batches):
-            texts = [t.decode("utf-8", "replace") for t in raw]
-            words = [words_of(t) for t in texts]
-            count = np.array([len(w) for w in words], np.int64)
-            flat, doc = scores(words), np.repeat(np.arange(len(texts)), count)
-            f = SCALE * np.stack([np.bincount(doc, weights=flat[:, c], minlength=len(texts)) for c in range(flat.shape[1])], axis=1) / np.maximum(count, 1)[:, None] + model.bias
-            best, score, close = decode(model, f) if model.languages else (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool))
-            known = [bool(model.languages) and _LETTER.search(t) is not None for t in texts]
-            rows = [(model.languages[b], float(s), bool(c)) if k else ("und", 0.0, False) for k, b, s, c in zip(known, best, score, close)]
+            rows = predict_texts(model, scores, raw)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(_OUT)[2:]))], schema=_OUT)
 
     return run
 
 
+def predictor(model: LanguageModel):
+    """A column function: (lang_pred, score, ambiguous) of each text, for filters that keep the other columns in place."""
+    kind = pa.struct([_OUT.field(i) for i in (2, 3, 4)])
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = WordScores(model.table, GRAMS)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([batch], names=["text"])
+            found = [r for _, raw in doc_chunks([rows]) for r in predict_texts(model, scores, raw)]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in found], kind.field(i).type) for i in range(3)], fields=list(kind))
+
+    return predict
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, folds: int = 3, fold: int = 1) -> LanguageModel:
     """Fit on at most ``per_language`` documents of each language outside the held-out fold, chosen by hash."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
-    order = F.struct(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("doc_id"))
-    # the languages' smallest hashes, merged map-side: bounded by languages x per_language
-    cut = known.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(id_col).alias("n"))
-    chosen = known.join(F.broadcast(cut), known[lang_col] == cut["lang"]).filter(F.pmod(order["h"], F.lit(1 << 30)) < F.lit(float(1 << 30)) * 1.5 * per_language / F.col("n"))
-    sample = chosen.select("lang", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).orderBy("h", "doc_id").collect()
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row a language
+    if not sizes:
+        return train([], [])
+    # a share of the hash range that holds half as many again as are wanted; the smallest hashes of it are used
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.5 * per_language / r["count"])])
+    picked = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.element_at(share, F.col(lang_col)))
+    sample = picked.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h")).orderBy("h", "doc_id", "text").collect()
     kept: dict[str, list[str]] = {}
     for row in sample:
         if len(mine := kept.setdefault(row.lang, [])) < per_language:

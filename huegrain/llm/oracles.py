@@ -26,5 +26,15 @@ WITH n AS (
          first_value(doc_id) OVER (PARTITION BY bare ORDER BY n_chars DESC, doc_id) AS keep_id FROM n
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM r
+""",
+    "op8_chat_format": """
+WITH t AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+  FROM conversations GROUP BY conv_id
+), u AS (SELECT said, min(conv_id) AS conv_id, min(rendered) AS rendered, count(*) AS n_copies, said[1] AS opening FROM t GROUP BY said)
+SELECT a.conv_id, CAST(len(a.said) AS BIGINT) AS n_turns, a.n_copies, a.rendered
+FROM u a
+WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.opening = a.opening AND len(b.said) > len(a.said) AND b.said[1:len(a.said)] = a.said)
 """,
 }

@@ -14,7 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: query name -> (module, function), imported when the query is asked for
 CONTRACTS = {
     "op1_line_dedup": ("contracts", "op1"),
+    "op2_retrieval_packing": ("contracts", "op2"),
+    "op3_ngram_jaccard": ("contracts", "op3"),
+    "op4_bpe_words": ("contracts", "op4"),
+    "op5_toxicity": ("contracts", "op5"),
     "op6_exact_dedup": ("contracts", "op6"),
+    "op7_license_scan": ("contracts", "op7"),
+    "op8_chat_format": ("contracts", "op8"),
+    "op9_language_id": ("contracts", "op9"),
+    "op10_order_minhash": ("contracts", "op10"),
 }
 
 

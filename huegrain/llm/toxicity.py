@@ -101,6 +101,20 @@ def score_texts(words: list[list[str]], scores: WordScores, bias: float, segment
     return _sigmoid(logit)
 
 
+def scorer(model: ToxicityModel):
+    """A column function: the score of each text, for filters that keep the other columns in place."""
+    table, bias, segment = model.table(), model.bias, model.segment
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = WordScores(table, GRAMS)
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([batch], names=["text"])
+            yield pa.array(np.concatenate([score_texts([words_of(t.decode("utf-8", "replace")) for t in texts], scores, bias, segment) for _, texts in doc_chunks([rows])] or [np.zeros(0)]))
+
+    return score
+
+
 def _score(table: np.ndarray, bias: float, segment: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
