@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -91,3 +92,15 @@ class Memo(dict):
             self.clear()
         self[key] = value = self._fill(key)
         return value
+
+
+def in_one_task(sample: DataFrame, fit, order: str = "doc_id"):
+    """``fit`` over the rows (dicts) of a sample of bounded size, run on an executor: neither the driver's memory nor its
+    time grows with a model's training, and a lost executor only repeats the task. Returns what ``fit`` returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions(order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([])

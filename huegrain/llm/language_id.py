@@ -19,11 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, text_input
+from .common import doc_chunks, in_one_task, text_input
 from .toxicity import held_out
 from .wordbag import Adam, Vocabulary, WordScores, features, scatter_means, word_means, words_of
 
-GRAMS = (1, 2, 3, 4)
+GRAMS = (1, 2, 3)
 SCALE = 20.0
 _LETTER = regex.compile(r"\p{L}")
 
@@ -50,7 +50,7 @@ class LanguageModel:
     margin: float
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, epochs: int = 40, margin: float = 0.15) -> LanguageModel:
+def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, epochs: int = 30, margin: float = 0.15) -> LanguageModel:
     names = tuple(sorted(set(langs)))
     codes = codewords(len(names))
     table, bias = np.zeros((buckets, codes.shape[1])), np.zeros(codes.shape[1])
@@ -128,7 +128,7 @@ def predictor(model: LanguageModel):
     return predict
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, folds: int = 3, fold: int = 1) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, folds: int = 3, fold: int = 1) -> LanguageModel:
     """Fit on at most ``per_language`` documents of each language outside the held-out fold, chosen by hash."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold))
     sizes = known.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row a language
@@ -137,12 +137,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # a share of the hash range that holds half as many again as are wanted; the smallest hashes of it are used
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.5 * per_language / r["count"])])
     picked = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.element_at(share, F.col(lang_col)))
-    sample = picked.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h")).orderBy("h", "doc_id", "text").collect()
-    kept: dict[str, list[str]] = {}
-    for row in sample:
-        if len(mine := kept.setdefault(row.lang, [])) < per_language:
-            mine.append(row.text)
-    return train([t for x in kept.values() for t in x], [k for k, x in kept.items() for _ in x])
+    sample = picked.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("h"))
+
+    def kept(rows: list[dict]) -> LanguageModel:
+        texts: dict[str, list[str]] = {}
+        for row in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"])):
+            if len(mine := texts.setdefault(row["lang"], [])) < per_language:
+                mine.append(row["text"])
+        return train([t for name in sorted(texts) for t in texts[name]], [name for name in sorted(texts) for _ in texts[name]])
+
+    return in_one_task(sample, kept)
 
 
 def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, fold: int = 1) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, text_input
+from .common import doc_chunks, in_one_task, text_input
 from .wordbag import Adam, Vocabulary, WordScores, features, scatter_means, word_means, words_of
 
 GRAMS = (3, 4, 5)
@@ -131,13 +131,13 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, folds: int = 5, fold: int = 0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, folds: int = 5, fold: int = 0) -> ToxicityModel:
     """Fit on at most ``per_class`` toxic and twice as many other labelled documents outside the held-out fold, chosen by hash."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col, folds, fold)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
     chosen = known.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(known.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class))
-    # at most 3 per_class ids; the sample's texts are the only ones that leave the executors
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(3 * per_class).collect()
-    return train([r.text for r in sample], np.array([r.label for r in sample]))
+    # at most 3 per_class ids
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return in_one_task(sample, lambda rows: train([r["text"] for r in rows], np.array([r["label"] for r in rows], int)))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 0) -> DataFrame:
