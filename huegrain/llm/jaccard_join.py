@@ -5,10 +5,11 @@ Two sets with Jaccard likeness of at least pct/100 share a token in their prefix
 all documents) and breaks ties by its own hash. The first order's prefixes are an inverted index; a candidate pair must also
 share a prefix token under each further order before its whole sets are compared.
 
-Identical sets are one class beforehand. Then two rounds: every class is compared with the smallest class of each index
-token; what that links is one component. Pairs of classes that share a token but are in different components are all
-compared in the second round, so no link between components is lost, while the pairs inside a group of near copies are
-never listed.
+Identical sets are one class beforehand. Then every class is compared with one class of each index token, its lead; what
+that links is one component. While the pairs that share a token across components outnumber the tokens, this is done again
+with other leads, on the tokens whose classes are in several components. In the end all pairs that share a token and are in
+different components are compared, so no link between components is lost, while the pairs inside a group of near copies
+are never listed.
 
 Defined cases: null, empty or wordless text has an empty set and no links; a text of fewer than ``words`` words has its
 whole sequence as one shingle; rows are told apart by position, so an id may repeat; extra columns are ignored. Shingles
@@ -139,7 +140,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int
     return materialize(rows.select("a", "b", "text").mapInArrow(_verify(k, pct), "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 2) -> DataFrame:
     """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component."""
     src = text_input(docs, id_col, text_col)
     spread = src.select("doc_id", "text").mapInArrow(_count_slots(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -154,21 +155,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = rows.join(whole.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
     tokens = sets.select(F.explode("index").alias("token"), "row_id", "n")
     near = lambda x, y: (100 * F.least(x, y) >= pct * F.greatest(x, y))
-    lead = tokens.groupBy("token").agg(F.min(F.struct("row_id", "n")).alias("lead"), F.count("*").alias("many")).filter("many > 1").select("token", "lead")
-    shared = materialize(tokens.join(lead, "token"), "shared_tokens")  # the tokens that two classes have
-    star = shared.filter((F.col("row_id") != F.col("lead.row_id")) & near(F.col("n"), F.col("lead.n"))).select(F.col("lead.row_id").alias("a"), F.col("row_id").alias("b")).distinct()
-    star = materialize(star, "star")
-    links = _checked(star, sets, words, pct)
-    roots = materialize(components(links), "roots")
-    part = shared.select("token", "row_id", "n").join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("token", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
-    part = materialize(part, "token_roots")
-    split = part.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    open_ = materialize(part.join(split, "token", "left_semi"), "open_tokens")
-    x, y = open_.alias("x"), open_.select("token", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).alias("y")
-    rest = x.join(y, "token").filter((F.col("row_id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb"))).select(F.col("row_id").alias("a"), "b").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_checked(materialize(rest, "rest"), sets, words, pct))
-    roots = materialize(components(links), "roots")
+    many = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
+    shared = materialize(tokens.join(many, "token"), "shared_tokens")  # the tokens that two classes have
+    budget = shared.count()
+    links = tested = roots = None
+    open_ = shared.withColumn("root", F.col("row_id"))
+    for turn in range(rounds + 1):
+        cells = open_.groupBy("token", "root").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+        last = turn == rounds or (cells.agg(F.sum("pairs")).first()[0] or 0) <= budget
+        if last:
+            other = open_.select("token", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            pairs = open_.join(other, "token").filter((F.col("row_id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb")))
+        else:  # the same order of classes for all tokens, so that the leads of a group of near copies are few
+            lead = open_.groupBy("token").agg(F.min_by(F.struct("row_id", "n", "root"), F.struct(F.xxhash64("row_id", F.lit(turn)), "row_id")).alias("lead"))
+            pairs = open_.join(materialize(lead, "leads"), "token").filter((F.col("root") != F.col("lead.root")) & near(F.col("n"), F.col("lead.n")))
+            pairs = pairs.select(F.least("row_id", "lead.row_id").alias("row_id"), F.greatest("row_id", "lead.row_id").alias("b"))
+        pairs = pairs.select(F.col("row_id").alias("a"), "b").distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = _checked(pairs, sets, words, pct)
+        links = found if links is None else links.unionByName(found)
+        roots = materialize(components(links), "roots")
+        if last:
+            break
+        part = shared.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("token", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
+        part = materialize(part, "token_roots")
+        split = part.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+        open_ = materialize(part.join(split, "token", "left_semi"), "open_tokens")
     return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("root"))
 
 
