@@ -93,7 +93,7 @@ def _frequencies(vocabulary: set[bytes]):
 _OUT = pa.schema([("id", pa.int64()), ("path", pa.string()), ("own", pa.string()), ("score", pa.float64()), ("whole", pa.bool_())])
 
 
-def _scan(matcher: Matcher, least: float):
+def _scan(matcher: Matcher, least: float, entire_least: float):
     telling = matcher.telling()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def _scan(matcher: Matcher, least: float):
                     lines = low.split(b"\n")
                     best = max((matcher.nearest(x) for x in lines if telling.search(x)), key=lambda x: x[1], default=best)
                     entire = matcher.nearest(low)
-                    whole = entire[1] >= least
+                    whole = entire[1] >= entire_least
                     best = entire if entire[1] > best[1] else best
                 own = best[0] if best[1] >= least else None
                 rows.append((i, path, own, round(best[1], 6), whole))
@@ -114,13 +114,14 @@ def _scan(matcher: Matcher, least: float):
     return run
 
 
-def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.6) -> DataFrame:
-    """(id, path, license, score, how, from_path): how is header, file, inherited or none."""
+def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.6, entire_least: float = 0.9) -> DataFrame:
+    """(id, path, license, score, how, from_path): how is header, file, inherited or none. A file named like a licence, or
+    whose whole text is within ``entire_least`` of a template, is a licence file; other notices need ``least``."""
     templates = templates or TEMPLATES
     src = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("binary").alias("text"))
     counts = src.mapInArrow(_frequencies(Matcher.vocabulary(templates)), "word binary, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()  # the templates' words only
     matcher = Matcher(templates, {bytes(r.word): r.df for r in counts}, max((r.df for r in counts), default=0))
-    scanned = materialize(src.mapInArrow(_scan(matcher, least), "id long, path string, own string, score double, whole boolean"), "scanned")
+    scanned = materialize(src.mapInArrow(_scan(matcher, least, entire_least), "id long, path string, own string, score double, whole boolean"), "scanned")
     parent = F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"/?[^/]*$", ""))
     scanned = scanned.withColumn("dir", parent).withColumn("is_file", F.coalesce(F.col("own").isNotNull() & (F.col("whole") | F.col("path").rlike(_FILE)), F.lit(False)))
     held = scanned.filter("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own")).alias("best"))
