@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Documents are cut into words (runs without white space; no pre-token of the tokenizer crosses white space) and written as
-blocks: a word list and, per document, positions into it. Each distinct word of the corpus is encoded once; its ids join
-the tokenizer's id-to-piece table to spell the word; ids and pieces then join back to each block's word list by position.
-Only word lists cross the network, never the documents.
+blocks: a sorted word list and, per document, positions into it. The lists meet by word, once: each distinct word of the
+corpus is encoded once, and its ids join back to each block's list by position. The ids that a block holds join the
+tokenizer's id-to-piece table, and its documents are decoded with what that join gives. Only word lists cross the network,
+never the documents.
 
 Defined cases: null text is encoded as empty (no ids, digests of nothing); special tokens' strings in a text become their
 ids, as in the tokenizers library; repeated rows give repeated rows; extra columns are ignored.
@@ -56,7 +57,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-_BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+_BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("codes", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
 
 
 def _blocks(max_words: int, max_bytes: int):
@@ -64,7 +65,9 @@ def _blocks(max_words: int, max_bytes: int):
         ids, counts, codes, seen, size = [], [], [], {}, 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([_pack(np.array(counts, np.uint32))]), pa.array([_pack(np.concatenate(codes) if codes else np.zeros(0, np.uint32))]), pa.array([list(seen)], pa.list_(pa.string()))], schema=_BLOCK)
+            words = sorted(seen)  # neighbours in a sorted list compress well
+            places = np.fromiter((seen[w] for w in words), np.uint32, len(words))
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([_pack(np.array(counts, np.uint32))]), pa.array([_pack(np.concatenate(codes) if codes else np.zeros(0, np.uint32))]), pa.array([_pack(places)]), pa.array([words], pa.list_(pa.string()))], schema=_BLOCK)
 
         for part, texts in doc_chunks(batches, max_bytes=1 << 20):
             for doc, text in zip(part.column(0).to_pylist(), texts):
@@ -81,43 +84,37 @@ def _blocks(max_words: int, max_bytes: int):
     return run
 
 
-def _encoder(path: str):
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        return pa.array([e.ids for e in tokenizer(path).encode_batch(words.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
-
-    return encode
-
-
 def pieces(spark, path: str) -> DataFrame:
     """(id, piece) of the whole vocabulary, special tokens too: as many rows as the tokenizer has, whatever the data."""
     return spark.createDataFrame([(i, p) for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()], "id int, piece string")
 
 
-_BACK = pa.schema([("block", pa.int64()), ("pos", pa.binary()), ("n_ids", pa.binary()), ("token_ids", pa.binary()), ("spelt", pa.binary())])
+_BACK = pa.schema([("block", pa.int64()), ("pos", pa.binary()), ("n_ids", pa.binary()), ("token_ids", pa.binary())])
 
 
-def _pack_back(max_rows: int = 200_000):
-    """One row per block and stretch of the word table: positions, ids and spellings, compressed together."""
+def _encode_sorted(path: str, max_rows: int = 200_000):
+    """Words come sorted, so each distinct one is encoded once. Gives one row per block and stretch of words: the positions
+    in the block's list and the ids, compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        n = 0
+        n, last = 0, (None, b"")
 
         def flush() -> pa.RecordBatch:
-            rows = []
-            for block, items in held.items():
-                items.sort(key=lambda x: x[0])
-                ids = [x[1] for x in items]
-                spelt = zstandard.compress("\n".join(x[2] for x in items).encode(), 3)
-                rows.append((block, _pack(np.array([x[0] for x in items], np.uint32)), _pack(np.array([len(x) for x in ids], np.uint32)), _pack(np.array([i for x in ids for i in x], np.uint32)), spelt))
+            rows = [(block, _pack(np.array([x[0] for x in items], np.uint32)), _pack(np.array([len(x[1]) // 4 for x in items], np.uint32)), _pack(np.frombuffer(b"".join([x[1] for x in items]), "<u4"))) for block, items in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BACK)], schema=_BACK)
 
         for batch in batches:
-            for block, *item in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(block, []).append(item)
-            if (n := n + batch.num_rows) >= max_rows:
+            words, blocks, places = (c.to_pylist() for c in batch.columns)
+            new = [w for w in dict.fromkeys(words) if w != last[0]]
+            ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer(path).encode_batch(new, add_special_tokens=False))}
+            ids.setdefault(*last)
+            for word, block, pos in zip(words, blocks, places):
+                held.setdefault(block, []).append((pos, ids[word]))
+            if words:
+                last = (words[-1], ids[words[-1]])
+            if (n := n + len(words)) >= max_rows:
                 yield flush()
                 n = 0
         if held:
@@ -126,6 +123,12 @@ def _pack_back(max_rows: int = 200_000):
     return run
 
 
+def _distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(_unpack(x)) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["block", "ids"])
+
+
 def _assemble(with_ids: bool):
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * with_ids
     schema = pa.schema(fields)
@@ -133,21 +136,22 @@ def _assemble(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids_of: dict[int, bytes] = {}
-                text_of: dict[int, str] = {}
+                places = _unpack(row["places"])
+                ids_of: list[bytes] = [b""] * len(places)
+                text_of: list[str] = [""] * len(places)
+                piece = {p["id"]: p["piece"] for p in row["pieces"] or ()}
                 for b in row["back"] or ():
                     flat, n = _unpack(b["token_ids"]), _unpack(b["n_ids"])
-                    raw, cut = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) * 4
-                    for pos, start, stop, spelt in zip(_unpack(b["pos"]).tolist(), cut[:-1].tolist(), cut[1:].tolist(), zstandard.decompress(b["spelt"]).decode().split("\n")):
-                        ids_of[pos] = raw[start:stop]
-                        if start < stop:
-                            text_of[pos] = spelt
+                    raw, spelt, cut = flat.astype("<u4").tobytes(), [piece[i] for i in flat.tolist()], np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).tolist()
+                    for pos, start, stop in zip(places[_unpack(b["pos"])].tolist(), cut[:-1], cut[1:]):
+                        ids_of[pos] = raw[4 * start : 4 * stop]
+                        text_of[pos] = " ".join(spelt[start:stop])
                 codes, at, out = _unpack(row["codes"]).tolist(), 0, []
                 for doc, n in zip(row["ids"], _unpack(row["counts"]).tolist()):
                     mine = codes[at : at + n]
                     at += n
                     ids = b"".join([ids_of[c] for c in mine])
-                    text = " ".join([text_of[c] for c in mine if c in text_of])
+                    text = " ".join([text_of[c] for c in mine if ids_of[c]])
                     out.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + ((np.frombuffer(ids, "<u4").tolist(), text) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -159,19 +163,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ``path`` must exist on the workers. The tokenizer must drop white space and decode by joining pieces with a space."""
     spark = docs.sparkSession
-    raw = text_input(docs, id_col, text_col).mapInArrow(_blocks(max_words, max_bytes), "ids array<long>, counts binary, codes binary, words array<string>")
+    raw = text_input(docs, id_col, text_col).mapInArrow(_blocks(max_words, max_bytes), "ids array<long>, counts binary, codes binary, places binary, words array<string>")
     blocks = materialize(raw.withColumn("block", F.monotonically_increasing_id()), "word_blocks")
-    # one exchange by word serves the table of distinct words and the join back to it
-    at = blocks.select("block", F.posexplode("words").alias("pos", "word")).repartition("word")
-    spelt = at.groupBy("word").agg(F.lit(1).alias("one")).select("word", _encoder(path)("word").alias("ids"))
-    table = (
-        spelt.select("word", F.posexplode_outer("ids").alias("i", "id"))
-        .join(F.broadcast(pieces(spark, path)), "id", "left")
-        .groupBy("word")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("i", "id", "piece")))).alias("s"))
-        .select("word", F.transform("s", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("s", lambda x: x["piece"]), " ").alias("spelt"))
-    )
-    back = at.join(table, "word").select("block", "pos", "ids", "spelt").mapInArrow(_pack_back(), "block long, pos binary, n_ids binary, token_ids binary, spelt binary")
-    back = back.groupBy("block").agg(F.collect_list(F.struct("pos", "n_ids", "token_ids", "spelt")).alias("back"))
+    at = blocks.select("block", F.posexplode("words").alias("pos", "word")).select("word", "block", "pos").repartition("word").sortWithinPartitions("word")
+    back = materialize(at.mapInArrow(_encode_sorted(path), "block long, pos binary, n_ids binary, token_ids binary"), "encoded")
+    held = back.select("block", "token_ids").mapInArrow(_distinct_ids, "block long, ids array<int>").select("block", F.explode("ids").alias("id")).distinct()
+    spelt = held.join(F.broadcast(pieces(spark, path)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))  # at most the vocabulary
+    parts = back.groupBy("block").agg(F.collect_list(F.struct("pos", "n_ids", "token_ids")).alias("back"))  # at most a block's words
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return blocks.select("block", "ids", "counts", "codes").join(back, "block", "left").mapInArrow(_assemble(with_ids), schema)
+    return blocks.select("block", "ids", "counts", "codes", "places").join(parts, "block", "left").join(spelt, "block", "left").mapInArrow(_assemble(with_ids), schema)
