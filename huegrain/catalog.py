@@ -219,13 +219,16 @@ _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, ar
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _ALL}
+    from .reports import ALL
+
+    return {f.__name__: f for f in [*_ALL, *ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
     from .plans.oracles import SQL
+    from .plans.report_oracles import SQL as REPORTS
 
-    return dict(SQL)
+    return {**SQL, **REPORTS}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

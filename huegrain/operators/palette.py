@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 
 MAX_COLORS = 5
+KINDS = ("MONO", "DOM_ACC", "DUAL_BAL", "MULTI_DOM", "MULTI_BAL")
+
+
+def _arrays(palette: DataFrame) -> DataFrame:
+    return palette.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("cluster_rank", "perc", "lab_l", "lab_a", "lab_b"))).alias("p"))
+
+
+def _groups(p: DataFrame, test: str, name: str) -> DataFrame:
+    """``p`` with an array column: the smallest position that each colour reaches."""
+    p = p.withColumn("near", F.expr(f"transform(sequence(0, size(p) - 1), i -> filter(sequence(0, size(p) - 1), j -> i = j OR {test}))"))
+    return p.withColumn(name, F.expr(f"aggregate(sequence(2, {MAX_COLORS}), sequence(0, size(p) - 1), (g, k) -> transform(near, ns -> array_min(transform(ns, j -> g[j]))))"))
 
 
 def merge_groups(palette: DataFrame, predicate: str | None = None) -> DataFrame:
     """(instance_id, cluster_rank, perc, lab_*, grp): the transitive closure of a pair predicate within each product; grp is
     the smallest position that a colour reaches. A palette is at most MAX_COLORS long, so that many rounds reach everything."""
-    test = predicate or C.merges("p[i]", "p[j]")
-    p = palette.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("cluster_rank", "perc", "lab_l", "lab_a", "lab_b"))).alias("p"))
-    p = p.withColumn("near", F.expr(f"transform(sequence(0, size(p) - 1), i -> filter(sequence(0, size(p) - 1), j -> i = j OR {test}))"))
-    p = p.withColumn("g", F.expr(f"aggregate(sequence(2, {MAX_COLORS}), sequence(0, size(p) - 1), (g, k) -> transform(near, ns -> array_min(transform(ns, j -> g[j]))))"))
+    p = _groups(_arrays(palette), predicate or C.merges("p[i]", "p[j]"), "g")
     return p.select("instance_id", F.explode(F.arrays_zip("p", "g")).alias("x")).select("instance_id", "x.p.*", F.col("x.g").alias("grp"))
 
 
+def sweep_groups(palette: DataFrame, predicate: str, name: str, values: tuple) -> DataFrame:
+    """(instance_id, <name>, base, g): each product's groups under the default rule and under a predicate that reads the
+    candidate value from the column ``name``. The palettes are shuffled once, whatever the number of candidates."""
+    p = _groups(_arrays(palette), C.merges("p[i]", "p[j]"), "base").withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return _groups(p, predicate, "g").select("instance_id", name, "base", "g")
+
+
 def merge_palette(palette: DataFrame, predicate: str | None = None) -> DataFrame:
     """(instance_id, grp, perc, lab_*, n_merged): one row a merged colour, its place the coverage-weighted mean. Groups without coverage go."""
     w = lambda c: (F.sum(F.col(c) * F.col("perc")) / F.sum("perc")).alias(c)

@@ -11,7 +11,8 @@ import pytest
 from huegrain import catalog
 from huegrain.functions import color as C
 from huegrain.functions import stats as S
-from huegrain.operators.cluster import complete_linkage, sinkhorn
+from huegrain.functions.exact import mcnemar_p, student_p
+from huegrain.operators.cluster import complete_linkage, sinkhorn, weighted_kmeans
 from huegrain.operators.palette import archetypes, merge_palette
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +66,41 @@ def test_grouped_numpy():
     assert complete_linkage(np.abs(x[:, None] - x), 5).tolist() == [0, 0, 1]
     cost, met = sinkhorn(np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.array([[0.0, 1.0], [1.0, 0.0]]))
     assert met and cost < 1e-3
+
+
+def test_exact_p_values():
+    for b, c in [(0, 0), (0, 5), (3, 9), (7, 7), (40, 60)]:
+        n = b + c
+        want = min(1.0, 2 * min(0.5, sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)) if n else 1.0
+        assert mcnemar_p(b, c) == pytest.approx(want, rel=1e-9)
+    # one degree of freedom: Cauchy; two: closed form; tables for ten and thirty
+    t = np.array([0.0, 0.5, 1.0, 12.7062, 1.0, 2.228139, 2.042272, -2.042272, 50.0])
+    df = np.array([1, 1, 1, 1, 2, 10, 30, 30, 500.0])
+    want = [1.0, 1 - 2 / math.pi * math.atan(0.5), 0.5, 0.05, 1 - 1 / math.sqrt(3), 0.05, 0.05, 0.05, 0.0]
+    assert np.allclose(student_p(t, df), want, atol=1e-6)
+
+
+def test_weighted_kmeans():
+    x = np.array([[0.0, 0, 0], [1, 0, 0], [50, 0, 0], [52, 0, 0]])
+    centers, label = weighted_kmeans(x, np.array([3.0, 1, 1, 1]), 2)
+    assert sorted(centers[:, 0].round(6).tolist()) == [0.25, 51.0] and label[0] == label[1] != label[2] == label[3]
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_without_sql(spark, name):
+    rows = catalog.queries()[name](spark, SF).collect()
+    assert rows
+    for r in rows:
+        for c, v in r.asDict().items():
+            assert v is not None and not (isinstance(v, float) and math.isnan(v)), (c, r)
+
+
+def test_downsample_keeps_coverage(spark):
+    from pyspark.sql import functions as F
+
+    from huegrain import reports
+    from huegrain.sources import catalogue as src
+
+    had = src.palette_colors(spark, SF).join(src.archives_of(spark, SF), "instance_id").agg(F.sum("perc")).first()[0]
+    out = reports.downsample_palettes(spark, SF)
+    assert out.agg(F.sum("perc")).first()[0] == pytest.approx(had) and out.groupBy("archive_id").count().agg(F.max("count")).first()[0] <= 60
