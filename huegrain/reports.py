@@ -168,7 +168,9 @@ def zone_ball(spark, d):
     zones = _zones(spark, d).select("brand", "zone", "n", "lab_l", "lab_a", "lab_b")
     seed = zones.groupBy("brand").agg(F.max_by(F.struct("zone", "lab_l", "lab_a", "lab_b"), F.struct("n", -F.col("zone"))).alias("s"))
     both = zones.join(F.broadcast(seed), "brand").select("brand", "zone", "n", "lab_l", "lab_a", "lab_b", F.col("s.zone").alias("seed"), F.col("s.lab_l").alias("l0"), F.col("s.lab_a").alias("a0"), F.col("s.lab_b").alias("b0"))
-    return C.with_de00(both, "l0", "a0", "b0", "lab_l", "lab_a", "lab_b").filter("de00 <= 15").select("brand", "seed", "zone", "n", to("de00", 3, "de00"))
+    far = C.with_de00(both, "l0", "a0", "b0", "lab_l", "lab_a", "lab_b")
+    # a filter on an aggregate is not pushed into the formula, which inlined would outgrow a generated method
+    return far.groupBy("brand", "seed", "zone", "n").agg(F.min("de00").alias("de00")).filter("de00 <= 15").select("brand", "seed", "zone", "n", to("de00", 3, "de00"))
 
 
 def nearest_zone(spark, d):
