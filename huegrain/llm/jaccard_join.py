@@ -6,10 +6,12 @@ all documents) and breaks ties by its own hash. The first order's prefixes are a
 share a prefix token under each further order before its whole sets are compared.
 
 Identical sets are one class beforehand. Then every class is compared with one class of each index token, its lead; what
-that links is one component. While the pairs that share a token across components outnumber the tokens, this is done again
-with other leads, on the tokens whose classes are in several components. In the end all pairs that share a token and are in
-different components are compared, so no link between components is lost, while the pairs inside a group of near copies
-are never listed.
+that links is one component, and the pairs inside it are never listed. A link that is still missing joins two classes of
+tokens whose classes are in several components. These open classes are indexed anew under a further order, by the exact
+number of open classes that have a shingle: rare shingles come first, so the places of two classes' first common shingle
+bound their intersection. Dealt to small cells of a token, classes are compared
+with the leads of these, which joins nearly all groups. In the end all pairs of different components
+that share a token of it, and whose bound allows a link, are compared, so no link between components is lost.
 
 Defined cases: null, empty or wordless text has an empty set and no links; a text of fewer than ``words`` words has its
 whole sequence as one shingle; rows are told apart by position, so an id may repeat; extra columns are ignored. Shingles
@@ -100,6 +102,36 @@ def _prefixes(k: int, pct: int, rank: bytes):
     return run
 
 
+def _hashes(k: int):
+    schema = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _word_memo()
+        for part, texts in doc_chunks(batches):
+            sets = pa.array([s.view(np.int64) for s in shingle_sets(texts, k, memo)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), sets], schema=schema)
+
+    return run
+
+
+def _rare_first(open_: DataFrame, sets: DataFrame, k: int, pct: int) -> DataFrame:
+    """(token, row_id, n, root, left): the prefixes of the open classes, rarest shingles first; ``left`` is how many of the
+    class's shingles the order does not put before the token. A shingle that one class alone has is counted, not kept."""
+    classes = open_.select("row_id", "n", "root").distinct()
+    text = sets.select("row_id", "text").join(classes, "row_id").select("row_id", "n", "root", "text")
+    body = materialize(text.mapInArrow(_hashes(k), "row_id long, n long, root long, hashes array<long>"), "open_sets")
+    all_ = body.select("row_id", F.explode("hashes").alias("token"))
+    twice = materialize(all_.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "open_counts")
+    order = F.array_sort(F.collect_list(F.struct("df", "token")))  # at most a text's shingles
+    mine = all_.join(twice, "token").groupBy("row_id").agg(order.alias("rare"))
+    length = F.expr(f"n - (({pct} * n + 99) div 100) + 1")
+    lone = F.col("n") - F.size("rare")
+    kept = body.select("row_id", "n", "root").join(mine, "row_id").withColumn("lone", lone).filter(F.col("lone") < length)
+    kept = kept.select("row_id", "n", "root", "lone", F.posexplode(F.slice("rare", F.lit(1), (length - F.col("lone")).cast("int"))).alias("at", "token"))
+    kept = kept.select(F.col("token.token").alias("token"), "row_id", "n", "root", (F.col("n") - F.col("lone") - F.col("at")).alias("left"))
+    return materialize(kept, "open_prefixes")
+
+
 def _verify(k: int, pct: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -140,7 +172,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int
     return materialize(rows.select("a", "b", "text").mapInArrow(_verify(k, pct), "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6) -> DataFrame:
     """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component."""
     src = text_input(docs, id_col, text_col)
     spread = src.select("doc_id", "text").mapInArrow(_count_slots(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -157,18 +189,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = lambda x, y: (100 * F.least(x, y) >= pct * F.greatest(x, y))
     many = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     shared = materialize(tokens.join(many, "token"), "shared_tokens")  # the tokens that two classes have
-    budget = shared.count()
-    links = tested = roots = None
-    open_ = shared.withColumn("root", F.col("row_id"))
+    enough = lambda x, y, nx, ny: F.least(x, y) * (100 + pct) >= pct * (nx + ny)  # noqa: E731  the intersection that a link needs
+    links = tested = None
+    index = shared.withColumn("left", F.col("n"))
+    open_ = index.withColumn("root", F.col("row_id"))
     for turn in range(rounds + 1):
-        cells = open_.groupBy("token", "root").agg(F.count("*").cast("double").alias("c")).groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-        last = turn == rounds or (cells.agg(F.sum("pairs")).first()[0] or 0) <= budget
-        if last:
-            other = open_.select("token", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = open_.join(other, "token").filter((F.col("row_id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb")))
-        else:  # the same order of classes for all tokens, so that the leads of a group of near copies are few
-            lead = open_.groupBy("token").agg(F.min_by(F.struct("row_id", "n", "root"), F.struct(F.xxhash64("row_id", F.lit(turn)), "row_id")).alias("lead"))
-            pairs = open_.join(materialize(lead, "leads"), "token").filter((F.col("root") != F.col("lead.root")) & near(F.col("n"), F.col("lead.n")))
+        if turn == rounds:
+            other = open_.select("token", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("left").alias("leftb"))
+            pairs = open_.join(other, (open_.token == other.token) & (F.col("row_id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb")) & enough(F.col("left"), F.col("leftb"), F.col("n"), F.col("nb")))
+        else:
+            if not turn:  # the same order of classes for all tokens, so that the leads of a group of copies are few
+                cells, first = open_.withColumn("cell", F.lit(0)), F.xxhash64("row_id")
+            else:  # classes that could link to one of their size by this token are dealt by chance, ``deals`` times, to cells of about eight
+                fit = open_.filter(enough(F.col("left"), F.col("left"), F.col("n"), F.col("n")))
+                wide = materialize(fit.groupBy("token").agg(F.ceil(F.count("*") / 8).alias("wide")), "cells")
+                cells = fit.join(wide, "token").withColumn("deal", F.explode(F.array(*map(F.lit, range(deals)))))
+                cells = materialize(cells.withColumn("cell", F.col("wide") * F.col("deal") + F.pmod(F.xxhash64("row_id", "token", "deal", F.lit(turn)), "wide")).drop("wide", "deal"), "celled")
+                # by turns, the class with least of its own leads, which is nearest to the others, or any class
+                first = 2 * pct * F.col("n") - F.col("left") * (100 + pct) if turn % 2 else F.xxhash64("row_id", "cell")
+            lead = cells.groupBy("token", "cell").agg(F.min_by(F.struct("row_id", "n", "root", "left"), F.struct(first, "row_id")).alias("lead"))
+            pairs = cells.join(materialize(lead, "leads"), ["token", "cell"]).filter((F.col("root") != F.col("lead.root")) & near(F.col("n"), F.col("lead.n")) & enough(F.col("left"), F.col("lead.left"), F.col("n"), F.col("lead.n")))
             pairs = pairs.select(F.least("row_id", "lead.row_id").alias("row_id"), F.greatest("row_id", "lead.row_id").alias("b"))
         pairs = pairs.select(F.col("row_id").alias("a"), "b").distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -176,12 +216,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _checked(pairs, sets, words, pct)
         links = found if links is None else links.unionByName(found)
         roots = materialize(components(links), "roots")
-        if last:
+        if turn == rounds:
             break
-        part = shared.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("token", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
+        part = index.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("token", "row_id", "n", "left", F.coalesce("root", "row_id").alias("root"))
         part = materialize(part, "token_roots")
         split = part.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
         open_ = materialize(part.join(split, "token", "left_semi"), "open_tokens")
+        if not turn:
+            open_ = _rare_first(open_, sets, words, pct)
+            index = open_.drop("root")
     return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("root"))
 
 
