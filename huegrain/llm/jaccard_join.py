@@ -7,11 +7,11 @@ share a prefix token under each further order before its whole sets are compared
 
 Identical sets are one class beforehand. Then every class is compared with one class of each index token, its lead; what
 that links is one component, and the pairs inside it are never listed. A link that is still missing joins two classes of
-tokens whose classes are in several components. These open classes are indexed anew under a further order, by the exact
-number of open classes that have a shingle: rare shingles come first, so the places of two classes' first common shingle
-bound their intersection. Dealt to small cells of a token, classes are compared
-with the leads of these, which joins nearly all groups. In the end all pairs of different components
-that share a token of it, and whose bound allows a link, are compared, so no link between components is lost.
+tokens whose classes are in several components. Where such a token has more than ``few`` classes, these are indexed anew
+under a further order, by the exact number of them that have a shingle: rare shingles come first, so the places of two
+classes' first common shingle bound their intersection. Dealt to small cells of a token, they are compared with the leads
+of these, which joins nearly all groups. In the end all pairs of different components that share a token of the new index
+and whose bound allows a link, or that share a token of few classes, are compared: no link between components is lost.
 
 Defined cases: null, empty or wordless text has an empty set and no links; a text of fewer than ``words`` words has its
 whole sequence as one shingle; rows are told apart by position, so an id may repeat; extra columns are ignored. Shingles
@@ -117,8 +117,8 @@ def _hashes(k: int):
 def _rare_first(open_: DataFrame, sets: DataFrame, k: int, pct: int) -> DataFrame:
     """(token, row_id, n, root, left): the prefixes of the open classes, rarest shingles first; ``left`` is how many of the
     class's shingles the order does not put before the token. A shingle that one class alone has is counted, not kept."""
-    classes = open_.select("row_id", "n", "root").distinct()
-    text = sets.select("row_id", "text").join(classes, "row_id").select("row_id", "n", "root", "text")
+    classes = materialize(open_.select("row_id", "n", "root").distinct(), "open_classes")
+    text = _only(sets.select("row_id", "text"), classes.select("row_id")).join(classes, "row_id").select("row_id", "n", "root", "text")
     body = materialize(text.mapInArrow(_hashes(k), "row_id long, n long, root long, hashes array<long>"), "open_sets")
     all_ = body.select("row_id", F.explode("hashes").alias("token"))
     twice = materialize(all_.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "open_counts")
@@ -153,11 +153,18 @@ def _verify(k: int, pct: int):
     return run
 
 
+def _only(rows: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """The rows of a table of distinct ``ids``, without moving the others: up to ``most`` ids are broadcast, more are joined."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "row_id", "left_semi")
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int = 256) -> DataFrame:
     """The links among ``pairs`` (a, b): first the further orders' prefixes must meet, then the texts' whole sets are compared.
 
     Pairs travel to their base ``a``; a base of many pairs is dealt to several groups, each with a copy of its text."""
     more = [f"p{i}" for i in range(1, len(ORDERS))]
+    ids = materialize(pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct(), "asked")
+    sets = materialize(_only(sets.select("row_id", "text", *more), ids), "bodies")
     left = sets.select(F.col("row_id").alias("a"), *(F.col(c).alias(f"{c}a") for c in more))
     right = sets.select(F.col("row_id").alias("b"), *(F.col(c).alias(f"{c}b") for c in more))
     meet = pairs.join(left, "a").join(right, "b")
@@ -172,7 +179,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int
     return materialize(rows.select("a", "b", "text").mapInArrow(_verify(k, pct), "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6, few: int = 32) -> DataFrame:
     """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component."""
     src = text_input(docs, id_col, text_col)
     spread = src.select("doc_id", "text").mapInArrow(_count_slots(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -184,19 +191,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(src.mapInArrow(_prefixes(words, pct, rank.tobytes()), fields).withColumn("row_id", F.monotonically_increasing_id()), "prefixes")
     whole = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row_id").alias("rep")), "classes")
     member = materialize(rows.select("row_id", "doc_id", "n", "k1", "k2").join(whole, ["k1", "k2"], "left").select("row_id", "doc_id", "n", F.coalesce("rep", "row_id").alias("rep")), "members")
-    sets = rows.join(whole.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    tokens = sets.select(F.explode("index").alias("token"), "row_id", "n")
+    tokens = rows.select("row_id", "n", "index").join(whole.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.explode("index").alias("token"), "row_id", "n")
     near = lambda x, y: (100 * F.least(x, y) >= pct * F.greatest(x, y))
     many = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     shared = materialize(tokens.join(many, "token"), "shared_tokens")  # the tokens that two classes have
     enough = lambda x, y, nx, ny: F.least(x, y) * (100 + pct) >= pct * (nx + ny)  # noqa: E731  the intersection that a link needs
+
+    def rooted(tokens: DataFrame) -> DataFrame:
+        return tokens.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("token", "row_id", "n", "left", F.coalesce("root", "row_id").alias("root"))
+
+    def crossing(x: DataFrame) -> DataFrame:
+        other = x.select("token", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("left").alias("leftb"))
+        return x.join(other, (x.token == other.token) & (F.col("row_id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb")) & enough(F.col("left"), F.col("leftb"), F.col("n"), F.col("nb"))).select("row_id", "b")
+
     links = tested = None
     index = shared.withColumn("left", F.col("n"))
     open_ = index.withColumn("root", F.col("row_id"))
     for turn in range(rounds + 1):
         if turn == rounds:
-            other = open_.select("token", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("left").alias("leftb"))
-            pairs = open_.join(other, (open_.token == other.token) & (F.col("row_id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("n"), F.col("nb")) & enough(F.col("left"), F.col("leftb"), F.col("n"), F.col("nb")))
+            pairs = crossing(open_).unionByName(crossing(rooted(direct.drop("root"))))
         else:
             if not turn:  # the same order of classes for all tokens, so that the leads of a group of copies are few
                 cells, first = open_.withColumn("cell", F.lit(0)), F.xxhash64("row_id")
@@ -213,17 +226,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.select(F.col("row_id").alias("a"), "b").distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _checked(pairs, sets, words, pct)
+        found = _checked(pairs, rows, words, pct)
         links = found if links is None else links.unionByName(found)
         roots = materialize(components(links), "roots")
         if turn == rounds:
             break
-        part = index.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").select("token", "row_id", "n", "left", F.coalesce("root", "row_id").alias("root"))
-        part = materialize(part, "token_roots")
+        part = materialize(rooted(index), "token_roots")
         split = part.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
         open_ = materialize(part.join(split, "token", "left_semi"), "open_tokens")
         if not turn:
-            open_ = _rare_first(open_, sets, words, pct)
+            many = materialize(open_.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > few).select("token"), "hot_tokens")
+            direct = materialize(open_.join(many, "token", "left_anti"), "direct")
+            open_ = _rare_first(open_.join(many, "token", "left_semi"), rows, words, pct)
             index = open_.drop("root")
     return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("root"))
 
