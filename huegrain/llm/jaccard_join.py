@@ -11,7 +11,8 @@ tokens whose classes are in several components. Where such a token has more than
 under a further order, by the exact number of them that have a shingle: rare shingles come first, so the places of two
 classes' first common shingle bound their intersection. Dealt to small cells of a token, they are compared with the leads
 of these, which joins nearly all groups. In the end all pairs of different components that share a token of the new index
-and whose bound allows a link, or that share a token of few classes, are compared: no link between components is lost.
+and whose bound allows a link, or that share a token of few classes, are compared: no link between components is lost. A token of c classes has up to c * c / 2
+pairs, and its classes' new index a few rows for each of their shingles: up to some hundred classes, the pairs are fewer.
 
 Defined cases: null, empty or wordless text has an empty set and no links; a text of fewer than ``words`` words has its
 whole sequence as one shingle; rows are told apart by position, so an id may repeat; extra columns are ignored. Shingles
@@ -179,7 +180,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int
     return materialize(rows.select("a", "b", "text").mapInArrow(_verify(k, pct), "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6, few: int = 32) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6, few: int = 256) -> DataFrame:
     """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component."""
     src = text_input(docs, id_col, text_col)
     spread = src.select("doc_id", "text").mapInArrow(_count_slots(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -242,8 +243,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, few: int = 256) -> DataFrame:
     """(row_id, doc_id, n_shingles, component_id): the smallest id reachable by links."""
-    rows = materialize(jaccard_classes(docs, id_col, text_col, words, pct), "rows")
+    rows = materialize(jaccard_classes(docs, id_col, text_col, words, pct, few=few), "rows")
     least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("row_id", "doc_id", "n_shingles", "component_id")

@@ -80,8 +80,8 @@ def test_exact_dedup(docs, none):
     assert exact_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("words,pct", [(4, 85), (5, 80), (2, 60)])
-def test_jaccard(spark, none, words, pct):
+@pytest.mark.parametrize("words,pct,few", [(4, 85, 256), (5, 80, 2), (2, 60, 2)])
+def test_jaccard(spark, none, words, pct, few):
     random = np.random.default_rng(3)
     base = [f"w{i}" for i in random.integers(0, 300, 120)]
     texts = list(TEXTS)
@@ -100,7 +100,7 @@ def test_jaccard(spark, none, words, pct):
             for j, y in enumerate(sets):
                 if x and y and 100 * len(x & y) >= pct * len(x | y):
                     root[i] = root[j] = min(root[i], root[j])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, words=words, pct=pct).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, words=words, pct=pct, few=few).collect()}
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
     assert jaccard_components(none, words=words, pct=pct).count() == 0
 
