@@ -1,9 +1,11 @@
-"""Lexical retrieval packing: BM25 neighbours from a sharded inverted index fill each seed document's window.
+"""Lexical retrieval packing: BM25 neighbours from all documents fill each seed document's window.
 
-Whole windows of a document stand alone. The rests meet in shards of a bounded number of documents; each shard holds an
-inverted index of its documents' token ids, weighted by BM25 with document frequencies and mean length over the whole
-corpus. A seed's window takes unused neighbours by falling score; the last one is cut at the window's end and seeds the next
-window. The last window of a shard is cut into sequences of powers of two, so that nothing is padded.
+Whole windows of a document stand alone. The rests are packed in rounds: each open window takes the best unused documents of the
+whole table for all terms of its seed, by falling BM25 score, with document frequencies and mean length over the whole corpus; a
+document that several windows ask for goes to the highest score. The search is exact: every block of seeds meets the inverted
+index of every block of unused documents. The last document of a window is cut at the window's end and seeds another one. Windows
+for which no unused document has a term are joined end to end at last; what is left of that is cut into sequences of powers of
+two, so that nothing is padded.
 
 Defined cases: null text is empty (one token, the separator); an empty table gives no pieces; repeated rows are packed each
 by itself; extra columns are ignored.
@@ -15,12 +17,12 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
@@ -101,119 +103,191 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bm25:
-    """Inverted index of one shard."""
+    """Inverted index of one block of documents; terms that many documents and queries have are held as a dense matrix."""
 
-    def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
-        tf = np.concatenate(tfs).astype(np.float32) if terms else np.zeros(0, np.float32)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
+    def __init__(self, docs: pa.StructArray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
+        doc, term = _postings(docs.field("terms"))
+        tf = np.frombuffer(b"".join(docs.field("tfs").to_pylist()), np.uint16).astype(np.float32)
+        length = docs.field("doc_tokens").to_numpy(zero_copy_only=False).astype(np.float32)
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
         order = np.argsort(term, kind="stable")
-        self._doc, self._weight = doc[order], weight[order].astype(np.float32)
-        self._at = np.searchsorted(term[order], np.arange(65537))
-        self._idf, self._n = idf, len(terms)
-
-    def search(self, terms: np.ndarray, tfs: np.ndarray, used: np.ndarray, query_terms: int, k: int) -> np.ndarray:
-        """The ``k`` best unused documents for the ``query_terms`` heaviest terms, best first (ties: first document)."""
-        heavy = np.argsort(-self._idf[terms] * np.sqrt(tfs), kind="stable")[:query_terms]
-        score = np.zeros(self._n, np.float32)
-        for t in terms[heavy].tolist():
-            a, b = self._at[t], self._at[t + 1]
-            score[self._doc[a:b]] += self._weight[a:b]
-        score[used] = 0
-        top = np.argpartition(-score, k)[:k] if k < self._n else np.arange(self._n)
-        top = top[score[top] > 0]
-        return top[np.lexsort((top, -score[top]))]
-
-
-def _pack_shard(window: int, idf: np.ndarray, mean: float, query_terms: int, k: int):
+        self._doc, self._term, self._weight = doc[order], term[order], weight[order].astype(np.float32)
+        self._at = np.searchsorted(self._term, np.arange(65537))
+        self._keys, self._nodes = (docs.field(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
+
+    def search(self, terms: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(nodes, keys, scores) of the ``k`` best documents under all terms of each query, best first (ties: smallest key)."""
+        n, q = len(self._nodes), len(terms)
+        owner, term = _postings(terms)
+        df = np.diff(self._at)
+        heavy = np.flatnonzero(np.bincount(term, minlength=65536) * df > 0.005 * q * n)
+        column = np.full(65536, -1)
+        column[heavy] = np.arange(len(heavy))
+        has, wants = column[self._term], column[term]
+        w = np.zeros((len(heavy), n), np.float32)
+        w[has[has >= 0], self._doc[has >= 0]] = self._weight[has >= 0]
+        x = np.zeros((q, len(heavy)), np.float32)
+        x[owner[wants >= 0], wants[wants >= 0]] = 1
+        score = x @ w
+        rare = (wants < 0) & (df[term] > 0)
+        owner, term = owner[rare], term[rare]
+        ends = np.cumsum(df[term])
+        a = 0
+        while a < len(term):  # some millions of meetings at a time
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22))))
+            size = df[term[a:z]]
+            at = np.arange(size.sum()) + np.repeat(self._at[term[a:z]] - (np.cumsum(size) - size), size)
+            low = int(owner[a])
+            rows = int(owner[z - 1]) - low + 1
+            flat = np.repeat((owner[a:z] - low) * n, size) + self._doc[at]
+            score[low : low + rows] += np.bincount(flat, self._weight[at], rows * n).reshape(rows, n)
+            a = z
+        score = score.round(3)
+        least = np.partition(score, n - k, axis=1)[:, n - k] if k < n else np.zeros(q, np.float32)
+        out = []
+        for row, floor in zip(score, least):
+            near = np.flatnonzero((row >= floor) & (row > 0))
+            near = near[np.lexsort((self._keys[near], -row[near]))[:k]]
+            out.append((self._nodes[near], self._keys[near], row[near]))
+        return out
+
+
+def _postings(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place, term) of every term in a column of term lists."""
+    blobs = lists.to_pylist()
+    return np.repeat(np.arange(len(blobs)), [len(x) // 2 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint16)
+
+
+def _meet(idf: np.ndarray, mean: float, k: int):
+    """Each pair of a block of documents and a block of queries: the block's best documents for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, index = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (at := batch.column(0)[i].as_py()) != block:
+                    block, index = at, Bm25(batch.column(1)[i].values, idf, mean)
+                queries = batch.column(2)[i].values
+                for a in range(0, len(queries), 1024):
+                    some = queries.slice(a, 1024)
+                    found = index.search(some.field("terms"), k)
+                    size = [len(x[0]) for x in found]
+                    seed = np.repeat(some.field("node").to_numpy(zero_copy_only=False), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(seed), *(pa.array(np.concatenate([x[c] for x in found]), t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float32())))], names=["seed", "node", "key", "score"])
+
+    return run
+
+
+def best_unused(seeds: DataFrame, unused: DataFrame, idf: np.ndarray, mean: float, k: int, block_docs: int = 4096) -> DataFrame:
+    """(seed, node, key, score): the ``k`` best of all ``unused`` documents for each seed. Every block of seeds meets every
+    block of documents, so the result does not depend on the blocks; the work grows with seeds times documents."""
+
+    def blocks(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        n = max(math.ceil(df.count() / block_docs), 1)
+        dealt = df.repartition(n, F.pmod("key", F.lit(n))).groupBy(F.pmod("key", F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name))
+        return materialize(dealt, name)
+
+    docs = blocks(unused, ["node", "key", "terms", "tfs", "doc_tokens"], "docs")
+    pairs = docs.crossJoin(blocks(seeds, ["node", "terms"], "queries").drop("block").hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(_meet(idf, mean, k), "seed long, node long, key long, score float")
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "key", "node"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
+def _fill(window: int):
+    """One lot of windows: full ones as they are; the others end to end, cut anew, the last in powers of two."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "row_id"], ignore_index=True)
-        shard, n = int(pdf["shard"].iloc[0]), len(pdf)
+        pdf = pdf.sort_values(["window", "at"], ignore_index=True)
+        out: list[tuple] = []  # (row, from, length, crc, sequence, offset)
+        sequence = int(pdf["lot"].iloc[0]) << 32
         rest = [np.frombuffer(x, np.uint16) for x in pdf["rest"]]
-        terms, tfs = ([np.frombuffer(x, np.uint16) for x in pdf[c]] for c in ("terms", "tfs"))
-        tokens = pdf["doc_tokens"].to_numpy()
-        index = Bm25(terms, tfs, tokens.astype(np.float32), idf, mean)
-        start = (tokens // window) * window
-        out: list[tuple] = []  # (document, start, length, crc, sequence, offset)
-        sequence = shard << 32
-        for d, crcs in enumerate(pdf["crcs"]):
-            for i, crc in enumerate(crcs):
-                out.append((d, i * window, window, int(crc), sequence, 0))
-                sequence += 1
-        used, done = np.array([len(r) == 0 for r in rest]), np.zeros(n, np.int64)
-        open_: list[tuple[int, int, int]] = []  # (document, from, to) in the rest
-        filled, cursor, seed = 0, 0, -1
-
-        def close() -> None:
-            nonlocal open_, filled, sequence
-            # whole windows as they are; a last, shorter one in powers of two
-            sizes = [window] if filled == window else [1 << b for b in range(filled.bit_length() - 1, -1, -1) if filled >> b & 1]
-            items = open_[::-1]
+        ab = list(zip(pdf["a"].tolist(), pdf["b"].tolist()))
+
+        def close(items: list[tuple[int, int, int]], sizes: list[int]) -> None:
+            nonlocal sequence
+            items = items[::-1]
             for size in sizes:
                 at = 0
                 while at < size:
-                    d, a, b = items.pop()
+                    r, a, b = items.pop()
                     take = min(b - a, size - at)
-                    out.append((d, int(start[d]) + a, take, _crc(rest[d][a : a + take]), sequence, at))
+                    out.append((r, a, take, _crc(rest[r][a : a + take]), sequence, at))
                     at += take
                     if a + take < b:
-                        items.append((d, a + take, b))
+                        items.append((r, a + take, b))
                 sequence += 1
-            open_, filled = [], 0
-
-        def put(d: int) -> None:
-            nonlocal filled, seed
-            take = min(len(rest[d]) - int(done[d]), window - filled)
-            open_.append((d, int(done[d]), int(done[d]) + take))
-            done[d] += take
-            filled += take
-            used[d] = True
-            seed = d if done[d] < len(rest[d]) else -1
-            if filled == window:
-                close()
-
-        while True:
-            if seed < 0:  # a window begins, with the first document that is left
-                while cursor < n and used[cursor]:
-                    cursor += 1
-                if cursor == n:
-                    break
-                seed = cursor
-            first = seed
-            put(first)
-            while filled:
-                near = index.search(terms[first], tfs[first], used, query_terms, k)
-                if not len(near):
-                    while cursor < n and used[cursor]:
-                        cursor += 1
-                    if cursor == n:
-                        break
-                    near = [cursor]
-                for d in near:
-                    put(int(d))
-                    if not filled:
-                        break
-            if filled and cursor == n:
-                break
-        if filled:
-            close()
-        cols = list(zip(*out))
-        d = np.array(cols[0], np.int64)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[d].to_numpy(), "start": cols[1], "length": cols[2], "ids_crc32": cols[3], "doc_tokens": tokens[d], "sequence_id": cols[4], "offset": cols[5]})
+
+        loose: list[tuple[int, int, int]] = []
+        for _, rows in pdf.groupby("window", sort=False).indices.items():
+            items = [(int(r), *ab[r]) for r in rows]
+            if sum(b - a for _, a, b in items) == window:
+                close(items, [window])
+            else:
+                loose += items
+        left = sum(b - a for _, a, b in loose)
+        close(loose, [window] * (left // window) + [1 << b for b in range((left % window).bit_length() - 1, -1, -1) if left % window >> b & 1])
+        r, a, length, crc, seq, offset = map(list, zip(*out))
+        tokens = pdf["doc_tokens"].to_numpy()[r]
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[r].to_numpy(), "start": tokens // window * window + np.array(a), "length": length, "ids_crc32": crc, "doc_tokens": tokens, "sequence_id": seq, "offset": offset})
 
     return run
 
 
-def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, docs_per_shard: int = 4000, query_terms: int = 16, neighbours: int = 12) -> DataFrame:
+def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -> DataFrame | None:
+    """(node, a, b, window, at): where each rest goes. In a round every open window asks for its seed's best unused documents
+    of the whole table, a document goes to the window that scores it highest, and the next round asks again without it."""
+    unused = materialize(rows.filter("size > 0"), "unused")
+    open_, parts, turn = None, [], 0
+    while True:
+        left = unused.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t"), F.min("key").alias("key")).first()
+        if not left.n:
+            break
+        room = open_.agg(F.coalesce(F.sum(F.lit(window) - F.col("filled")), F.lit(0))).first()[0] if open_ is not None else 0
+        short = max(math.ceil((left.t - room) / window), 0 if room else 1)  # windows, if the open ones cannot hold all
+        share = max(short / 3, min(short, 64)) / left.n  # a third of them now: seeds take no partners from each other
+        new = (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))) | (F.lit(not room) & (F.col("key") == left.key))
+        marked = materialize(unused.withColumn("new", new), "marked")
+        fresh, unused = marked.filter("new").drop("new"), marked.filter("not new").drop("new")
+        parts.append(fresh.select("node", F.lit(0).alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at")))
+        begun = fresh.select("node", "terms", "key", F.col("size").alias("filled"))
+        open_ = begun if open_ is None else open_.unionByName(begun)
+        claims = materialize(best_unused(open_, unused, idf, mean, k), "claims")
+        won = claims.groupBy("node").agg(F.max(F.struct("score", (-F.col("seed")).alias("seed"))).alias("w")).select("node", (-F.col("w.seed")).alias("window"), "w.score")
+        order = Window.partitionBy("window").orderBy(F.desc("score"), "key", "node")
+        won = won.join(unused, "node").join(open_.select(F.col("node").alias("window"), "filled"), "window")
+        won = won.withColumn("at", (F.col("filled") + F.sum("size").over(order) - F.col("size")).cast("int")).filter(F.col("at") < window)
+        won = materialize(won.withColumn("take", F.least("size", F.lit(window) - F.col("at"))), "won")
+        parts += [
+            won.select("node", F.lit(0).alias("a"), F.col("take").alias("b"), "window", "at"),
+            won.filter("take < size").select("node", F.col("take").alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at")),
+        ]
+        # windows that found nothing are done; full ones too; the rest of a document that was cut begins a window
+        asked = claims.select(F.col("seed").alias("node")).distinct()
+        now = won.groupBy(F.col("window").alias("node")).agg(F.max(F.col("at") + F.col("take")).alias("now"))
+        kept = open_.join(asked, "node", "left_semi").join(now, "node", "left").withColumn("filled", F.coalesce("now", "filled")).drop("now").filter(F.col("filled") < window)
+        open_ = materialize(kept.unionByName(won.filter("take < size").select("node", "terms", "key", (F.col("size") - F.col("take")).alias("filled"))), "open")
+        unused = materialize(unused.join(won.select("node"), "node", "left_anti"), "unused")
+        turn += 1
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, neighbours: int = 12) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every document in one piece."""
     raw = text_input(docs, id_col, text_col).mapInArrow(_tokenize(path, window, separator), "doc_id long, doc_tokens long, crcs array<long>, rest binary, terms binary, tfs binary")
-    rows = materialize(raw.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
+    rows = materialize(raw.withColumn("node", F.monotonically_increasing_id()), "tokens")
     n, mean = rows.agg(F.count("*"), F.avg("doc_tokens")).first()
     idf = np.zeros(65536, np.float32)  # as long as the vocabulary, whatever the data
     for term, df in rows.select("terms").mapInArrow(_term_counts, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         idf[term] = math.log(1 + (n - df + 0.5) / (df + 0.5))
-    shards = max(math.ceil(n / docs_per_shard), min(n // 200, shuffle_width(docs.sparkSession)), 1)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)))
+    key = F.xxhash64("doc_id", "rest", "terms", "tfs")  # of the content: partners do not depend on how rows are dealt
+    nodes = rows.select("node", key.alias("key"), "terms", "tfs", "doc_tokens", (F.length("rest") / 2).cast("int").alias("size"))
+    whole = rows.select("doc_id", F.posexplode("crcs").alias("i", "ids_crc32"), "doc_tokens")
+    whole = whole.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = _place(nodes, window, idf, float(mean or 1), neighbours)
+    if placed is None:
+        return whole
+    lots = max(math.ceil(n / 4000), min(n // 200, shuffle_width(docs.sparkSession)), 1)
+    pieces = placed.join(rows.select("node", "doc_id", "doc_tokens", "rest"), "node").withColumn("lot", F.pmod(F.xxhash64("window"), F.lit(lots)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(window, idf, float(mean or 1), query_terms, neighbours), schema)
+    return pieces.groupBy("lot").applyInPandas(_fill(window), schema).unionByName(whole)

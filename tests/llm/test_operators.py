@@ -149,6 +149,36 @@ def test_packing(docs, none):
     assert retrieval_pack(none, path).count() == 0
 
 
+def test_packing_neighbours(spark):
+    """The search against brute-force BM25 over all documents, in blocks of few; and near copies meet, wherever they are."""
+    from pyspark.sql import functions as F
+
+    from huegrain.llm.packing import best_unused
+
+    random = np.random.default_rng(5)
+    bags = [{int(t): int(c) for t, c in zip(*np.unique(random.zipf(1.3, 60) % 500, return_counts=True))} for _ in range(60)]
+    df = collections.Counter(t for x in bags for t in x)
+    idf = np.zeros(65536, np.float32)
+    for t, c in df.items():
+        idf[t] = np.log(1 + (60 - c + 0.5) / (c + 0.5))
+    rows = [(i, i, np.array(sorted(x), np.uint16).tobytes(), np.array([x[t] for t in sorted(x)], np.uint16).tobytes(), sum(x.values())) for i, x in enumerate(bags)]
+    table = spark.createDataFrame(rows, "node long, key long, terms binary, tfs binary, doc_tokens long")
+    got = collections.defaultdict(list)
+    for r in best_unused(table.filter("node < 20"), table.filter("node >= 20"), idf, 60.0, 5, block_docs=7).orderBy("seed", F.desc("score")).collect():
+        got[r.seed].append((r.node, r.score))
+    for q in range(20):
+        score = {d: sum(float(idf[t]) * bags[d][t] * 2.2 / (bags[d][t] + 1.2 * (0.25 + 0.75 * sum(bags[d].values()) / 60)) for t in bags[q] if t in bags[d]) for d in range(20, 60)}
+        want = sorted(score.values(), reverse=True)[:5]
+        assert [s for _, s in got[q]] == pytest.approx(want, abs=2e-3) and all(score[d] == pytest.approx(s, abs=2e-3) for d, s in got[q])
+
+    words = [" ".join(f"q{c}x{w}" for w in random.integers(0, 40, 110)) for c in range(450) for _ in range(2)]  # pairs of one topic
+    pairs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string").repartition(5)
+    seqs = collections.defaultdict(set)
+    for r in retrieval_pack(pairs, tokenizer_file("byte_bpe_50k.json")).collect():
+        seqs[r.doc_id].add(r.sequence_id)
+    assert sum(bool(seqs[i] & seqs[i + 1]) for i in range(0, 900, 2)) > 270
+
+
 def test_fingerprints(docs, none):
     got = {r.doc_id: r for r in neighbour_fingerprints(docs).collect()}
     ids = sorted(range(len(TEXTS)), reverse=True)
