@@ -234,18 +234,21 @@ def _fill(window: int):
     return run
 
 
-def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -> DataFrame | None:
+def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -> DataFrame:
     """(node, a, b, window, at): where each rest goes. In a round every open window asks for its seed's best unused documents
     of the whole table, a document goes to the window that scores it highest, and the next round asks again without it."""
-    unused = materialize(rows.filter("size > 0"), "unused")
-    open_, parts, turn = None, [], 0
+    some = F.length("terms") > 0
+    alone = rows.filter(~some)  # no term: no partner
+    parts = [alone.select("node", F.lit(0).alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at"))]
+    unused = materialize(rows.filter((F.col("size") > 0) & some), "unused")
+    open_, turn, stalled = None, 0, 0
     while True:
         left = unused.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t"), F.min("key").alias("key")).first()
         if not left.n:
             break
         room = open_.agg(F.coalesce(F.sum(F.lit(window) - F.col("filled")), F.lit(0))).first()[0] if open_ is not None else 0
         short = max(math.ceil((left.t - room) / window), 0 if room else 1)  # windows, if the open ones cannot hold all
-        share = max(short / 3, min(short, 64)) / left.n  # a third of them now: seeds take no partners from each other
+        share = min(max(short / 3, min(short, 64), 2**stalled if stalled else 0) / left.n, 1)  # a third of them now: seeds take no partners from each other
         new = (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))) | (F.lit(not room) & (F.col("key") == left.key))
         marked = materialize(unused.withColumn("new", new), "marked")
         fresh, unused = marked.filter("new").drop("new"), marked.filter("not new").drop("new")
@@ -268,8 +271,11 @@ def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -
         kept = open_.join(asked, "node", "left_semi").join(now, "node", "left").withColumn("filled", F.coalesce("now", "filled")).drop("now").filter(F.col("filled") < window)
         open_ = materialize(kept.unionByName(won.filter("take < size").select("node", "terms", "key", (F.col("size") - F.col("take")).alias("filled"))), "open")
         unused = materialize(unused.join(won.select("node"), "node", "left_anti"), "unused")
+        placed = won.count()
+        stalled = 0 if placed else stalled + 1  # seeds without any partner: more of them at once
+        k = k if 8 * placed > left.n else 2 * k  # many windows ask for the same few documents: longer lists
         turn += 1
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    return reduce(DataFrame.unionByName, parts)
 
 
 def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, neighbours: int = 12) -> DataFrame:
@@ -285,8 +291,6 @@ def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     whole = rows.select("doc_id", F.posexplode("crcs").alias("i", "ids_crc32"), "doc_tokens")
     whole = whole.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = _place(nodes, window, idf, float(mean or 1), neighbours)
-    if placed is None:
-        return whole
     lots = max(math.ceil(n / 4000), min(n // 200, shuffle_width(docs.sparkSession)), 1)
     pieces = placed.join(rows.select("node", "doc_id", "doc_tokens", "rest"), "node").withColumn("lot", F.pmod(F.xxhash64("window"), F.lit(lots)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
