@@ -1,8 +1,13 @@
 """License scans: sparse TF-IDF cosine to notice templates, then inheritance from the nearest ancestor directory.
 
-Every line of every file is a header candidate; the whole text is one more, which tells licence files. A candidate's vector
-has all its words; only the templates' words can meet a template, so lines without two of them are passed over at once.
-Document frequencies are counted over all files. A file without a notice of its own takes that of the nearest directory above
+Every run of at most ``header_lines`` lines with words (comment marks are no words) is a header candidate; the whole text is one
+more, which tells licence files. Document frequencies of all words are counted over all files. Candidates are first bounded: a
+word that no template has weighs at least as much as one that all files have, and a text that reaches ``least`` has one of the
+words that hold a template's weight. Both bounds come from the templates and lose nothing; the words of what is left are joined
+to their frequencies. The score is 0 where no candidate can reach ``least``. Whether a whole text
+is a licence file is asked more strictly: a word outside the templates weighs there as one that no file has, so that code under a
+notice is none.
+A file without a notice of its own takes that of the nearest directory above
 it that holds a licence file, found by joining distinct directories, never files, to their ancestors.
 
 Defined cases: null, empty and wordless texts have no own licence; ties go to the first template by name; a null path is
@@ -44,84 +49,123 @@ _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 class Matcher:
     """The templates' unit vectors and the search for the nearest one."""
 
-    def __init__(self, templates: dict[str, list[str]], df: dict[bytes, int], n: int):
+    def __init__(self, templates: dict[str, list[str]], df: dict[bytes, int], n: int, least: float = 0.6):
         rows = [(name, Counter(_WORD.findall(t.encode()))) for name, ts in sorted(templates.items()) for t in ts]
-        self._names = [name for name, _ in rows]
-        self._vocabulary = {w for _, c in rows for w in c}
-        top = math.log(n + 2) + 1
-        self._other = top * top
-        self._idf = {w: math.log((n + 2) / (df.get(w, 0) + 1)) + 1 for w in self._vocabulary}
+        self._names, self._least = [name for name, _ in rows], least
+        self._idf = {w: math.log((n + 2) / (df.get(w, 0) + 1)) + 1 for _, c in rows for w in c}
+        # the weights of a word that all files have, that a single file has, and that none has
+        self._low, self._high = math.log((n + 2) / (n + 1)) + 1, math.log((n + 2) / 2) + 1
+        self._none = math.log(n + 2) + 1
         self._postings: dict[bytes, list[tuple[int, float]]] = {}
+        self.telling: set[bytes] = set()
         for i, (_, c) in enumerate(rows):
             norm = math.sqrt(sum((tf * self._idf[w]) ** 2 for w, tf in c.items()))
-            for w, tf in c.items():
-                self._postings.setdefault(w, []).append((i, tf * self._idf[w] / norm))
+            weights = {w: tf * self._idf[w] / norm for w, tf in c.items()}
+            for w, x in weights.items():
+                self._postings.setdefault(w, []).append((i, x))
+            # texts that share only words with less than least ** 2 of the template's squares stay under least
+            rest = 1.0
+            for w in sorted(weights, key=lambda w: (-weights[w], w)):
+                if rest < least * least - 1e-9:
+                    break
+                self.telling.add(w)
+                rest -= weights[w] ** 2
 
     @staticmethod
     def vocabulary(templates: dict[str, list[str]]) -> set[bytes]:
         return {w for ts in templates.values() for t in ts for w in _WORD.findall(t.encode())}
 
-    def telling(self) -> re.Pattern:
-        """Matches every text that can reach a template: each template has one of these words with most of its weight."""
-        return re.compile(rb"licen|permi|redistribut|mozilla|software|gnu|apache|mit\b|creative")
-
-    def nearest(self, text: bytes) -> tuple[str | None, float]:
-        found = Counter(_WORD.findall(text))
-        known = found.keys() & self._vocabulary
-        if len(known) < 2:
-            return None, 0.0
-        norm = math.sqrt(sum((tf * self._idf[w]) ** 2 if w in known else tf * tf * self._other for w, tf in found.items()))
+    def candidate(self, found: Counter) -> tuple[float, float, dict] | None:
+        """(least, most) that the cosine to the nearest template can be, and the parts of it; None where most is under ``least``."""
+        known2, others2, others = 0.0, 0, []
         scores: dict[int, float] = {}
-        for w in known:
+        for w, tf in found.items():
+            if (idf := self._idf.get(w)) is None:
+                others2 += tf * tf
+                others.append({"word": w, "tf": tf})
+                continue
+            known2 += (tf * idf) ** 2
             for i, weight in self._postings[w]:
-                scores[i] = scores.get(i, 0.0) + found[w] * self._idf[w] / norm * weight
-        i = min(scores, key=lambda j: (-scores[j], j))
-        return self._names[i], scores[i]
-
-
-def _frequencies(vocabulary: set[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        for _, texts in doc_chunks(batches):
-            for t in texts:
-                df.update(vocabulary.intersection(_WORD.findall(t.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["word", "df"])
-
-    return run
-
-
-_OUT = pa.schema([("id", pa.int64()), ("path", pa.string()), ("own", pa.string()), ("score", pa.float64()), ("whole", pa.bool_())])
-
-
-def _scan(matcher: Matcher, least: float, entire_least: float):
-    telling = matcher.telling()
-
+                scores[i] = scores.get(i, 0.0) + tf * idf * weight
+        if not scores:
+            return None
+        i = min(scores, key=lambda j: (-round(scores[j], 9), j))
+        most = scores[i] / math.sqrt(known2 + others2 * self._low**2)
+        if most < self._least - 1e-6:
+            return None
+        return scores[i] / math.sqrt(known2 + others2 * self._high**2), most, {"name": self._names[i], "dot": scores[i], "known2": known2, "others": others}
+
+    def candidates(self, text: bytes, header_lines: int, entire_least: float) -> list[dict]:
+        """Runs of at most ``header_lines`` lines with words, and the whole text, that can be the best: none that another surely beats."""
+        if self.telling.isdisjoint(_WORD.findall(text)):
+            return []
+        lines = [x for x in map(_WORD.findall, text.split(b"\n")) if x]
+        found = []
+        told = [not self.telling.isdisjoint(x) for x in lines]
+        for a in range(len(lines)):
+            if not any(told[a : a + header_lines]):
+                continue
+            run: Counter = Counter()
+            for b in range(a, min(a + header_lines, len(lines))):
+                run.update(lines[b])
+                if (c := self.candidate(run)) is not None:
+                    found.append(c)
+        sure = max((c[0] for c in found), default=0.0)
+        kept = [{**c[2], "whole": False} for c in found if c[1] >= sure - 1e-6]
+        entire = self.candidate(Counter(w for x in lines for w in x))
+        if entire is not None and (entire[1] >= sure - 1e-6 or entire[1] >= entire_least - 1e-6):
+            strict = entire[2]["dot"] / math.sqrt(entire[2]["known2"] + sum(x["tf"] ** 2 for x in entire[2]["others"]) * self._none**2)
+            kept.append({**entire[2], "whole": strict >= entire_least})
+        return kept
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of all words, some hundred thousand words at a time."""
+
+    def some(df: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["word", "df"])
+
+    df: Counter = Counter()
+    for _, texts in doc_chunks(batches):
+        for t in texts:
+            df.update(set(_WORD.findall(t.lower())))
+            if len(df) > 200_000:
+                yield some(df)
+                df = Counter()
+    yield some(df)
+
+
+_CANDIDATES = "array<struct<name:string,dot:double,known2:double,others:array<struct<word:binary,tf:int>>,whole:boolean>>"
+_FOUND = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("known2", pa.float64()), ("others", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))), ("whole", pa.bool_())]))
+
+
+def _scan(matcher: Matcher, header_lines: int, entire_least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in doc_chunks(batches):
-            rows = []
-            for i, path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                low, best, whole = text.lower(), (None, 0.0), False
-                if telling.search(low):  # else no line can come near any template
-                    lines = low.split(b"\n")
-                    best = max((matcher.nearest(x) for x in lines if telling.search(x)), key=lambda x: x[1], default=best)
-                    entire = matcher.nearest(low)
-                    whole = entire[1] >= entire_least
-                    best = entire if entire[1] > best[1] else best
-                own = best[0] if best[1] >= least else None
-                rows.append((i, path, own, round(best[1], 6), whole))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
+            found = [matcher.candidates(t.lower(), header_lines, entire_least) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, _FOUND)], names=["id", "path", "found"])
 
     return run
 
 
-def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.6, entire_least: float = 0.9) -> DataFrame:
+def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.6, entire_least: float = 0.9, header_lines: int = 1) -> DataFrame:
     """(id, path, license, score, how, from_path): how is header, file, inherited or none. A file named like a licence, or
     whose whole text is within ``entire_least`` of a template, is a licence file; other notices need ``least``."""
     templates = templates or TEMPLATES
     src = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("binary").alias("text"))
-    counts = src.mapInArrow(_frequencies(Matcher.vocabulary(templates)), "word binary, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()  # the templates' words only
-    matcher = Matcher(templates, {bytes(r.word): r.df for r in counts}, max((r.df for r in counts), default=0))
-    scanned = materialize(src.mapInArrow(_scan(matcher, least, entire_least), "id long, path string, own string, score double, whole boolean"), "scanned")
+    counts = materialize(src.mapInArrow(_frequencies, "word binary, df long").groupBy("word").agg(F.sum("df").alias("df")), "words")
+    n = src.count()
+    known = counts.join(F.broadcast(src.sparkSession.createDataFrame([(bytearray(w),) for w in sorted(Matcher.vocabulary(templates))], "word binary")), "word").collect()  # the templates' words only
+    matcher = Matcher(templates, {bytes(r.word): r.df for r in known}, n, least)
+    found = src.mapInArrow(_scan(matcher, header_lines, entire_least), f"id long, path string, found {_CANDIDATES}")
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    each = found.select("row", F.posexplode("found").alias("pos", "c")).select("row", "pos", "c.*")
+    others = each.select("row", "pos", F.explode("others").alias("o")).join(counts, F.col("o.word") == F.col("word"))
+    others = others.groupBy("row", "pos").agg(F.sum(F.pow(F.col("o.tf") * (F.log((F.lit(n) + 2) / (F.col("df") + 1)) + 1), 2.0)).alias("others2"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("known2") + F.coalesce("others2", F.lit(0.0))), 6)
+    best = each.join(others, ["row", "pos"], "left").withColumn("score", score).groupBy("row").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"), "name")).alias("b"), F.max("whole").alias("whole"))
+    told = found.select("row", "id", "path").join(best, "row", "left")
+    scanned = materialize(told.select("id", "path", F.when(F.col("b.score") >= least, F.col("b.name")).alias("own"), F.coalesce("b.score", F.lit(0.0)).alias("score"), F.coalesce("whole", F.lit(False)).alias("whole")), "scanned")
     parent = F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"/?[^/]*$", ""))
     scanned = scanned.withColumn("dir", parent).withColumn("is_file", F.coalesce(F.col("own").isNotNull() & (F.col("whole") | F.col("path").rlike(_FILE)), F.lit(False)))
     held = scanned.filter("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "own")).alias("best"))

@@ -226,6 +226,24 @@ def test_licenses(spark):
     assert got[4] == (None, "none", None) and got[5] == (None, "none", None)
 
 
+def test_license_weights(spark):
+    """Scores by the frequencies of all words over all files: against brute force, for notices that stand among other words."""
+    import math
+
+    from huegrain.llm.license_scan import _WORD, TEMPLATES
+
+    texts = ["Copyright 2024 Jane Doe. Licensed under the Apache License, Version 2.0.", "This file is licensed under the MIT license by Acme Corporation."]
+    texts += ["copyright 2024 jane doe this file by acme corporation"] * 60 + ["plain"] * 20
+    got = {r.id: r for r in license_scan(spark.createDataFrame([(i, f"d{i}/x.py", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")).collect()}
+    bags = [collections.Counter(_WORD.findall(t.lower().encode())) for t in texts]
+    df = collections.Counter(w for b in bags for w in b)
+    vector = lambda c: {w: k * (math.log((len(texts) + 2) / (df[w] + 1)) + 1) for w, k in c.items()}
+    cos = lambda x, y: sum(x[w] * y.get(w, 0) for w in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    for i, name in enumerate(["Apache-2.0", "MIT"]):
+        want = max(cos(vector(bags[i]), vector(collections.Counter(_WORD.findall(t.encode())))) for ts in TEMPLATES.values() for t in ts)
+        assert (got[i].license, got[i].score) == (name, pytest.approx(want, abs=1e-5)) and want >= 0.6
+
+
 def test_chats(spark):
     a, b, c = ("user", "hi"), ("assistant", "yes"), ("user", "more")
     logged = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [b], 6: [(None, None)], 7: [("", "")], 8: [a, c]}
