@@ -36,9 +36,10 @@ TEMPLATES = {
     "CC-BY-4.0": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "CC-BY-NC-4.0": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "CC-BY-SA-4.0": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
-    "GPL-2.0": ["this work is licensed under the gnu general public license version 2", "spdx-license-identifier gpl-2.0"],
-    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3", "spdx-license-identifier gpl-3.0"],
-    "LGPL-3.0": ["this work is licensed under the gnu lesser general public license version 3", "spdx-license-identifier lgpl-3.0"],
+    "GPL-2.0": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "this work is licensed under the gnu general public license version 2", "spdx-license-identifier gpl-2.0"],
+    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "spdx-license-identifier gpl-3.0"],
+    "LGPL-2.1": ["this work is licensed under the gnu lesser general public license version 2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version", "spdx-license-identifier lgpl-2.1"],
+    "LGPL-3.0": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this work is licensed under the gnu lesser general public license version 3", "spdx-license-identifier lgpl-3.0"],
     "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "spdx-license-identifier mit"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "spdx-license-identifier mpl-2.0"],
 }
@@ -148,7 +149,7 @@ def _scan(matcher: Matcher, header_lines: int, entire_least: float):
     return run
 
 
-def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.6, entire_least: float = 0.9, header_lines: int = 1) -> DataFrame:
+def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.6, entire_least: float = 0.9, header_lines: int = 8) -> DataFrame:
     """(id, path, license, score, how, from_path): how is header, file, inherited or none. A file named like a licence, or
     whose whole text is within ``entire_least`` of a template, is a licence file; other notices need ``least``."""
     templates = templates or TEMPLATES

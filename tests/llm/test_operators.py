@@ -244,6 +244,16 @@ def test_license_weights(spark):
         assert (got[i].license, got[i].score) == (name, pytest.approx(want, abs=1e-5)) and want >= 0.6
 
 
+def test_license_candidates(spark):
+    """No candidate is lost: short notices, templates of one's own, notices over several comment lines."""
+    gpl = "// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation; either version {} of the License, or\n// (at your option) any later version.\nint x;"
+    texts = ["CC BY-SA 4.0", gpl.format(2), gpl.format(3), "int x;"]
+    df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, t in enumerate(texts)] + [(9, "d9/y", "frobnicate freely forever")], "doc_id long, path string, text string")
+    got = {r.id: r.license for r in license_scan(df).collect()}
+    assert got == {0: "CC-BY-SA-4.0", 1: "GPL-2.0", 2: "GPL-3.0", 3: None, 9: None}
+    assert {r.id: r.license for r in license_scan(df, templates={"own": ["frobnicate freely forever"]}).collect()}[9] == "own"
+
+
 def test_chats(spark):
     a, b, c = ("user", "hi"), ("assistant", "yes"), ("user", "more")
     logged = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [b], 6: [(None, None)], 7: [("", "")], 8: [a, c]}
