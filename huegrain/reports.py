@@ -287,9 +287,9 @@ def archive_paths(spark, d):
 
 
 def downsample_palettes(spark, d):
-    """Each archive's colours at most 60: copied where they are so few, else weighted k-means."""
+    """Each archive's colours at most 1900: copied where they are so few, else weighted k-means."""
     rows = src.palette_colors(spark, d).join(src.archives_of(spark, d).select("instance_id", "archive_id"), "instance_id")
-    return K.downsample(rows, 60)
+    return K.downsample(rows, 1900)
 
 
 ALL = [coverage_bimodal, coverage_histogram, pair_features, pair_merge_rates, boundary_strata, merge_sweep, rule_mcnemar, depth_tests, depth_p_values, zone_discount_tests, scale_bounds, swatch_scales, selection_rollup, zone_order, saturation_bands, zone_ball, nearest_zone, mutual_information, archetype_row_pct, stratified_sample, sample_fingerprint, sample_metadata, round_robin, drift_pairs, longest_series, dataset_totals, keyword_coverage, term_signals, label_metrics, archive_paths, downsample_palettes]

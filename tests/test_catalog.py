@@ -104,3 +104,16 @@ def test_downsample_keeps_coverage(spark):
     had = src.palette_colors(spark, SF).join(src.archives_of(spark, SF), "instance_id").agg(F.sum("perc")).first()[0]
     out = reports.downsample_palettes(spark, SF)
     assert out.agg(F.sum("perc")).first()[0] == pytest.approx(had) and out.groupBy("archive_id").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_downsample_copies_small_archives(spark):
+    from huegrain import reports
+    from huegrain.operators.cluster import downsample
+    from huegrain.sources import catalogue as src
+
+    sf = "/root/testdata/sf0.1"  # at most 404 colours an archive, under the 1900 of the reference
+    rows = src.palette_colors(spark, sf).join(src.archives_of(spark, sf), "instance_id")
+    assert reports.downsample_palettes(spark, sf).count() == rows.count()
+    few = spark.createDataFrame([(1, i, 1, float(50 * (i % 2) + i / 10), 0.0, 0.0, 1.0 + i) for i in range(6)], "archive_id long, instance_id long, cluster_rank long, lab_l double, lab_a double, lab_b double, perc double")
+    got = sorted((round(r.lab_l, 6), r.perc) for r in downsample(few, 2).collect())
+    assert got == [(round((0.2 * 3 + 0.4 * 5) / 9, 6), 9.0), (round((50.1 * 2 + 50.3 * 4 + 50.5 * 6) / 12, 6), 12.0)]
