@@ -198,21 +198,27 @@ def farthest_points(spark, d):
 
 
 def archive_drift(spark, d):
-    """Transport distance of each month's zone shares to the brand's first month, under LAB distance; a group is one month's zones."""
-    shares = dominant(spark, d).groupBy("brand", "month", "color_cluster").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("lab_l", "lab_a", "lab_b")))
-    shares = shares.withColumn("base", F.min("month").over(Window.partitionBy("brand")))
-    first, later = shares.filter("month = base").drop("base"), shares.filter("month > base").select(*(F.col(c).alias(c) for c in ("brand", "month", "n", "lab_l", "lab_a", "lab_b")))
-
-    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for month, g in y.groupby("month", sort=True):
-            p, q = (t[["lab_l", "lab_a", "lab_b"]].to_numpy() for t in (x, g))
-            cost = np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1))
-            distance, met = K.sinkhorn(x["n"].to_numpy() / x["n"].sum(), g["n"].to_numpy() / g["n"].sum(), cost, reg=2.0, tol=1e-6, rounds=300)
-            out.append((key[0], month, round(distance, 8), met))
-        return pd.DataFrame(out, columns=["brand", "month", "distance", "converged"])
-
-    return first.groupBy("brand").cogroup(later.groupBy("brand")).applyInPandas(run, "brand string, month string, distance double, converged boolean")
+    """Transport distance of each later archive's down-sampled palette, weighted by coverage, to that of the earliest archive of
+    its brand and gender, under CIEDE2000 and regularisation 0.1; a row is one pair of archives."""
+    from .reports import downsample_palettes, drift_pairs
+
+    lab = ["lab_l", "lab_a", "lab_b"]
+    palettes = downsample_palettes(spark, d).filter("perc > 0").groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("place", *lab, "perc"))).alias("colors"))
+    palettes = palettes.select("archive_id", *(F.col(f"colors.{c}").alias(c) for c in (*lab, "perc")))
+    base = palettes.select(F.col("archive_id").alias("base_id"), *(F.col(c).alias(f"base_{c}") for c in (*lab, "perc")))
+    pairs = drift_pairs(spark, d).join(palettes, "archive_id").join(base, "base_id")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                (x, p), (y, q) = ((np.stack([r[f"{s}{c}"] for c in lab], 1).astype(float), np.asarray(r[f"{s}perc"], float)) for s in ("base_", ""))
+                distance, met = K.sinkhorn(p / p.sum(), q / q.sum(), K.de00(x, y), reg=0.1, tol=1e-9, rounds=1000)
+                out.append((r["brand"], r["gender"], r["base_id"], r["archive_id"], r["month"], round(distance, 8), met))
+            yield pd.DataFrame(out, columns=["brand", "gender", "base_id", "archive_id", "month", "distance", "converged"])
+
+    wide = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive_id")  # the work is in the rows, not in their bytes
+    return wide.mapInPandas(run, "brand string, gender string, base_id long, archive_id long, month string, distance double, converged boolean")
 
 
 _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, archetype_distribution, archetype_crosstab, coverage_quantiles, gender_rules, discount_baseline, cluster_tests, cluster_centroids, temporal_cube, month_window, smoothed_deviation, palette_pair_de00, keyword_exclusion, keyword_map, term_statistics, attrition, label_confusion, sample_sizes, unprocessed_archives, recent_archives, zone_price_tests, rand_index, hue_families, farthest_points, archive_drift]

@@ -117,3 +117,32 @@ def test_downsample_copies_small_archives(spark):
     few = spark.createDataFrame([(1, i, 1, float(50 * (i % 2) + i / 10), 0.0, 0.0, 1.0 + i) for i in range(6)], "archive_id long, instance_id long, cluster_rank long, lab_l double, lab_a double, lab_b double, perc double")
     got = sorted((round(r.lab_l, 6), r.perc) for r in downsample(few, 2).collect())
     assert got == [(round((0.2 * 3 + 0.4 * 5) / 9, 6), 9.0), (round((50.1 * 2 + 50.3 * 4 + 50.5 * 6) / 12, 6), 12.0)]
+
+
+@pytest.mark.parametrize("lab1,lab2,want", [((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, 2.5, 0), (73, 25, -18), 27.1492), ((2.0776, 0.0795, -1.135), (0.9033, -0.0636, -0.5514), 0.9082), ((50, -0.001, 2.49), (50, 0.0009, -2.49), 4.8045)])
+def test_de00_matrix(lab1, lab2, want):
+    from huegrain.operators.cluster import de00
+
+    assert de00(np.array([lab1], float), np.array([lab2], float))[0, 0] == pytest.approx(want, abs=1e-4)
+
+
+def test_archive_drift_pairs(spark):
+    """A row for each pair of archives; the distances by plain log-domain rounds over the pairs' whole palettes."""
+    from huegrain import reports
+    from huegrain.operators.cluster import de00
+
+    got = {(r.base_id, r.archive_id): r for r in catalog.archive_drift(spark, SF).collect()}
+    pairs = reports.drift_pairs(spark, SF).collect()
+    colors = {}
+    for r in reports.downsample_palettes(spark, SF).collect():
+        colors.setdefault(r.archive_id, []).append((r.lab_l, r.lab_a, r.lab_b, r.perc))
+    assert set(got) == {(r.base_id, r.archive_id) for r in pairs if r.base_id in colors and r.archive_id in colors} and len(got) > 20
+    for base, later in sorted(got)[:8]:
+        x, y = np.array(colors[base]), np.array(colors[later])
+        a, b, cost = x[:, 3] / x[:, 3].sum(), y[:, 3] / y[:, 3].sum(), de00(x[:, :3], y[:, :3])
+        f, g = np.zeros(len(a)), np.zeros(len(b))
+        for _ in range(3000):
+            f = np.log(a) - np.logaddexp.reduce(-cost / 0.1 + g[None], axis=1)
+            g = np.log(b) - np.logaddexp.reduce(-cost / 0.1 + f[:, None], axis=0)
+        if got[base, later].converged:
+            assert got[base, later].distance == pytest.approx((np.exp(-cost / 0.1 + f[:, None] + g[None]) * cost).sum(), abs=1e-4)
