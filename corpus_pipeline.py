@@ -17,10 +17,16 @@ from huegrain.llm.packing import retrieval_pack
 LEAST_LANGUAGE_SCORE = 0.4
 
 
-def _whole(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept; of rows that repeat an id with the same text, one."""
-    rows = docs.join(kept.select("doc_id"), "doc_id", "left_semi").withColumn("_same", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written once: ids can be null or repeat."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _first(rows: DataFrame, groups: DataFrame, *order) -> DataFrame:
+    """The first row, by ``order``, then id (null last), then number, of each group of (_row, _group)."""
+    places = rows.select("_row", F.struct(*order, F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_place"))
+    best = groups.join(places, "_row").groupBy("_group").agg(F.min("_place").alias("b")).select("b._row")
+    return rows.join(best, "_row", "left_semi").drop("_row")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +44,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _whole(docs, exact_dedup(docs).filter("kept"))
+    """One document of each group of texts that are equal without white space: the longest, then the smallest id."""
+    rows = _numbered(docs)
+    groups = exact_dedup(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    return _first(rows, groups, (-F.length(F.coalesce("text", F.lit("")))).alias("short"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of near copies (five words, 0.8)."""
-    return _whole(docs, jaccard_components(docs, words=5, pct=80).filter("doc_id = component_id"))
+    rows = _numbered(docs)
+    found = jaccard_components(rows, id_col="_row", words=5, pct=80)
+    return _first(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

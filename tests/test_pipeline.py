@@ -1,0 +1,25 @@
+"""The dedup stages of the corpus pipeline against brute force, with null and repeated ids."""
+
+import re
+
+import corpus_pipeline as cp
+
+LONG = [f"w{i}" for i in range(60)]
+ROWS = [(None, "only one"), (None, "same text"), (4, "same text"), (4, "another of id four"), (7, "another  of id four"), (7, "kept for seven"), (None, None), (8, ""), (9, "x y"), (9, "x y")]
+
+
+def test_exact(spark):
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(ROWS)], "doc_id long, text string, k long").repartition(3)
+    groups = {}
+    for k, (i, t) in enumerate(ROWS):
+        groups.setdefault(re.sub(r"\s", "", t or ""), []).append((-len(t or ""), i is None, i or 0, t))
+    want = sorted(repr((None if m[1] else m[2], m[3])) for m in map(min, groups.values()))
+    assert sorted(repr((r.doc_id, r.text)) for r in cp.exact(spark, docs, "").collect()) == want
+
+
+def test_near(spark):
+    near = [" ".join("z" if j == at else w for j, w in enumerate(LONG)) for at in (0, 59)]
+    rows = [(None, " ".join(LONG)), (3, near[0]), (3, "a text of its own that nothing else is like"), (5, near[1]), (None, "another text of its own that has no id at all"), (5, "five words of id five here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [rows[i] for i in (1, 2, 4, 5)]
+    assert sorted(map(repr, map(tuple, cp.near(spark, docs, "").collect()))) == sorted(map(repr, want))
