@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,10 +19,13 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode (tests), and
+    an error on a cluster, whose executors would each write to a disk of their own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="huegrain-"))
     return f"file://{_OWN_DIR[0]}"
@@ -36,14 +40,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there,
-    a lost executor recomputes nothing before it, and a join on it gets a fresh (splittable) exchange."""
+    a lost executor recomputes nothing before it, and a join on it gets a fresh (splittable) exchange.
+    The shuffle files of the write go with its end, since nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/huegrain/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no unwritten DataFrame reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._written)
 
 
 def doc_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

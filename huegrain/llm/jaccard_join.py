@@ -1,9 +1,10 @@
 """N-gram Jaccard join by several global orders of the shingles.
 
 Two sets with Jaccard likeness of at least pct/100 share a token in their prefixes of n - ceil(pct n / 100) + 1 tokens under
-*any* global order. Each order puts common shingles last (by a hashed document-frequency table of fixed size, counted over
+*any* global order. Each order puts common shingles last (by a hashed document-frequency table of bounded size, counted over
 all documents) and breaks ties by its own hash. The first order's prefixes are an inverted index; a candidate pair must also
-share a prefix token under each further order before its whole sets are compared.
+share a prefix token under each further order, and the bits in which the sets' tables of parities differ, which are at most as
+many as the shingles that only one has, must leave room for a link, before its whole sets are compared.
 
 Identical sets are one class beforehand. Then every class is compared with one class of each index token, its lead; what
 that links is one component, and the pairs inside it are never listed. A link that is still missing joins two classes of
@@ -25,23 +26,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, doc_chunks, materialize, mix64, text_input
+from .common import doc_chunks, materialize, mix64, release, text_input
 from .components import components
 
-SLOTS = 1 << 18
 ORDERS = (0x51ED270B, 0x9E3779B9, 0x85EBCA77)
-
-
-def shingle_sets(texts: list[bytes], k: int, memo: dict) -> list[np.ndarray]:
-    """Each text's sorted distinct hashes of its runs of ``k`` words. bytes.lower and bytes.split are ASCII-only, as the words are defined."""
-    tokens = [t.lower().split() for t in texts]
-    counts = np.array([len(t) for t in tokens], np.int64)
+PARTS = 32
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of its runs of ``k`` words. bytes.lower and the split are ASCII-only, as the words are
+    defined; each distinct word of the texts is hashed once."""
+    lowered = pa.array([t.lower() for t in texts], pa.large_binary())
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), lowered.buffers()))
+    words, cuts = lists.flatten().view(pa.large_binary()), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    upto = np.concatenate([[0], np.cumsum(some)])
+    counts = np.diff(upto[cuts])
     total = int(counts.sum())
-    flat = np.fromiter((memo[w] for t in tokens for w in t), np.uint64, total)
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    flat = hashes[coded.indices.to_numpy()] if total else np.zeros(0, np.uint64)
     runs = np.zeros(0, np.uint64)
     if total >= k:
         runs = flat[: total - k + 1]
@@ -50,7 +68,7 @@ def shingle_sets(texts: list[bytes], k: int, memo: dict) -> list[np.ndarray]:
     out, at = [], 0
     for n in counts.tolist():
         if n >= k:
-            out.append(np.unique(runs[at : at + n - k + 1]))
+            out.append(_distinct(runs[at : at + n - k + 1]))
         elif n:
             short = xxhash.xxh3_64_intdigest(flat[at : at + n].tobytes(), seed=n)
             out.append(np.array([short], np.uint64))
@@ -60,45 +78,103 @@ def shingle_sets(texts: list[bytes], k: int, memo: dict) -> list[np.ndarray]:
     return out
 
 
-def _word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+def slots_for(n_docs: int) -> int:
+    """Counters of the document-frequency table: twice the documents, between 2^18 and 2^21, so that the table that every task
+    gets stays within 2 MiB."""
+    return 1 << min(21, max(18, (2 * n_docs).bit_length()))
 
 
 def prefix_length(n: int, pct: int) -> int:
     return n - (pct * n + 99) // 100 + 1
 
 
-def _count_slots(k: int):
+def _count_slots(k: int, slots: int):
+    """The table of a task's documents, in PARTS rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, table = _word_memo(), np.zeros(SLOTS, np.int64)
+        table, held, size = np.zeros(slots, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal table, held, size
+            if held:
+                table += np.bincount((np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                held, size = [], 0
+
         for _, texts in doc_chunks(batches):
-            for s in shingle_sets(texts, k, memo):
-                np.add.at(table, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["slot", "n"])
+            sets = shingle_sets(texts, k)
+            held += sets
+            if (size := size + sum(map(len, sets))) >= 2 * slots:
+                add()
+        add()
+        if table.any():
+            yield _parts(enumerate(table.reshape(PARTS, -1)))
 
     return run
 
 
-def _prefixes(k: int, pct: int, rank: bytes):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("index", pa.list_(pa.int64())), *((f"p{i}", pa.list_(pa.int32())) for i in range(1, len(ORDERS)))])
+def _parts(rows) -> pa.RecordBatch:
+    rows = [(i, zstandard.compress(x.astype("<i8").tobytes(), 1)) for i, x in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])
+
+
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All tasks' rows of a part, one at a time, to one."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            counts = np.frombuffer(zstandard.decompress(row["counts"]), "<i8")
+            total[row["part"]] = total[row["part"]] + counts if row["part"] in total else counts
+    if total:
+        yield _parts(total.items())
+
+
+def shingle_ranks(src: DataFrame, k: int) -> np.ndarray:
+    """A byte for each slot of shingles' hashes: how common they are over all documents, in steps of a quarter of a doubling."""
+    slots = slots_for(src.count())
+    counts = src.select("doc_id", "text").mapInArrow(_count_slots(k, slots), "part int, counts binary").repartition("part").mapInArrow(_sum_parts, "part int, counts binary")
+    common = np.zeros((PARTS, slots // PARTS))
+    for part, blob in counts.collect():  # PARTS rows
+        common[part] += np.frombuffer(zstandard.decompress(blob), "<i8")
+    common = common.ravel()
+    return np.floor(4 * np.log2(1 + common / max(1.0, float(np.median(common))))).clip(0, 255).astype(np.uint8)
+
+
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bit for each slot of about twice as many slots as shingles: whether an odd number of them fall there. The bits in which two
+    sets' tables differ are at most as many as the shingles that only one of them has."""
+    width = 1 << max(6, (2 * len(hashes)).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two tables differ; the larger one is folded to the smaller one's width, which keeps parities."""
+    x, y = sorted((x, y), key=len)
+    folded = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(folded ^ np.frombuffer(x, np.uint8)).sum())
+
+
+def _prefixes(k: int, pct: int, rank: np.ndarray):
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("index", pa.list_(pa.int64())), *((f"p{i}", pa.list_(pa.int32())) for i in range(1, len(ORDERS)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, classes = _word_memo(), np.frombuffer(rank, np.uint8).astype(np.uint64)
         for part, texts in doc_chunks(batches):
-            n, k1, k2, prefixes = [], [], [], [[] for _ in ORDERS]
-            for s in shingle_sets(texts, k, memo):
+            sets = shingle_sets(texts, k)
+            every = np.concatenate(sets)
+            own = [mix64(every ^ np.uint64(seed)) for seed in ORDERS]
+            common = rank[(every & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+            order = [common | x >> np.uint64(8) for x in own]
+            n, k1, k2, bits, prefixes, at = [], [], [], [], [[] for _ in ORDERS], 0
+            for s in sets:
                 key = xxhash.xxh3_128_intdigest(s.tobytes())
-                n.append(len(s)), k1.append((key >> 64) - (1 << 63)), k2.append((key & (1 << 64) - 1) - (1 << 63))
-                common = classes[(s & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(56)
+                here = slice(at, at := at + len(s))
+                n.append(len(s)), k1.append((key >> 64) - (1 << 63)), k2.append((key & (1 << 64) - 1) - (1 << 63)), bits.append(parity_bits(own[1][here]))
                 p = prefix_length(len(s), pct) if len(s) else 0
-                for i, seed in enumerate(ORDERS):
-                    own = mix64(s ^ np.uint64(seed))
-                    order = common | own >> np.uint64(8)
-                    first = np.argpartition(order, p - 1)[:p] if 0 < p < len(s) else np.arange(p)
-                    prefixes[i].append(order[first].view(np.int64) if not i else own[first].astype(np.uint32).view(np.int32))
+                for i in range(len(ORDERS)):
+                    mine = order[i][here]
+                    first = np.argpartition(mine, p - 1)[:p] if 0 < p < len(s) else np.arange(p)
+                    prefixes[i].append(mine[first].view(np.int64) if not i else own[i][here][first].astype(np.uint32).view(np.int32))
             lists = [pa.array(x, pa.list_(pa.int64() if not i else pa.int32())) for i, x in enumerate(prefixes)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), *lists], schema=schema)
 
     return run
 
@@ -107,9 +183,8 @@ def _hashes(k: int):
     schema = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _word_memo()
         for part, texts in doc_chunks(batches):
-            sets = pa.array([s.view(np.int64) for s in shingle_sets(texts, k, memo)], pa.list_(pa.int64()))
+            sets = pa.array([s.view(np.int64) for s in shingle_sets(texts, k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), sets], schema=schema)
 
     return run
@@ -137,10 +212,10 @@ def _verify(k: int, pct: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, at, base = _word_memo(), None, np.zeros(0, np.uint64)
+        at, base = None, np.zeros(0, np.uint64)
         for part, texts in doc_chunks(batches):
             links = []
-            for a, b, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(texts, k, memo)):
+            for a, b, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(texts, k)):
                 if b is None:
                     at, base = a, s
                     continue
@@ -159,37 +234,53 @@ def _only(rows: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "row_id", "left_semi")
 
 
+def _bounded(pct: int):
+    """The pairs whose tables of parities leave room for the intersection that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            kept = [i for i, n in enumerate(map(int.__add__, na, nb)) if (n - differing(x[i], y[i])) * (100 + pct) >= 2 * pct * n]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in kept], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct()
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int = 256) -> DataFrame:
-    """The links among ``pairs`` (a, b): first the further orders' prefixes must meet, then the texts' whole sets are compared.
+    """The links among ``pairs`` (a, b): the further orders' prefixes must meet and the tables of parities leave room for a link;
+    then the texts' whole sets are compared.
 
     Pairs travel to their base ``a``; a base of many pairs is dealt to several groups, each with a copy of its text."""
-    more = [f"p{i}" for i in range(1, len(ORDERS))]
-    ids = materialize(pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct(), "asked")
-    sets = materialize(_only(sets.select("row_id", "text", *more), ids), "bodies")
-    left = sets.select(F.col("row_id").alias("a"), *(F.col(c).alias(f"{c}a") for c in more))
-    right = sets.select(F.col("row_id").alias("b"), *(F.col(c).alias(f"{c}b") for c in more))
+    more = ["n", "bits", *(f"p{i}" for i in range(1, len(ORDERS)))]
+    ids = materialize(_ids(pairs), "asked")
+    sketch = materialize(_only(sets.select("row_id", *more), ids), "sketches")
+    left = sketch.select(F.col("row_id").alias("a"), *(F.col(c).alias(f"{c}a") for c in more))
+    right = sketch.select(F.col("row_id").alias("b"), *(F.col(c).alias(f"{c}b") for c in more))
     meet = pairs.join(left, "a").join(right, "b")
-    for c in more:
+    for c in more[2:]:
         meet = meet.filter(F.arrays_overlap(f"{c}a", f"{c}b"))
-    meet = materialize(meet.select("a", "b"), "candidates")
+    meet = materialize(meet.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded(pct), "a long, b long"), "candidates")
+    release(ids, sketch)
+    ids = materialize(_ids(meet), "asked")
+    body = materialize(_only(sets.select("row_id", "text"), ids), "bodies")
     dealt = materialize(meet.groupBy("a").agg(F.ceil(F.count("*") / per_group).cast("long").alias("groups")), "bases")
-    body = sets.select("row_id", "text")
     probes = meet.join(dealt, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt")).join(body, F.col("b") == F.col("row_id")).select("a", "b", "text", "salt")
     bases = dealt.join(body, F.col("a") == F.col("row_id")).select("a", F.lit(None).cast("long").alias("b"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
     rows = bases.unionByName(probes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(rows.select("a", "b", "text").mapInArrow(_verify(k, pct), "a long, b long"), "links")
+    links = materialize(rows.select("a", "b", "text").mapInArrow(_verify(k, pct), "a long, b long"), "links")
+    release(ids, body, dealt, meet)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6, few: int = 256) -> DataFrame:
     """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component."""
     src = text_input(docs, id_col, text_col)
-    spread = src.select("doc_id", "text").mapInArrow(_count_slots(words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    common = np.zeros(SLOTS)  # as many counters at every size
-    for slot, n in spread.collect():
-        common[slot] = n
-    rank = np.floor(4 * np.log2(1 + common / max(1.0, float(np.median(common))))).clip(0, 255).astype(np.uint8)
-    fields = "doc_id long, text binary, n long, k1 long, k2 long, index array<long>" + "".join(f", p{i} array<int>" for i in range(1, len(ORDERS)))
-    rows = materialize(src.mapInArrow(_prefixes(words, pct, rank.tobytes()), fields).withColumn("row_id", F.monotonically_increasing_id()), "prefixes")
+    fields = "doc_id long, text binary, n long, k1 long, k2 long, bits binary, index array<long>" + "".join(f", p{i} array<int>" for i in range(1, len(ORDERS)))
+    rows = materialize(src.mapInArrow(_prefixes(words, pct, shingle_ranks(src, words)), fields).withColumn("row_id", F.monotonically_increasing_id()), "prefixes")
     whole = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row_id").alias("rep")), "classes")
     member = materialize(rows.select("row_id", "doc_id", "n", "k1", "k2").join(whole, ["k1", "k2"], "left").select("row_id", "doc_id", "n", F.coalesce("rep", "row_id").alias("rep")), "members")
     tokens = rows.select("row_id", "n", "index").join(whole.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.explode("index").alias("token"), "row_id", "n")
