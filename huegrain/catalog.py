@@ -22,21 +22,22 @@ def to(text: str, digits: int, name: str):
 
 
 def dominant(spark: SparkSession, d: str) -> DataFrame:
-    """Each product with its dominant colour, grid cell and discount."""
-    p = src.palette_colors(spark, d).filter("cluster_rank = 1")
+    """Each product with the heaviest colour of its merged palette and that colour's merged coverage, grid cell and discount."""
+    order = Window.partitionBy("instance_id").orderBy(F.desc("perc"), "grp")
+    p = P.merge_palette(src.palette_colors(spark, d)).withColumn("place", F.row_number().over(order)).filter("place = 1").select("instance_id", "perc", "lab_l", "lab_a", "lab_b")
     rows = src.instances(spark, d).join(p, "instance_id")
     cell = "cast(floor(lab_l / 20) * 10000 + (floor(lab_a / 20) + 10) * 100 + floor(lab_b / 20) + 10 as bigint)"
     return rows.withColumn("color_cluster", E(cell)).withColumn("discounted", E("coalesce(price_curr < price_std AND price_std > 0, false)")).withColumn("depth", E("CASE WHEN discounted THEN (price_std - price_curr) * 100.0D / price_std ELSE 0 END"))
 
 
 def palette_hsb_coverage(spark, d):
-    rows = src.palette_colors(spark, d).join(src.archives_of(spark, d), "instance_id")
-    return rows.groupBy("brand", E(T.GENDER_STRICT).alias("gender"), E(C.hsb_class(C.hsb_saturation("lab_l", "lab_a", "lab_b"))).alias("band")).agg(F.count("*").alias("n_colors"), to("sum(perc)", 2, "coverage"))
+    rows = C.with_saturation(src.palette_colors(spark, d)).join(src.archives_of(spark, d), "instance_id")
+    return rows.groupBy("brand", E(T.GENDER_STRICT).alias("gender"), E(C.hsb_class("sat")).alias("band")).agg(F.count("*").alias("n_colors"), to("sum(perc)", 2, "coverage"))
 
 
 def palette_hex(spark, d):
-    r, g, b = C.hex_text("lab_l", "lab_a", "lab_b")
-    return src.palette_colors(spark, d).select("instance_id", "cluster_rank", E(r).alias("r"), E(g).alias("g"), E(b).alias("b"), to(C.chroma("lab_a", "lab_b"), 4, "chroma"), to(C.hue("lab_a", "lab_b"), 4, "hue"))
+    rows = C.with_rgb(src.palette_colors(spark, d))
+    return rows.select("instance_id", "cluster_rank", *(E(C.byte_of(c)).alias(c) for c in "rgb"), to(C.chroma("lab_a", "lab_b"), 4, "chroma"), to(C.hue("lab_a", "lab_b"), 4, "hue"))
 
 
 def palette_merge(spark, d):
@@ -63,7 +64,7 @@ def archetype_crosstab(spark, d):
 
 def coverage_quantiles(spark, d):
     share = lambda t: to(f"avg(cast(coverage_1 >= {t} as int)) * 100", 3, f"pct_{t}")
-    return _placed(spark, d).rollup("brand").agg(to("avg(coverage_1)", 3, "mean_1"), to("median(coverage_1)", 3, "median_1"), share(70), share(90)).withColumn("brand", F.coalesce("brand", F.lit("Overall")))
+    return _placed(spark, d).rollup("brand").agg(to("avg(coverage_1)", 3, "mean_1"), to("median(coverage_1)", 3, "median_1"), share(70), share(80), share(90)).withColumn("brand", F.coalesce("brand", F.lit("Overall")))
 
 
 def gender_rules(spark, d):
@@ -80,7 +81,7 @@ def cluster_tests(spark, d):
     rows = dominant(spark, d)
     stats = rows.groupBy("color_cluster").agg(F.count("*").alias("n_products"), E("sum(cast(discounted as int))").alias("n_discounted"), E("avg(CASE WHEN discounted THEN depth END)").alias("depth"))
     base = rows.agg(E("sum(cast(discounted as int)) * 1.0D / count(*)").alias("p0"))
-    z = stats.crossJoin(F.broadcast(base)).withColumn("z", E("CASE WHEN n_products >= 14 THEN (n_discounted * 1.0D / n_products - p0) / sqrt(p0 * (1 - p0) / n_products) END")).withColumn("pval", E(S.normal_two_tailed("z")))
+    z = stats.crossJoin(F.broadcast(base)).withColumn("z", E("CASE WHEN n_products >= 14 THEN (n_discounted * 1.0D / n_products - p0) / greatest(sqrt(p0 * (1 - p0) / n_products), 1e-10) END")).withColumn("pval", E(S.normal_two_tailed("z")))
     tested = z.filter("z is not null").withColumn("rk", F.row_number().over(Window.orderBy("pval", "color_cluster"))).withColumn("m", F.count("*").over(Window.partitionBy()))
     cut = tested.filter("pval <= rk * 0.05D / m").agg(F.max("pval").alias("cut"))
     return z.crossJoin(F.broadcast(cut)).select("color_cluster", "n_products", "n_discounted", to("depth", 3, "depth_pct"), to("z", 3, "freq_z"), E("z is not null").alias("freq_testable"), E("coalesce(pval <= cut, false)").alias("freq_significant"))

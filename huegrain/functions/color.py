@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 
 def to(x: str, digits: int = 4) -> str:
     """Rounding that is the same in every engine."""
     return f"(floor(({x}) * {10**digits}e0 + 0.5e0) / {10**digits}e0)"
 
 
-def rgb(l: str, a: str, b: str) -> tuple[str, str, str]:
-    """sRGB 0..1 of CIELAB under D65 (IEC 61966-2-1)."""
-    fy = f"(({l} + 16) / 116.0e0)"
-    finv = lambda t: f"(CASE WHEN {t} > 6.0e0 / 29 THEN power({t}, 3) ELSE ({t} - 16.0e0 / 116) / 7.787e0 END)"
-    x, y, z = f"(0.95047e0 * {finv(f'({fy} + {a} / 500.0e0)')})", finv(fy), f"(1.08883e0 * {finv(f'({fy} - {b} / 200.0e0)')})"
+def staged(df, steps: list[tuple[str, str]], keep: dict[str, str]):
+    """``df`` with the columns ``keep`` (column -> name of a step); steps are columns over those before them, so that each is worked
+    out once a row, whatever uses it."""
+    for name, text in steps:
+        df = df.withColumn(name, F.expr(text))
+    for column, name in keep.items():
+        df = df.withColumn(column, F.col(name))
+    return df.drop(*(name for name, _ in steps))
+
+
+def rgb_steps(l: str, a: str, b: str) -> list[tuple[str, str]]:
+    """sRGB 0..1 of CIELAB under D65 (IEC 61966-2-1) as the steps _r, _g and _b."""
+    finv = lambda t: f"CASE WHEN {t} > 6.0e0 / 29 THEN {t} * {t} * {t} ELSE ({t} - 16.0e0 / 116) / 7.787e0 END"
+    # fixed values: the matrix of the standard
     rows = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+    steps = [("_fy", f"({l} + 16) / 116.0e0"), ("_fx", f"_fy + {a} / 500.0e0"), ("_fz", f"_fy - {b} / 200.0e0")]
+    steps += [("_x", f"0.95047e0 * ({finv('_fx')})"), ("_y", finv("_fy")), ("_z", f"1.08883e0 * ({finv('_fz')})")]
+    steps += [(f"_l{c}", f"{m[0]}e0 * _x + {m[1]}e0 * _y + {m[2]}e0 * _z") for c, m in zip("rgb", rows)]
+    return steps + [(f"_{c}", f"greatest(0.0e0, least(1.0e0, CASE WHEN _l{c} <= 0.0031308e0 THEN 12.92e0 * _l{c} ELSE 1.055e0 * power(greatest(_l{c}, 0.0e0), 1 / 2.4e0) - 0.055e0 END))") for c in "rgb"]
 
-    def channel(m: tuple[float, float, float]) -> str:
-        v = f"({m[0]}e0 * {x} + {m[1]}e0 * {y} + {m[2]}e0 * {z})"
-        return f"greatest(0.0e0, least(1.0e0, CASE WHEN {v} <= 0.0031308e0 THEN 12.92e0 * {v} ELSE 1.055e0 * power(greatest({v}, 0.0e0), 1 / 2.4e0) - 0.055e0 END))"
 
-    return tuple(channel(m) for m in rows)
+def with_rgb(df, l: str = "lab_l", a: str = "lab_a", b: str = "lab_b"):
+    """``df`` with r, g and b between 0 and 1."""
+    return staged(df, rgb_steps(l, a, b), {"r": "_r", "g": "_g", "b": "_b"})
 
 
-def hsb_saturation(l: str, a: str, b: str) -> str:
-    r, g, bl = rgb(l, a, b)
-    most = f"greatest({r}, {g}, {bl})"
-    return f"(CASE WHEN {most} <= 0 THEN 0.0e0 ELSE ({most} - least({r}, {g}, {bl})) / {most} * 100 END)"
+def with_saturation(df, l: str = "lab_l", a: str = "lab_a", b: str = "lab_b", name: str = "sat"):
+    """``df`` with the HSB saturation of a colour in percent; 0 for black."""
+    steps = [*rgb_steps(l, a, b), ("_most", "greatest(_r, _g, _b)"), ("_least", "least(_r, _g, _b)"), ("_sat", "CASE WHEN _most <= 0 THEN 0.0e0 ELSE (_most - _least) / _most * 100 END")]
+    return staged(df, steps, {name: "_sat"})
 
 
 def hsb_class(sat: str, saturated: float = 50, muted: float = 12) -> str:
     return f"(CASE WHEN {sat} >= {saturated} THEN 'saturated' WHEN {sat} >= {muted} THEN 'muted' ELSE 'neutral' END)"
 
 
-def hex_text(l: str, a: str, b: str, rounding: bool = False) -> tuple[str, str, str]:
-    """The three bytes; truncated or rounded half to even."""
-    return tuple(f"cast({'floor(' + c + ' * 255 + 0.5)' if rounding else 'floor(' + c + ' * 255)'} as int)" for c in rgb(l, a, b))
+def byte_of(channel: str, rounding: bool = False) -> str:
+    """A channel of 0..1 as 0..255: truncated, or rounded half to even."""
+    return f"cast(bround({channel} * 255, 0) as int)" if rounding else f"cast(floor({channel} * 255) as int)"
+
+
+def hex_of(r: str = "r", g: str = "g", b: str = "b", rounding: bool = False) -> str:
+    return "lower(concat('#', " + ", ".join(f"lpad(hex({byte_of(c, rounding)}), 2, '0')" for c in (r, g, b)) + "))"
 
 
 def chroma(a: str, b: str) -> str:
@@ -47,15 +65,8 @@ def hue(a: str, b: str, neutral: float = 8) -> str:
 
 
 def hue_difference(h1: str, h2: str) -> str:
-    return f"least(abs({h1} - {h2}), 360 - abs({h1} - {h2}))"
-
-
-def merges(x: str, y: str, neutral: float = 8, low: float = 15, lightness: float = 35, hue_gap: float = 25) -> str:
-    """Whether two palette colours (aliases with lab_l, lab_a, lab_b) are one: near-greys by lightness, others by hue."""
-    cx, cy = (chroma(f"{t}.lab_a", f"{t}.lab_b") for t in (x, y))
-    hx, hy = (hue(f"{t}.lab_a", f"{t}.lab_b", neutral) for t in (x, y))
-    close = f"abs({x}.lab_l - {y}.lab_l) <= {lightness}"
-    return f"(CASE WHEN {cx} < {low} AND {cy} < {low} THEN {close} WHEN {hx} IS NULL AND {hy} IS NULL THEN {close} WHEN {hx} IS NULL OR {hy} IS NULL THEN FALSE ELSE {hue_difference(hx, hy)} < {hue_gap} END)"
+    """To nine digits, so that angles of 25, 45 or 90 degrees compare alike in every engine."""
+    return to(f"least(abs({h1} - {h2}), 360 - abs({h1} - {h2}))", 9)
 
 
 def de00_steps(l1: str, a1: str, b1: str, l2: str, a2: str, b2: str) -> list[tuple[str, str]]:
@@ -81,8 +92,6 @@ def de00_steps(l1: str, a1: str, b1: str, l2: str, a2: str, b2: str) -> list[tup
 
 def with_de00(df, *lab: str):
     """``df`` with a ``de00`` column between the two colours named by six columns."""
-    from pyspark.sql import functions as F
-
     steps = de00_steps(*lab)
     for name, text in steps:
         df = df.withColumn(name, F.expr(text))

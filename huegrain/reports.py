@@ -20,34 +20,25 @@ from .sources import catalogue as src
 
 E = F.expr
 
-HUE_GAPS = (10, 15, 20, 25, 30, 35, 40)
 BANDS = (20, 45, 70)
 SEED = "42"
-BAND = C.hsb_class(C.hsb_saturation("lab_l", "lab_a", "lab_b"))
-
-#: name, expression over x and y: what is said of two colours of a product
-_CX, _CY = (C.chroma(f"{t}.lab_a", f"{t}.lab_b") for t in "xy")
-_HX, _HY = (C.hue(f"{t}.lab_a", f"{t}.lab_b") for t in "xy")
+#: fixed values: the candidates of each constant of the merge rule
+SWEEPS = {"hue_merge": range(10, 46), "low_chroma_merge": range(5, 31), "low_chroma_max_delta_l": range(10, 61), "neutral_chroma": range(2, 21)}
+#: hand labels are private; colours that chains of steps under so many units of LAB join stand in for a person's groups
+LABEL_RADIUS = 30
 PAIR = {
-    "dl": "abs(x.lab_l - y.lab_l)",
-    "dchroma": f"abs({_CX} - {_CY})",
-    "dhue": C.hue_difference(_HX, _HY),
-    "mean_l": "(x.lab_l + y.lab_l) / 2",
-    "min_chroma": f"least({_CX}, {_CY})",
-    "max_chroma": f"greatest({_CX}, {_CY})",
+    "dl": "abs(l1 - l2)", "dchroma": "abs(c1 - c2)", "dhue": f"CASE WHEN least(c1, c2) >= 8 THEN {C.hue_difference('t1', 't2')} END",
+    "mean_l": "(l1 + l2) / 2", "min_chroma": "least(c1, c2)", "max_chroma": "greatest(c1, c2)",
 }
-MERGED = C.merges("x", "y")
-LEGACY = C.merges("x", "y", lightness=1000)
 KIND = "(CASE WHEN max_chroma < 15 THEN 'low' WHEN min_chroma < 8 THEN 'mixed' ELSE 'chromatic' END)"
-#: the first border that a pair lies near: chroma, hue, lightness; 4 when it is clear of all
-STRATUM = "(CASE WHEN abs(max_chroma - 15) <= 2 THEN 1 WHEN abs(coalesce(dhue, 180) - 25) <= 3 THEN 2 WHEN abs(dl - 35) <= 3 AND max_chroma < 15 THEN 3 ELSE 4 END)"
+#: the first border that a pair lies near, in priority: a chroma threshold (within 4), the hue gap, the lightness guard (within 8); 4 when clear of all
+STRATUM = "(CASE WHEN abs(max_chroma - 15) <= 4 OR abs(max_chroma - 8) <= 4 OR abs(min_chroma - 15) <= 4 OR abs(min_chroma - 8) <= 4 THEN 1 WHEN abs(dhue - 25) <= 8 THEN 2 WHEN max_chroma < 15 AND abs(dl - 35) <= 8 THEN 3 ELSE 4 END)"
 
 
 def _coverages(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each merged colour: within a product and saturation band, colours closer than 60 are one."""
-    banded = src.palette_colors(spark, d).withColumn("instance_id", F.struct("instance_id", E(BAND).alias("band")))
-    near = "sqrt(power(p[i].lab_l - p[j].lab_l, 2) + power(p[i].lab_a - p[j].lab_a, 2) + power(p[i].lab_b - p[j].lab_b, 2)) < 60"
-    merged = P.merge_palette(banded, near).select("instance_id.instance_id", "instance_id.band", "perc")
+    banded = C.with_saturation(src.palette_colors(spark, d)).withColumn("band", E(C.hsb_class("sat")))
+    merged = P.merge_palette(banded, lambda i, j: P.near_lab(i, j, 60), ("instance_id", "band")).select("instance_id", "band", "perc")
     return merged.join(src.archives_of(spark, d), "instance_id").withColumn("gender", E(T.GENDER_STRICT)).filter("gender is not null")
 
 
@@ -60,10 +51,23 @@ def coverage_histogram(spark, d):
     return _coverages(spark, d).groupBy("band", E("cast(least(39, floor(perc / 2.5e0)) as int)").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """One row a product: its colours side by side, their measures, the rule's groups g1..g5 and the labelled ones u1..u5."""
+    w = P.pair_measures(P.with_measures(P.wide(src.palette_colors(spark, d), "instance_id")))
+    return P.closure(P.closure(w, P.merges), lambda i, j: P.near_lab(i, j, LABEL_RADIUS), "u")
+
+
+def pairs_of(w: DataFrame, *by: str) -> DataFrame:
+    """One row a pair of a product's colours, i < j: both colours' columns (1 and 2), what is said of them, and whether the rule, the
+    older rule without the lightness guards, the rule's groups and the labels make them one."""
+    rows = ", ".join(f"{i}, {j}, " + ", ".join(f"{k}{n}" for n in (i, j) for k in "labpctgu") + f", {P.merges(i, j)}, {P.merges(i, j, guard=False)}" for i, j in P.PAIRS)
+    names = ", ".join(f"{k}{n}" for n in (1, 2) for k in "labpctgu")
+    long = w.select(*by, E(f"stack({len(P.PAIRS)}, {rows}) AS (i, j, {names}, merged, legacy)")).filter("l1 IS NOT NULL AND l2 IS NOT NULL")
+    return long.withColumns({n: E(t) for n, t in PAIR.items()}).withColumn("grouped", E("g1 = g2")).withColumn("same", E("u1 = u2"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = src.palette_colors(spark, d)
-    both = p.alias("x").join(p.alias("y"), E("x.instance_id = y.instance_id AND x.cluster_rank < y.cluster_rank"))
-    return both.select(E("x.instance_id").alias("instance_id"), E("x.cluster_rank").alias("i"), E("y.cluster_rank").alias("j"), *(E(t).alias(n) for n, t in PAIR.items()), E(MERGED).alias("merged"), E(LEGACY).alias("legacy"))
+    return pairs_of(labelled(spark, d), "instance_id")
 
 
 def pair_features(spark, d):
@@ -82,14 +86,24 @@ def boundary_strata(spark, d):
 
 
 def merge_sweep(spark, d):
-    """For every candidate hue gap: products whose groups are those of the default rule."""
-    of = P.sweep_groups(src.palette_colors(spark, d), C.merges("p[i]", "p[j]", hue_gap="hue_gap"), "hue_gap", HUE_GAPS)
-    return of.groupBy("hue_gap").agg(F.count("*").alias("n_products"), E("count_if(g = base)").alias("n_same"), to("avg(size(array_distinct(g)))", 4, "mean_groups"))
+    """Every candidate of every constant of the rule: products whose groups are those of the default rule, and the share of pairs that
+    the groups and the bare predicate get right against the labels. A product's colours are laid out once; each candidate is bit arithmetic on them."""
+    w = labelled(spark, d)
+    ij = [f"{i}{j}" for i, j in P.PAIRS]
+    w = w.select(*(f"{k}{x}" for k in ("dl", "dh", "lo", "hi") for x in ij), *(E(f"u{x[0]} = u{x[1]}").alias(f"same{x}") for x in ij), *(E(f"g{x[0]} = g{x[1]}").alias(f"was{x}") for x in ij))
+    w = w.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(name).alias("constant"), F.lit(v).alias("candidate")) for name, values in SWEEPS.items() for v in values)))).select("*", "_c.*").drop("_c")
+    w = w.withColumns({f"r_{name}": E(f"CASE WHEN constant = '{name}' THEN candidate ELSE {default} END") for name, default in P.RULE.items()})
+    w = w.select("constant", "candidate", *(E(f"dl{x} IS NOT NULL").alias(f"is{x}") for x in ij), *(E(P.merges(*map(int, x), **{name: f"r_{name}" for name in P.RULE})).alias(f"one{x}") for x in ij), *(f"{k}{x}" for k in ("same", "was") for x in ij))
+    w = P.closure(w, lambda i, j: f"one{i}{j}", "q")
+    total = lambda said: " + ".join(f"CASE WHEN is{x} AND ({said(x)}) THEN 1 ELSE 0 END" for x in ij)
+    counts = {"n_pairs": total(lambda x: "TRUE"), "n_right": total(lambda x: f"(q{x[0]} = q{x[1]}) = same{x}"), "n_pair_right": total(lambda x: f"one{x} = same{x}"), "moved": total(lambda x: f"(q{x[0]} = q{x[1]}) <> was{x}")}
+    w = w.select("constant", "candidate", *(E(x).alias(k) for k, x in counts.items()))
+    return w.groupBy("constant", "candidate").agg(F.count("*").alias("n_products"), E("count_if(moved = 0)").alias("n_same"), to("sum(n_right) * 100.0e0 / sum(n_pairs)", 4, "group_accuracy"), to("sum(n_pair_right) * 100.0e0 / sum(n_pairs)", 4, "pair_accuracy"))
 
 
 def rule_mcnemar(spark, d):
-    """McNemar's exact p of the present rule against the older one, where colours within 20 of lightness should be one."""
-    right = _pairs(spark, d).select(E("merged = (dl <= 20)").alias("now"), E("legacy = (dl <= 20)").alias("old"), E(KIND).alias("kind"))
+    """McNemar's exact p of the present rule against the older one, by kind of pair, under the labels."""
+    right = _pairs(spark, d).select(E("merged = same").alias("now"), E("legacy = same").alias("old"), E(KIND).alias("kind"))
     counts = right.groupBy("kind").agg(E("count_if(now AND NOT old)").alias("b"), E("count_if(old AND NOT now)").alias("c"))
     return counts.withColumn("p", X.mcnemar(F.col("b"), F.col("c")))
 
@@ -145,7 +159,7 @@ def selection_rollup(spark, d):
 
 def _zones(spark: SparkSession, d: str) -> DataFrame:
     zones = dominant(spark, d).groupBy("brand", F.col("color_cluster").alias("zone")).agg(F.count("*").alias("n"), *(E(C.to(f"avg({c})", 6)).alias(c) for c in ("lab_l", "lab_a", "lab_b")))
-    return zones.withColumn("sat", E(C.to(C.hsb_saturation("lab_l", "lab_a", "lab_b"), 6))).withColumn("band", E(C.hsb_class("sat")))
+    return C.with_saturation(zones, name="sat0").withColumn("sat", E(C.to("sat0", 6))).drop("sat0").withColumn("band", E(C.hsb_class("sat")))
 
 
 ZONE_KEY = C.to("CASE WHEN band = 'neutral' THEN lab_l ELSE (CASE WHEN degrees(atan2(lab_b, lab_a)) < 0 THEN degrees(atan2(lab_b, lab_a)) + 540 ELSE degrees(atan2(lab_b, lab_a)) + 180 END) % 360 END")
