@@ -4,47 +4,48 @@ A conversation is often logged again after each turn. Two running 64-bit hashes
 hashes, 128 bits together) name every prefix of every conversation; a conversation whose whole is a proper prefix of another one
 is dropped by an anti-join, of identical ones the smallest id stays, and what is left is rendered.
 
-Only hashes are windowed; texts move once, to their conversation's rendering.
+Texts move once, to their conversation, which is written down with its turns in order; only hashes are windowed.
 
-Defined cases: turns are ordered by turn (nulls first), then role, then text; repeated turns are turns of their own; null roles
-and texts differ from empty ones when compared and render as empty; rows of null id are one conversation; extra columns
-are ignored; an empty table gives an empty result.
+Defined cases: turns are ordered by turn, then role, then text (nulls first), when compared as when rendered; repeated turns are
+turns of their own; null roles and texts differ from empty ones when compared and render as empty; a turn without an id belongs
+to no conversation that is known and is one by itself; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NO_ID = "\u0000"
+from .common import materialize
 
 
-def _key(conv_col: str) -> Column:
-    return F.coalesce(F.col(conv_col).cast("string"), F.lit(NO_ID))
+def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(row, conv_id, said): each conversation's (turn, role, text) in order."""
+    told = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("x"))
+    whole = told.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("said"))  # one conversation's turns
+    alone = told.filter("conv_id is null").select("conv_id", F.array("x").alias("said"))
+    return whole.unionByName(alone).withColumn("row", F.monotonically_increasing_id())
 
 
-def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(key, conv_id, pos, h1, h2, proper): the hashes of each conversation's first pos turns; proper unless it is the whole."""
-    told = [F.col(role_col).isNull(), F.coalesce(F.col(role_col), F.lit("")), F.col(text_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))]
-    small = turns.select(_key(conv_col).alias("key"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.xxhash64(*told).alias("t1"), F.xxhash64(F.lit(0x51ED), *told[::-1]).alias("t2"))
-    order = Window.partitionBy("key").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "t1", "t2")
-    placed = small.select("key", "conv_id", F.row_number().over(order).alias("pos"), "turn", "role", "t1", "t2", F.lead("t1").over(order).isNotNull().alias("proper"))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select("key", "conv_id", "pos", "proper", F.bit_xor(F.xxhash64("pos", "t1", "t2")).over(upto).alias("h1"), F.bit_xor(F.xxhash64("t2", "t1", "pos")).over(upto).alias("h2"))
+def prefix_hashes(convs: DataFrame) -> DataFrame:
+    """(row, conv_id, pos, proper, h1, h2): the hashes of each conversation's first pos turns; proper unless it is the whole."""
+    told = lambda x: [x["role"].isNull(), F.coalesce(x["role"], F.lit("")), x["text"].isNull(), F.coalesce(x["text"], F.lit(""))]
+    hashed = F.transform("said", lambda x: F.struct(F.xxhash64(*told(x)).alias("t1"), F.xxhash64(F.lit(0x51ED), *told(x)[::-1]).alias("t2")))
+    turns = convs.select("row", "conv_id", F.size("said").alias("n"), F.posexplode(hashed).alias("at", "t")).select("row", "conv_id", (F.col("at") + 1).alias("pos"), (F.col("at") + 1 < F.col("n")).alias("proper"), "t.t1", "t.t2")
+    upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return turns.select("row", "conv_id", "pos", "proper", F.bit_xor(F.xxhash64("pos", "t1", "t2")).over(upto).alias("h1"), F.bit_xor(F.xxhash64("t2", "t1", "pos")).over(upto).alias("h2"))
 
 
-def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(key, n_turns, n_copies) of the conversations that stay."""
-    marked = prefix_hashes(turns, conv_col, turn_col, role_col, text_col)
-    whole = marked.filter(~F.col("proper")).groupBy("pos", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "key")).alias("first"), F.count("*").alias("n_copies"))
+def maximal_conversations(convs: DataFrame) -> DataFrame:
+    """(row, n_turns, n_copies) of the conversations that stay."""
+    marked = prefix_hashes(convs)
+    whole = marked.filter(~F.col("proper")).groupBy("pos", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "row")).alias("first"), F.count("*").alias("n_copies"))
     prefixes = marked.filter("proper").select("pos", "h1", "h2").distinct()
-    return whole.join(prefixes, ["pos", "h1", "h2"], "left_anti").select(F.col("first.key").alias("key"), F.col("pos").cast("long").alias("n_turns"), "n_copies")
+    return whole.join(prefixes, ["pos", "h1", "h2"], "left_anti").select(F.col("first.row").alias("row"), F.col("pos").cast("long").alias("n_turns"), "n_copies")
 
 
 def render_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", before: str = "<|im_start|>", between: str = "\n", after: str = "<|im_end|>\n") -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered): one row for each maximal conversation."""
-    kept = maximal_conversations(turns, conv_col, turn_col, role_col, text_col)
-    said = turns.select(_key(conv_col).alias("key"), F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("said"))
-    whole = said.join(kept.select("key"), "key", "left_semi").groupBy("key").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("said")).alias("all"))
+    convs = materialize(conversations(turns, conv_col, turn_col, role_col, text_col), "conversations")
     line = lambda x: F.concat(F.lit(before), F.coalesce(x["role"], F.lit("")), F.lit(between), F.coalesce(x["text"], F.lit("")), F.lit(after))
-    return whole.join(kept, "key").select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("all", line), "").alias("rendered"))
+    return convs.join(maximal_conversations(convs), "row").select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("said", line), "").alias("rendered"))

@@ -115,7 +115,7 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row."""
     named = materialize(block_names(docs, id_col, text_col, block_bytes), "identities")
-    best = F.struct(F.col("n_chars"), (-F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))).alias("neg_id"), (-F.col("row_id")).alias("neg_row"))
-    groups = materialize(named.groupBy("level", "name").agg(F.max(best).alias("best"), F.count("*").alias("group_size")), "groups")
-    groups = groups.select("level", "name", "group_size", (-F.col("best.neg_row")).alias("keep_row"), F.when(F.col("best.neg_id") > -(2**63 - 1), -F.col("best.neg_id")).alias("keep_id"))
+    best = F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
+    groups = materialize(named.groupBy("level", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
+    groups = groups.select("level", "name", "group_size", F.col("best.row_id").alias("keep_row"), F.col("best.doc_id").alias("keep_id"))
     return named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")

@@ -175,11 +175,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sharded = F.pmod(F.col("h1"), F.lit(shards))
     counted = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).withColumn("shard", sharded)
     index = materialize(counted.groupBy("shard").applyInPandas(_build_shard, _INDEX), "line_index")
-    # a shard that many documents probe is probed by several groups, each with its own copy of the arrays
-    groups = index.select("shard", F.ceil(F.col("load") / probes_per_group).cast("long").alias("groups"))
+    # a shard that more documents probe than others is probed by several groups, each with its own copy of the arrays
+    per_group = max(1, min(probes_per_group, math.ceil(1.5 * n / shards)))
+    groups = index.select("shard", F.ceil(F.col("load") / per_group).cast("long").alias("groups"))
     probes = hashes.withColumn("shard", sharded).join(F.broadcast(groups), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("groups")))
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("load") / probes_per_group).cast("long") - 1)))
+    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("load") / per_group).cast("long") - 1)))
     dropped = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_probe(min_docs), "doc_id long, h1 long, h2 long")
     drops = dropped.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-    return src.join(drops, "doc_id", "left").mapInArrow(_rewrite(min_chars, with_text), schema)
+    rows = src.filter("doc_id is not null").join(drops, "doc_id", "left")
+    rows = rows.unionByName(src.filter("doc_id is null"), allowMissingColumns=True)  # they meet in no task of the join
+    return rows.mapInArrow(_rewrite(min_chars, with_text), schema)
