@@ -1,38 +1,42 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Documents are cut into words (runs without white space; no pre-token of the tokenizer crosses white space) and written as
-blocks: a sorted word list and, per document, positions into it. The lists meet by word, once: each distinct word of the
-corpus is encoded once, and its ids join back to each block's list by position. The ids that a block holds join the
-tokenizer's id-to-piece table, and its documents are decoded with what that join gives. Only word lists cross the network,
-never the documents.
+Documents are cut into words (runs without ASCII white space, which no pre-token of the tokenizer crosses) and written as
+blocks: a word list and, per document, positions into it. A list is in the order of its words' hashes, so that each of the
+shards by hash is a stretch of it. Stretches, not documents, cross the network; a shard encodes each distinct word once,
+and the ids come back by block and stretch. The ids that a block holds join the tokenizer's id-to-piece table, and its documents
+are decoded with what that join gives. The blocks are a table bucketed by block, so that the answers go to them.
+
+A word that all documents have is sent once a block. The number of shards follows the blocks' words, ``per_shard`` each.
 
 Defined cases: null text is encoded as empty (no ids, digests of nothing); special tokens' strings in a text become their
-ids, as in the tokenizers library; repeated rows give repeated rows; extra columns are ignored.
+ids, as in the tokenizers library; repeated rows give repeated rows; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, materialize, text_input
-
-#: separators that Python's str.split() takes for white space and the tokenizer does not
-_FALSE_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+from .common import bucketed, doc_chunks, materialize, release, shuffle_width, text_input
 
 
-def split_words(text: str) -> list[str]:
-    return [w for w in _SPACE.split(text) if w] if _FALSE_SPACE.search(text) else text.split()
+def ascii_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(words a text, the words of all of them, dictionary-encoded): runs without [\\x20\\x09-\\x0D]."""
+    raw = pa.array(texts, pa.large_binary())
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), raw.buffers()))
+    words, cuts = lists.flatten().view(pa.large_binary()), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    return np.diff(np.concatenate([[0], np.cumsum(some)])[cuts]), words.filter(pa.array(some)).dictionary_encode()
 
 
 @lru_cache(2)
@@ -57,7 +61,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-_BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("codes", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
+_BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("codes", pa.binary()), ("order", pa.binary()), ("n_words", pa.int64()), ("words", pa.binary())])
 
 
 def _blocks(max_words: int, max_bytes: int):
@@ -65,16 +69,23 @@ def _blocks(max_words: int, max_bytes: int):
         ids, counts, codes, seen, size = [], [], [], {}, 0
 
         def done() -> pa.RecordBatch:
-            words = sorted(seen)  # neighbours in a sorted list compress well
-            places = np.fromiter((seen[w] for w in words), np.uint32, len(words))
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([_pack(np.array(counts, np.uint32))]), pa.array([_pack(np.concatenate(codes) if codes else np.zeros(0, np.uint32))]), pa.array([_pack(places)]), pa.array([words], pa.list_(pa.string()))], schema=_BLOCK)
+            words = sorted((zlib.crc32(w), w) for w in seen)
+            place = np.zeros(len(words), np.uint32)
+            place[np.fromiter((seen[w] for _, w in words), np.int64, len(words))] = np.arange(len(words))
+            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for frequent words compress well
+            rank = np.zeros(len(words), np.uint32)
+            rank[often] = np.arange(len(words))
+            row = (ids, _pack(np.array(counts, np.uint32)), _pack(rank[flat]), _pack(place[often]), len(words), zstandard.compress(b" ".join(w for _, w in words), 3))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for part, texts in doc_chunks(batches, max_bytes=1 << 20):
-            for doc, text in zip(part.column(0).to_pylist(), texts):
-                words = split_words(text.decode("utf-8", "replace"))
-                codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.uint32, len(words)))
-                ids.append(doc), counts.append(len(words))
-                size += len(text)
+            n, words = ascii_words([t.decode("utf-8", "replace").encode() for t in texts])
+            mine = np.fromiter((seen.setdefault(w, len(seen)) for w in words.dictionary.to_pylist()), np.uint32, len(words.dictionary))
+            codes.append(mine[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint32))
+            ids += part.column(0).to_pylist()
+            counts += n.tolist()
+            size += sum(map(len, texts))
             if size >= max_bytes or len(seen) >= max_words:
                 yield done()
                 ids, counts, codes, seen, size = [], [], [], {}, 0
@@ -84,49 +95,59 @@ def _blocks(max_words: int, max_bytes: int):
     return run
 
 
+def _words(blob: bytes) -> list[bytes]:
+    return zstandard.decompress(blob).split()
+
+
+def _stretches(bits: int):
+    """A row for each shard (the first ``bits`` bits of the words' hashes) that a block has words of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _words(row["words"])
+                shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) >> (32 - bits)
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(words) else []
+                some = [(int(shard[a]), row["block"], zstandard.compress(b" ".join(words[a:z]), 3)) for a, z in zip(cuts[:-1], cuts[1:])]
+                for a in range(0, len(some), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some[a : a + 64]), (pa.int64(), pa.int64(), pa.binary()))], names=["shard", "block", "words"])
+
+    return run
+
+
 def pieces(spark, path: str) -> DataFrame:
     """(id, piece) of the whole vocabulary, special tokens too: as many rows as the tokenizer has, whatever the data."""
     return spark.createDataFrame([(i, p) for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items()], "id int, piece string")
 
 
-_BACK = pa.schema([("block", pa.int64()), ("pos", pa.binary()), ("n_ids", pa.binary()), ("token_ids", pa.binary())])
+_BACK = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("n_ids", pa.binary()), ("token_ids", pa.binary())])
 
 
-def _encode_sorted(path: str, max_rows: int = 200_000):
-    """Words come sorted, so each distinct one is encoded once. Gives one row per block and stretch of words: the positions
-    in the block's list and the ids, compressed together."""
+def _encode(path: str):
+    """Shards come one after another; each distinct word of one is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        n, last = 0, (None, b"")
-
-        def flush() -> pa.RecordBatch:
-            rows = [(block, _pack(np.array([x[0] for x in items], np.uint32)), _pack(np.array([len(x[1]) // 4 for x in items], np.uint32)), _pack(np.frombuffer(b"".join([x[1] for x in items]), "<u4"))) for block, items in held.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BACK)], schema=_BACK)
-
+        at, known = None, {}
         for batch in batches:
-            words, blocks, places = (c.to_pylist() for c in batch.columns)
-            new = [w for w in dict.fromkeys(words) if w != last[0]]
-            ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer(path).encode_batch(new, add_special_tokens=False))}
-            ids.setdefault(*last)
-            for word, block, pos in zip(words, blocks, places):
-                held.setdefault(block, []).append((pos, ids[word]))
-            if words:
-                last = (words[-1], ids[words[-1]])
-            if (n := n + len(words)) >= max_rows:
-                yield flush()
-                n = 0
-        if held:
-            yield flush()
+            for row in batch.to_pylist():
+                if row["shard"] != at:
+                    at, known = row["shard"], {}
+                words = _words(row["words"])
+                if new := [w for w in words if w not in known]:
+                    known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch([w.decode() for w in new], add_special_tokens=False))))
+                ids = [known[w] for w in words]
+                out = (row["block"], row["shard"], _pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4), _pack(np.frombuffer(b"".join(ids), "<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, _BACK)], schema=_BACK)
 
     return run
 
 
 def _distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: the ids that its words have."""
     for batch in batches:
-        found = [np.unique(_unpack(x)) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["block", "ids"])
+        for row in batch.to_pylist():
+            found = np.flatnonzero(np.bincount(np.concatenate([_unpack(x["token_ids"]) for x in row["back"]]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([found], pa.list_(pa.int32()))], names=["block", "ids"])
 
 
 def _assemble(with_ids: bool):
@@ -136,39 +157,42 @@ def _assemble(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                places = _unpack(row["places"])
-                ids_of: list[bytes] = [b""] * len(places)
-                text_of: list[str] = [""] * len(places)
-                piece = {p["id"]: p["piece"] for p in row["pieces"] or ()}
-                for b in row["back"] or ():
-                    flat, n = _unpack(b["token_ids"]), _unpack(b["n_ids"])
-                    raw, spelt, cut = flat.astype("<u4").tobytes(), [piece[i] for i in flat.tolist()], np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).tolist()
-                    for pos, start, stop in zip(places[_unpack(b["pos"])].tolist(), cut[:-1], cut[1:]):
-                        ids_of[pos] = raw[4 * start : 4 * stop]
-                        text_of[pos] = " ".join(spelt[start:stop])
-                codes, at, out = _unpack(row["codes"]).tolist(), 0, []
+                back = sorted(row["back"] or (), key=lambda b: b["shard"])  # the order of the words
+                n_ids = np.concatenate([np.zeros(0, np.int64), *(_unpack(b["n_ids"]) for b in back)]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, "<u4"), *(_unpack(b["token_ids"]) for b in back)]).astype("<u4")
+                cuts = np.concatenate([[0], np.cumsum(n_ids)])
+                piece = {p["id"]: p["piece"].encode() for p in row["pieces"] or ()}
+                spelt = [piece[i] for i in flat.tolist()]
+                text_of = np.array([b" ".join(spelt[a:z]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())], object)
+                del spelt
+                codes, order, at, out = _unpack(row["codes"]), _unpack(row["order"]).astype(np.int64), 0, []
                 for doc, n in zip(row["ids"], _unpack(row["counts"]).tolist()):
-                    mine = codes[at : at + n]
+                    mine = order[codes[at : at + n]]
                     at += n
-                    ids = b"".join([ids_of[c] for c in mine])
-                    text = " ".join([text_of[c] for c in mine if ids_of[c]])
-                    out.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) + ((np.frombuffer(ids, "<u4").tolist(), text) if with_ids else ()))
+                    size = n_ids[mine]
+                    total = int(size.sum())
+                    ids = flat[np.arange(total) + np.repeat(cuts[mine] - (np.cumsum(size) - size), size)]
+                    text = b" ".join(text_of[mine[size > 0]].tolist())
+                    out.append((doc, total, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()) + ((ids.astype(np.int32), text.decode()) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, max_words: int = 400_000, max_bytes: int = 32 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, max_words: int = 400_000, max_bytes: int = 32 << 20, per_shard: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) under the tokenizer file ``path``.
 
     ``path`` must exist on the workers. The tokenizer must drop white space and decode by joining pieces with a space."""
     spark = docs.sparkSession
-    raw = text_input(docs, id_col, text_col).mapInArrow(_blocks(max_words, max_bytes), "ids array<long>, counts binary, codes binary, places binary, words array<string>")
-    blocks = materialize(raw.withColumn("block", F.monotonically_increasing_id()), "word_blocks")
-    at = blocks.select("block", F.posexplode("words").alias("pos", "word")).select("word", "block", "pos").repartition("word").sortWithinPartitions("word")
-    back = materialize(at.mapInArrow(_encode_sorted(path), "block long, pos binary, n_ids binary, token_ids binary"), "encoded")
-    held = back.select("block", "token_ids").mapInArrow(_distinct_ids, "block long, ids array<int>").select("block", F.explode("ids").alias("id")).distinct()
-    spelt = held.join(F.broadcast(pieces(spark, path)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))  # at most the vocabulary
-    parts = back.groupBy("block").agg(F.collect_list(F.struct("pos", "n_ids", "token_ids")).alias("back"))  # at most a block's words
+    raw = text_input(docs, id_col, text_col).mapInArrow(_blocks(max_words, max_bytes), "ids array<long>, counts binary, codes binary, order binary, n_words long, words binary")
+    blocks = bucketed(raw.withColumn("block", F.monotonically_increasing_id()), "block", "word_blocks")
+    n_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    bits = min(max(n_words // per_shard, shuffle_width(spark), 2).bit_length(), 30)
+    sent = blocks.select("block", "words").mapInArrow(_stretches(bits), "shard long, block long, words binary")
+    back = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_encode(path), "block long, shard long, n_ids binary, token_ids binary")
+    parts = materialize(back.groupBy("block").agg(F.collect_list(F.struct("shard", "n_ids", "token_ids")).alias("back")), "encoded")  # at most a block's words
+    held = parts.mapInArrow(_distinct_ids, "block long, ids array<int>").select("block", F.explode("ids").alias("id"))
+    spelt = materialize(held.join(F.broadcast(pieces(spark, path)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces")), "spelt")  # at most the vocabulary
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return blocks.select("block", "ids", "counts", "codes", "places").join(parts, "block", "left").join(spelt, "block", "left").mapInArrow(_assemble(with_ids), schema)
+    answers = parts.join(spelt, "block", "left")
+    return blocks.select("block", "ids", "counts", "codes", "order").join(answers, "block", "left").mapInArrow(_assemble(with_ids), schema)

@@ -43,24 +43,46 @@ def _remove(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there,
-    a lost executor recomputes nothing before it, and a join on it gets a fresh (splittable) exchange.
-    The shuffle files of the write go with its end, since nothing reads them again."""
+def _writer(df: DataFrame, name: str, write) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/huegrain/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        write(df.write.option("compression", "zstd"), path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     atexit.register(_remove, spark, path)
-    table = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there,
+    a lost executor recomputes nothing before it, and a join on it gets a fresh (splittable) exchange.
+    The shuffle files of the write go with its end, since nothing reads them again."""
+    path = _writer(df, name, lambda to, path: to.parquet(path))
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written = path
     return table
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``materialize``, as a table bucketed by ``key``: a join or aggregation by it moves only what it is joined with."""
+    spark, table = df.sparkSession, f"huegrain_{name}_{uuid.uuid4().hex}"
+    path = _writer(df, name, lambda to, path: to.bucketBy(shuffle_width(spark), key).sortBy(key).option("path", path).saveAsTable(table, format="parquet"))
+    atexit.register(_forget, spark, table)
+    found = spark.table(table)
+    found._written = path
+    return found
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session is gone, and the name with it
+        pass
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that no unwritten DataFrame reads any more."""
     for table in tables:
