@@ -66,6 +66,19 @@ def closure(w: DataFrame, pair, name: str = "g") -> DataFrame:
     return w.drop(*(f"_n{i}{j}" for i, j in PAIRS), *(f"{k}{i}" for k in ("_m", "_u", "_v") for i in PLACES))
 
 
+def closed_pairs() -> list[int]:
+    """For each set of pairs (a bit each, in the order of PAIRS), the set of pairs that are in one group by its transitive closure."""
+    out = []
+    for mask in range(1 << len(PAIRS)):
+        group = {i: i for i in PLACES}
+        for k, (i, j) in enumerate(PAIRS):
+            if mask >> k & 1:
+                a, b = group[i], group[j]
+                group = {x: a if g == b else g for x, g in group.items()}
+        out.append(sum(1 << k for k, (i, j) in enumerate(PAIRS) if group[i] == group[j]))
+    return out
+
+
 def long(w: DataFrame, by: list[str], **cols: str) -> DataFrame:
     """One row a colour again: ``by``, cluster_rank, perc, lab_* and further columns (name -> prefix)."""
     names = {"perc": "p", "lab_l": "l", "lab_a": "a", "lab_b": "b", **cols}

@@ -89,16 +89,14 @@ def merge_sweep(spark, d):
     """Every candidate of every constant of the rule: products whose groups are those of the default rule, and the share of pairs that
     the groups and the bare predicate get right against the labels. A product's colours are laid out once; each candidate is bit arithmetic on them."""
     w = labelled(spark, d)
-    ij = [f"{i}{j}" for i, j in P.PAIRS]
-    w = w.select(*(f"{k}{x}" for k in ("dl", "dh", "lo", "hi") for x in ij), *(E(f"u{x[0]} = u{x[1]}").alias(f"same{x}") for x in ij), *(E(f"g{x[0]} = g{x[1]}").alias(f"was{x}") for x in ij))
-    w = w.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(name).alias("constant"), F.lit(v).alias("candidate")) for name, values in SWEEPS.items() for v in values)))).select("*", "_c.*").drop("_c")
-    w = w.withColumns({f"r_{name}": E(f"CASE WHEN constant = '{name}' THEN candidate ELSE {default} END") for name, default in P.RULE.items()})
-    w = w.select("constant", "candidate", *(E(f"dl{x} IS NOT NULL").alias(f"is{x}") for x in ij), *(E(P.merges(*map(int, x), **{name: f"r_{name}" for name in P.RULE})).alias(f"one{x}") for x in ij), *(f"{k}{x}" for k in ("same", "was") for x in ij))
-    w = P.closure(w, lambda i, j: f"one{i}{j}", "q")
-    total = lambda said: " + ".join(f"CASE WHEN is{x} AND ({said(x)}) THEN 1 ELSE 0 END" for x in ij)
-    counts = {"n_pairs": total(lambda x: "TRUE"), "n_right": total(lambda x: f"(q{x[0]} = q{x[1]}) = same{x}"), "n_pair_right": total(lambda x: f"one{x} = same{x}"), "moved": total(lambda x: f"(q{x[0]} = q{x[1]}) <> was{x}")}
-    w = w.select("constant", "candidate", *(E(x).alias(k) for k, x in counts.items()))
-    return w.groupBy("constant", "candidate").agg(F.count("*").alias("n_products"), E("count_if(moved = 0)").alias("n_same"), to("sum(n_right) * 100.0e0 / sum(n_pairs)", 4, "group_accuracy"), to("sum(n_pair_right) * 100.0e0 / sum(n_pairs)", 4, "pair_accuracy"))
+    bits = lambda said: E(" + ".join(f"CASE WHEN {said(i, j)} THEN {1 << k} ELSE 0 END" for k, (i, j) in enumerate(P.PAIRS)))
+    w = w.select(*(f"{k}{i}{j}" for k in ("dl", "dh", "lo", "hi") for i, j in P.PAIRS), bits(lambda i, j: f"dl{i}{j} IS NOT NULL").alias("pairs"), bits(lambda i, j: f"dl{i}{j} IS NOT NULL AND u{i} = u{j}").alias("same"), bits(lambda i, j: f"dl{i}{j} IS NOT NULL AND g{i} = g{j}").alias("was"))
+    w = w.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(name).alias("constant"), F.lit(v).alias("candidate")) for name, values in SWEEPS.items() for v in values))))
+    w = w.withColumns({"constant": F.col("_c.constant"), "candidate": F.col("_c.candidate")}).withColumns({f"r_{name}": E(f"CASE WHEN constant = '{name}' THEN candidate ELSE {default} END") for name, default in P.RULE.items()})
+    w = w.select("constant", "candidate", "pairs", "same", "was", bits(lambda i, j: P.merges(i, j, **{name: f"r_{name}" for name in P.RULE})).alias("one"))
+    w = w.withColumn("grouped", F.element_at(F.array(*map(F.lit, P.closed_pairs())), F.col("one") + 1))
+    right = lambda x: f"sum(bit_count(pairs & ~({x} ^ same))) * 100.0e0 / sum(bit_count(pairs))"
+    return w.groupBy("constant", "candidate").agg(F.count("*").alias("n_products"), E("count_if(grouped = was)").alias("n_same"), to(right("grouped"), 4, "group_accuracy"), to(right("one"), 4, "pair_accuracy"))
 
 
 def rule_mcnemar(spark, d):
