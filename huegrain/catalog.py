@@ -162,7 +162,7 @@ def sample_sizes(spark, d):
 
 def unprocessed_archives(spark, d):
     a = src.archives_of(spark, d)
-    done = a.join(src.palette_colors(spark, d).filter("instance_id % 3 = 0").select("instance_id"), "instance_id", "left_semi")
+    done = a.join(src.palette_colors(spark, d).select("instance_id"), "instance_id", "left_semi")
     return a.select("archive_id").subtract(done.select("archive_id"))
 
 
@@ -226,16 +226,16 @@ _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, ar
 
 
 def queries() -> dict:
-    from .reports import ALL
+    from . import intake, reports, reviews
 
-    return {f.__name__: f for f in [*_ALL, *ALL]}
+    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
     from .plans.oracles import SQL
-    from .plans.report_oracles import SQL as REPORTS
+    from .plans import intake_oracles, report_oracles, review_oracles
 
-    return {**SQL, **REPORTS}
+    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

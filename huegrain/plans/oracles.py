@@ -37,7 +37,7 @@ SQL = {
     "attrition": q(", staged AS (SELECT i.instance_id, brand, CASE WHEN p.instance_id IS NOT NULL AND i.instance_id % 17 <> 0 THEN 0 WHEN title IS NULL THEN 1 WHEN regexp_matches(title, '(?i)\\b(gizmo|hot|rod)\\b') THEN 2 WHEN i.instance_id % 17 = 0 THEN 3 ELSE 4 END AS stage_no FROM inst i LEFT JOIN (SELECT DISTINCT instance_id FROM palette) p ON i.instance_id = p.instance_id), c AS (SELECT brand, stage_no, count(*) AS n FROM staged GROUP BY ALL)"[1:], f"SELECT brand, stage_no, n, {to('n * 100.0e0 / sum(n) OVER (PARTITION BY brand)', 3)} AS pct, CAST(sum(CASE WHEN stage_no > 0 THEN n ELSE 0 END) OVER (PARTITION BY brand ORDER BY stage_no) AS BIGINT) AS dropped FROM c"),
     "label_confusion": f"WITH c AS (SELECT d.lang, count(*) AS n, count(CASE WHEN (quality = 0) = (toxic = 1) THEN 1 END) AS k FROM labels JOIN documents d USING (doc_id) GROUP BY 1) SELECT lang, n, k, {to(LO)} AS lo, {to(HI)} AS hi FROM c",
     "sample_sizes": q(GRID, "SELECT color_cluster, count(*) AS n_products, CAST(ceil(96.04e0 / (1 + 95.04e0 / count(*))) AS INTEGER) AS wanted FROM dominant GROUP BY 1"),
-    "unprocessed_archives": q("", "SELECT archive_id FROM arch EXCEPT SELECT archive_id FROM arch JOIN palette USING (instance_id) WHERE instance_id % 3 = 0"),
+    "unprocessed_archives": q("", "SELECT archive_id FROM arch EXCEPT SELECT archive_id FROM arch JOIN palette USING (instance_id)"),
     "recent_archives": q("", "SELECT brand, archive_id, rk FROM (SELECT brand, archive_id, row_number() OVER (PARTITION BY brand ORDER BY max(month) DESC, archive_id DESC) AS rk FROM arch GROUP BY brand, archive_id) WHERE rk <= 3"),
     "zone_price_tests": q(GRID + ", base AS (SELECT avg(price_curr) AS p0 FROM dominant)", f"SELECT color_cluster // 10000 AS zone, count(*) AS n, {to('avg(price_curr)', 3)} AS mean_price, {to('(avg(price_curr) / max(p0) - 1) * 100', 3)} AS dev_pct, {to('(avg(price_curr) - max(p0)) / sqrt(var_samp(price_curr) / count(*))', 3)} AS t FROM dominant, base GROUP BY 1 HAVING count(*) >= 14"),
     "rand_index": q(GRID + ", pairs AS (SELECT color_cluster // 10000 AS a, color_cluster % 10 AS b, count(*) AS n FROM dominant GROUP BY ALL), s AS (SELECT (SELECT sum(n * (n - 1) / 2.0::DOUBLE) FROM pairs) AS nij, (SELECT sum(x * (x - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS x FROM pairs GROUP BY a)) AS na, (SELECT sum(x * (x - 1) / 2.0::DOUBLE) FROM (SELECT sum(n) AS x FROM pairs GROUP BY b)) AS nb, (SELECT sum(n) * (sum(n) - 1) / 2.0::DOUBLE FROM pairs) AS nn)", f"SELECT {to('(nij - na * nb / nn) / ((na + nb) / 2 - na * nb / nn)')} AS ari FROM s"),

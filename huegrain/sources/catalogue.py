@@ -49,7 +49,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: the same tables for DuckDB
 CTES = """
 ranked AS (
-  SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount,
+  SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rk FROM lineitem) WHERE rk <= 5
 ), palette AS (
   SELECT l_orderkey AS instance_id, rk AS cluster_rank, 100 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS perc,
@@ -66,3 +66,54 @@ ranked AS (
     CASE WHEN l_discount >= 0.06 THEN CAST(floor(p_retailprice + 0.5) AS INTEGER) - CAST(floor(p_retailprice * l_discount) AS INTEGER) ELSE CAST(floor(p_retailprice + 0.5) AS INTEGER) END AS price_curr
   FROM arch a LEFT JOIN (SELECT * FROM ranked JOIN part ON l_partkey = p_partkey WHERE rk = 1) f ON a.instance_id = f.l_orderkey
 )"""
+
+
+# ---------------------------------------------------------------- detections, logs and titles: stand-ins for what the catalogue's crawls write
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, no, class_name, conf, x1, y1, x2, y2): one detected object a line, with its box."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    box = {"x1": "cast(l_partkey % 40 as double)", "y1": "cast(l_suppkey % 30 as double)", "x2": "l_partkey % 40 + 4.0D + l_quantity", "y2": "l_suppkey % 30 + 10.0D * l_linenumber"}
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return lines.join(part, F.expr("l_partkey = p_partkey")).select(F.col("l_orderkey").alias("instance_id"), F.row_number().over(order).alias("no"), F.col("p_name").alias("class_name"), (1 - F.col("l_discount")).alias("conf"), *(F.expr(t).alias(k) for k, t in box.items()))
+
+
+#: which message a log writes for a product of an order priority; the fifth writes none
+MESSAGES = {"1-URGENT": "no masks", "2-HIGH": "no garment detection", "3-MEDIUM": "file not found", "4-NOT SPECIFIED": "bad filename format"}
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """instances with what later steps hold of them: segmented, clustered, final; and the order's priority."""
+    first = _ranked_lines(spark, sf_dir).filter("rk = 1").join(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount"])
+    flag = first.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    rows = instances(spark, sf_dir).join(flag, F.expr("instance_id = l_orderkey"), "left").join(orders, F.expr("instance_id = o_orderkey"))
+    said = {"segmented": "flag IN ('A', 'N')", "clustered": "flag = 'A' OR (flag = 'N' AND o_orderstatus = 'P')", "final": "flag = 'A' AND o_orderstatus <> 'P'"}
+    return rows.select("instance_id", "brand", "query", "month", "archive_id", "title", "title_second", "price_std", "price_curr", F.col("o_orderpriority").alias("priority"), *(F.expr(f"coalesce({t}, false)").alias(k) for k, t in said.items()))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_no, line): the processing logs of the archives that were run. Each has a first log, which says that nothing was found,
+    and a later one, whose header names the archive."""
+    o = outcomes(spark, sf_dir).filter("not segmented").withColumn("said", F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))[F.col("priority")]).filter("said is not null")
+    folder = F.concat(F.lit("logs/"), F.regexp_replace("brand", " ", ""), F.lit("_"), F.col("archive_id").cast("string"), F.lit("_"))
+    name = F.concat_ws("-", F.col("archive_id").cast("string"), F.col("instance_id").cast("string"), F.lit("0"), F.lit("1"), F.lit("pid"))
+    line = lambda stamp, said: o.select(F.concat(folder, F.lit(f"{stamp}/processing_log.txt")).alias("path"), (F.col("instance_id") + 1).alias("line_no"), F.concat(name, F.lit(": "), said).alias("line"))
+    heads = o.select(folder.alias("f"), "archive_id").distinct().select(F.concat("f", F.lit("20240201/processing_log.txt")).alias("path"), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("archive_id: "), F.col("archive_id").cast("string")).alias("line"))
+    return heads.unionByName(line("20240101", F.lit("Skipping because no masks were found"))).unionByName(line("20240201", F.col("said")))
+
+
+def shown_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, brand, text): both titles as the shop shows them."""
+    both = instances(spark, sf_dir).select("instance_id", "brand", F.explode(F.array(F.initcap("title"), F.col("title_second"))).alias("text"))
+    return both.filter("text is not null")
+
+
+OUTCOME_CTES = """
+flagged_first AS (SELECT r.l_orderkey, min(l.l_returnflag) AS flag FROM ranked r JOIN lineitem l ON r.l_orderkey = l.l_orderkey AND r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey AND r.l_quantity = l.l_quantity AND r.l_discount = l.l_discount AND r.l_linenumber = l.l_linenumber AND r.l_shipdate = l.l_shipdate AND r.l_extendedprice = l.l_extendedprice WHERE rk = 1 GROUP BY 1),
+outcomes AS (
+  SELECT i.*, o_orderpriority AS priority, coalesce(flag IN ('A', 'N'), FALSE) AS segmented, coalesce(flag = 'A' OR (flag = 'N' AND o_orderstatus = 'P'), FALSE) AS clustered, coalesce(flag = 'A' AND o_orderstatus <> 'P', FALSE) AS final
+  FROM inst i LEFT JOIN flagged_first f ON i.instance_id = f.l_orderkey JOIN orders o ON i.instance_id = o.o_orderkey
+)"""
