@@ -79,7 +79,7 @@ SQL = {
     "reclamation": q(STAGED + ", lost AS (SELECT stage, CASE WHEN stage IN ('heraldic_filter', 'gender_unknown', 'yolo_file_not_found', 'yolo_other', 'null_title') THEN 'intentional' ELSE 'reclaimable' END AS kind, count(*) AS n FROM staged WHERE stage <> 'final_palette' GROUP BY ALL), opp AS (SELECT CASE WHEN stage IN ('yolo_no_garment', 'yolo_no_masks') THEN 'detection' WHEN stage = 'keyword_map_miss' THEN 'keyword map' WHEN stage = 'archive_unsegmented' THEN 'pending archives' END AS stage, CAST(sum(n) AS BIGINT) AS n FROM lost GROUP BY 1)", "SELECT kind, stage, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, stage) AS place FROM lost UNION ALL SELECT 'opportunity', stage, n, row_number() OVER (ORDER BY n DESC, stage) FROM opp WHERE stage IS NOT NULL"),
     "processing_counts": q(STAGED, "SELECT brand, count(*) AS total, " + ", ".join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in ("yolo_no_masks", "yolo_no_garment", "yolo_file_not_found", "yolo_other", "yolo_unlogged")) + " FROM staged WHERE NOT segmented GROUP BY 1"),
     "garment_routing": q(DETECTIONS, f"SELECT class_name, route, count(*) AS n, {to('avg(conf)')} AS mean_conf FROM routed GROUP BY ALL"),
-    "main_garments": q(DETECTIONS + ", garments AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY instance_id ORDER BY (x2 - x1) * (y2 - y1) DESC, no) AS r, count(*) OVER (PARTITION BY instance_id) AS n_garments FROM routed WHERE route = 'garment'), laps AS (SELECT m.instance_id, m.class_name AS main, m.n_garments, o.no = m.no AS itself, (o.x2 - o.x1) * (o.y2 - o.y1) AS area, m.area AS marea, CASE WHEN least(o.x2, m.x2) > greatest(o.x1, m.x1) AND least(o.y2, m.y2) > greatest(o.y1, m.y1) THEN (least(o.x2, m.x2) - greatest(o.x1, m.x1)) * (least(o.y2, m.y2) - greatest(o.y1, m.y1)) ELSE 0 END AS both FROM garments m JOIN routed o USING (instance_id) WHERE m.r = 1 AND o.route <> 'none')", f"SELECT instance_id, any_value(main) AS main, any_value(n_garments) AS n_garments, count(*) FILTER (NOT itself) AS n_candidates, count(*) FILTER (NOT itself AND main <> 'hot rod' AND both / (area + marea - both) > 0.15) AS n_merged, {to('coalesce(avg(both / (area + marea - both)) FILTER (NOT itself), 0)')} AS mean_iou FROM laps GROUP BY 1"),
+    "main_garments": q(DETECTIONS + ", garments AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY instance_id ORDER BY (x2 - x1) * (y2 - y1) DESC, no) AS r, count(*) OVER (PARTITION BY instance_id) AS n_garments FROM routed WHERE route = 'garment'), laps AS (SELECT m.instance_id, m.class_name AS main, m.n_garments, o.no = m.no AS itself, (o.x2 - o.x1) * (o.y2 - o.y1) AS area, m.area AS marea, CASE WHEN least(o.x2, m.x2) > greatest(o.x1, m.x1) AND least(o.y2, m.y2) > greatest(o.y1, m.y1) THEN (least(o.x2, m.x2) - greatest(o.x1, m.x1)) * (least(o.y2, m.y2) - greatest(o.y1, m.y1)) ELSE 0 END AS lap FROM garments m JOIN routed o USING (instance_id) WHERE m.r = 1 AND o.route <> 'none')", f"SELECT instance_id, any_value(main) AS main, any_value(n_garments) AS n_garments, count(*) FILTER (NOT itself) AS n_candidates, count(*) FILTER (NOT itself AND main <> 'hot rod' AND lap / (area + marea - lap) > 0.15) AS n_merged, {to('coalesce(avg(lap / (area + marea - lap)) FILTER (NOT itself), 0)')} AS mean_iou FROM laps GROUP BY 1"),
     "color_shift": f"WITH px AS (SELECT l_returnflag AS image, abs(l_suppkey % 3 - 1)::DOUBLE AS r, CASE WHEN l_returnflag = 'R' THEN l_linenumber % 2 ELSE 0 END::DOUBLE AS g, CASE WHEN l_returnflag = 'A' THEN l_partkey % 4 ELSE 0 END::DOUBLE AS b FROM lineitem) SELECT image, count(*) AS n_pixels, {to('avg((r + g + b) / 3)')} AS mean_diff, max(greatest(r, g, b)) AS max_diff, {to('avg(r)')} AS mean_r, {to('avg(g)')} AS mean_g, {to('avg(b)')} AS mean_b, avg((r + g + b) / 3) > 0.5 AS shifted FROM px GROUP BY 1",
     "term_samples": q(TERMS + ", tt AS (SELECT kind, term, title, row_number() OVER (PARTITION BY kind, term ORDER BY title) AS r FROM (SELECT DISTINCT kind, term, '[' || brand || '] ' || text AS title FROM terms)), ts AS (SELECT kind, term, string_agg(title, ' || ' ORDER BY title) AS titles FROM tt WHERE r <= 12 GROUP BY ALL)", "SELECT t.kind, t.term, count(*) AS occurrences, count(*) FILTER (cap) AS capitalised, count(DISTINCT (brand, instance_id)) AS products, any_value(titles) AS titles FROM terms t JOIN ts ON t.kind = ts.kind AND t.term = ts.term GROUP BY t.kind, t.term"),
     "term_candidates": q(SIGNALS + ", sc AS (SELECT *, (most + 1e0) / (second + 1) AS skew, CASE WHEN in_filter THEN 0e0 ELSE most * ((most + 1e0) / (second + 1)) END AS score FROM signals)", f"SELECT kind, term, in_filter, total, {to('score', 1)} AS score, {to('skew', 2)} AS skew, {to('cv', 2)} AS cv, {to('caps / occ::DOUBLE', 3)} AS cap_rate FROM sc WHERE NOT (kind = 'unigram' AND term IN ('widget', 'gear')) ORDER BY in_filter, {to('score', 1)} DESC, kind, term LIMIT 10"),
