@@ -8,7 +8,8 @@ for which no unused document has a term are joined end to end at last; what is l
 two, so that nothing is padded.
 
 Defined cases: null text is empty (one token, the separator); an empty table gives no pieces; repeated rows are packed each
-by itself; extra columns are ignored.
+by itself; documents of equal score are taken in the order of a hash of their content, equal ones of that in any order; texts of any
+length are packed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +40,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: compared at load: contractions, runs of space, digits, scripts, marks, control characters, special tokens, no text
+_AWKWARD = ("", " ", "  a  b ", "I'll they've DON'T 's", "a\n\n b\t\tc \r\n", "x1234567890 12.5%", "naïve Ünïcode ß İ ſ", "日本語のテキスト 漢字", "e\u0301 \u200b\ufeff", "🙂👩‍👩‍👧", "\x00\x1c\x85\u2028z", "<|endoftext|> a<|endoftext|>b", "----====____", "العربية עברית हिन्दी")
+
+
 class Encoder:
     """The ids that the tokenizers library gives for the file. Byte-level files whose ids are in the order of their merges are
-    run by tiktoken, which gives the same ids four times as fast; any other file by tokenizers itself."""
+    run by tiktoken, which gives the same ids four times as fast, if it does so on awkward texts; any other file by tokenizers
+    itself, and so are texts of four million characters and more, on which the fast one's regular expression may overflow."""
+
+    LONG = 1 << 22
 
     def __init__(self, path: str):
         self._slow, self._fast = tokenizer(path), None
@@ -59,12 +67,18 @@ class Encoder:
 
                 self._special = set(special)
                 self._fast = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+                if any(self.fast(x).tolist() != self.slow(x).tolist() for x in _AWKWARD):
+                    self._fast = None
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self._fast is not None and len(text) < 1 << 22:
-            return self._fast.encode_to_numpy(text, allowed_special=self._special)
+    def fast(self, text: str) -> np.ndarray:
+        return self._fast.encode_to_numpy(text, allowed_special=self._special)
+
+    def slow(self, text: str) -> np.ndarray:
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def __call__(self, text: str) -> np.ndarray:
+        return self.fast(text) if self._fast is not None and len(text) < self.LONG else self.slow(text)
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
@@ -87,7 +101,7 @@ def _tokenize(path: str, window: int, separator: int):
                 ids = np.append(encode(text.decode("utf-8", "replace")).astype(np.uint16), np.uint16(separator))
                 whole = len(ids) // window
                 terms, tfs = np.unique(ids[:-1], return_counts=True)
-                rows.append((doc, len(ids), [_crc(ids[i * window : (i + 1) * window]) for i in range(whole)], ids[whole * window :].tobytes(), terms.tobytes(), np.minimum(tfs, 65535).astype(np.uint16).tobytes()))
+                rows.append((doc, len(ids), [_crc(ids[i * window : (i + 1) * window]) for i in range(whole)], ids[whole * window :].tobytes(), terms.tobytes(), tfs.astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
 
     return run
@@ -107,7 +121,7 @@ class Bm25:
 
     def __init__(self, docs: pa.StructArray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         doc, term = _postings(docs.field("terms"))
-        tf = np.frombuffer(b"".join(docs.field("tfs").to_pylist()), np.uint16).astype(np.float32)
+        tf = np.frombuffer(b"".join(docs.field("tfs").to_pylist()), np.uint32).astype(np.float32)
         length = docs.field("doc_tokens").to_numpy(zero_copy_only=False).astype(np.float32)
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
         order = np.argsort(term, kind="stable")
@@ -115,8 +129,8 @@ class Bm25:
         self._at = np.searchsorted(self._term, np.arange(65537))
         self._keys, self._nodes = (docs.field(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
 
-    def search(self, terms: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(nodes, keys, scores) of the ``k`` best documents under all terms of each query, best first (ties: smallest key)."""
+    def scores(self, terms: pa.Array) -> np.ndarray:
+        """The score of every document under all terms of each query."""
         n, q = len(self._nodes), len(terms)
         owner, term = _postings(terms)
         df = np.diff(self._at)
@@ -142,7 +156,11 @@ class Bm25:
             flat = np.repeat((owner[a:z] - low) * n, size) + self._doc[at]
             score[low : low + rows] += np.bincount(flat, self._weight[at], rows * n).reshape(rows, n)
             a = z
-        score = score.round(3)
+        return score.round(3)
+
+    def search(self, terms: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(nodes, keys, scores) of the ``k`` best documents under all terms of each query, best first (ties: smallest key)."""
+        score, (n, q) = self.scores(terms), (len(self._nodes), len(terms))
         least = np.partition(score, n - k, axis=1)[:, n - k] if k < n else np.zeros(q, np.float32)
         out = []
         for row, floor in zip(score, least):
@@ -234,9 +252,58 @@ def _fill(window: int):
     return run
 
 
-def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -> DataFrame:
+_PLACED = pa.schema([("node", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("window", pa.int64()), ("at", pa.int32())])
+
+
+def _finish(window: int, idf: np.ndarray, mean: float, batch: int = 512):
+    """All open windows and unused documents that are left, in memory: each window in turn, in the order of keys, takes the best unused
+    documents while half of one fits; then the first unused document begins the next window. Scores are worked out for some hundred
+    windows at a time. The rest of a document that was cut is a window that nothing is left for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [x for x in batches if x.num_rows]
+        if not given:
+            return
+        table = pa.Table.from_batches(given).sort_by([("open", "descending"), ("key", "ascending"), ("node", "ascending")]).combine_chunks()
+        node, size, filled, is_open = (table[c].to_numpy() for c in ("node", "size", "filled", "open"))
+        terms, docs = table["terms"].combine_chunks(), np.flatnonzero(~is_open)
+        index = Bm25(table.take(pa.array(docs)).to_struct_array().combine_chunks(), idf, mean)  # in the order of keys
+        free, slot = np.ones(len(docs), bool), np.full(len(table), -1)
+        slot[docs] = np.arange(len(docs))
+        out: list[tuple[int, int, int, int, int]] = []
+        queue, begun = np.flatnonzero(is_open).tolist(), 0  # documents before ``begun`` have begun a window or are used
+        while free.any():
+            if not queue:
+                starts = docs[begun:][free[begun:]][:batch]
+                queue, begun = starts.tolist(), int(slot[starts[-1]]) + 1
+            some, queue = queue[:batch], queue[batch:]
+            for r, score in zip(some, index.scores(terms.take(pa.array(some)))):
+                full = int(filled[r])
+                if not is_open[r]:  # a document that begins a window, unless an earlier one has taken it
+                    if not free[slot[r]]:
+                        continue
+                    free[slot[r]], full = False, int(size[r])
+                    out.append((int(node[r]), 0, full, int(node[r]), 0))
+                while full < window and free.any():
+                    best = int(np.where(free, score, -1).argmax())
+                    d = int(docs[best])
+                    take = min(int(size[d]), window - full)
+                    if score[best] <= 0 or 2 * take < size[d]:
+                        break
+                    free[best] = False
+                    out.append((int(node[d]), 0, take, int(node[r]), full))
+                    full += take
+                    if take < size[d]:
+                        out.append((int(node[d]), take, int(size[d]), int(node[d]), 0))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_PLACED)], schema=_PLACED)
+
+    return run
+
+
+def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int, last_docs: int) -> DataFrame:
     """(node, a, b, window, at): where each rest goes. In a round every open window asks for its seed's best unused documents
-    of the whole table, a document goes to the window that scores it highest, and the next round asks again without it."""
+    of the whole table, a document goes to the window that scores it highest, and the next round asks again without it. The last
+    ``last_docs`` documents, as many at every size, go to windows one by one in one task, which needs no rounds."""
     some = F.length("terms") > 0
     alone = rows.filter(~some)  # no term: no partner
     parts = [alone.select("node", F.lit(0).alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at"))]
@@ -247,6 +314,13 @@ def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -
         if not left.n:
             break
         room = open_.agg(F.coalesce(F.sum(F.lit(window) - F.col("filled")), F.lit(0))).first()[0] if open_ is not None else 0
+        if left.n <= last_docs:
+            least = unused.select("node", "key", "terms", "tfs", "doc_tokens", "size", F.lit(0).alias("filled"), F.lit(False).alias("open"))
+            if open_ is not None:  # windows enough for what is left, by hash; the others stay as they are
+                asks = open_.filter(F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(1 << 30)) < int(min(1.0, 2 * left.t / max(room, 1)) * (1 << 30)))
+                least = least.unionByName(asks.select("node", "key", "terms", F.lit(b"").alias("tfs"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(0).alias("size"), F.col("filled").cast("int"), F.lit(True).alias("open")))
+            parts.append(materialize(least.repartition(1).mapInArrow(_finish(window, idf, mean), "node long, a int, b int, window long, at int"), "last"))
+            break
         short = max(math.ceil((left.t - room) / window), 0 if room else 1)  # windows, if the open ones cannot hold all
         share = min(max(short / 3, min(short, 64), 2**stalled if stalled else 0) / left.n, 1)  # a third of them now: seeds take no partners from each other
         new = (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))) | (F.lit(not room) & (F.col("key") == left.key))
@@ -278,8 +352,11 @@ def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int) -
     return reduce(DataFrame.unionByName, parts)
 
 
-def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, neighbours: int = 12) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every document in one piece."""
+def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, neighbours: int = 12, last_docs: int = 32_768) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every document in one piece. Ids are
+    kept as 16 bits; a tokenizer of more than 65,536 ids is refused."""
+    if (size := tokenizer(path).get_vocab_size(with_added_tokens=True)) > 1 << 16 or not 0 <= separator < 1 << 16:
+        raise ValueError(f"{path} has {size} ids and the separator is {separator}: at most 65,536 ids can be packed")
     raw = text_input(docs, id_col, text_col).mapInArrow(_tokenize(path, window, separator), "doc_id long, doc_tokens long, crcs array<long>, rest binary, terms binary, tfs binary")
     rows = materialize(raw.withColumn("node", F.monotonically_increasing_id()), "tokens")
     n, mean = rows.agg(F.count("*"), F.avg("doc_tokens")).first()
@@ -290,7 +367,7 @@ def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     nodes = rows.select("node", key.alias("key"), "terms", "tfs", "doc_tokens", (F.length("rest") / 2).cast("int").alias("size"))
     whole = rows.select("doc_id", F.posexplode("crcs").alias("i", "ids_crc32"), "doc_tokens")
     whole = whole.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = _place(nodes, window, idf, float(mean or 1), neighbours)
+    placed = _place(nodes, window, idf, float(mean or 1), neighbours, last_docs)
     lots = max(math.ceil(n / 4000), min(n // 200, shuffle_width(docs.sparkSession)), 1)
     pieces = placed.join(rows.select("node", "doc_id", "doc_tokens", "rest"), "node").withColumn("lot", F.pmod(F.xxhash64("window"), F.lit(lots)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

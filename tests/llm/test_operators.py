@@ -161,7 +161,7 @@ def test_packing_neighbours(spark):
     idf = np.zeros(65536, np.float32)
     for t, c in df.items():
         idf[t] = np.log(1 + (60 - c + 0.5) / (c + 0.5))
-    rows = [(i, i, np.array(sorted(x), np.uint16).tobytes(), np.array([x[t] for t in sorted(x)], np.uint16).tobytes(), sum(x.values())) for i, x in enumerate(bags)]
+    rows = [(i, i, np.array(sorted(x), np.uint16).tobytes(), np.array([x[t] for t in sorted(x)], np.uint32).tobytes(), sum(x.values())) for i, x in enumerate(bags)]
     table = spark.createDataFrame(rows, "node long, key long, terms binary, tfs binary, doc_tokens long")
     got = collections.defaultdict(list)
     for r in best_unused(table.filter("node < 20"), table.filter("node >= 20"), idf, 60.0, 5, block_docs=7).orderBy("seed", F.desc("score")).collect():
