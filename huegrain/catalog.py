@@ -128,7 +128,7 @@ def keyword_exclusion(spark, d):
 
 def _tokens(spark, d):
     both = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("title_second", F.lit(""))))
-    return src.instances(spark, d).select("instance_id", "brand", F.explode(F.regexp_extract_all(both, F.lit("([a-z0-9_-]+)"))).alias("token"))
+    return src.instances(spark, d).select("instance_id", "brand", F.explode(F.regexp_extract_all(both, F.lit(r"(?U)([\w-]+)"))).alias("token"))
 
 
 def keyword_map(spark, d):
@@ -226,16 +226,16 @@ _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, ar
 
 
 def queries() -> dict:
-    from . import intake, reports, reviews
+    from . import arrangements, intake, reports, reviews, stores
 
-    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL]}
+    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *stores.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
     from .plans.oracles import SQL
-    from .plans import intake_oracles, report_oracles, review_oracles
+    from .plans import intake_oracles, report_oracles, review_oracles, store_oracles
 
-    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL}
+    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL, **store_oracles.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

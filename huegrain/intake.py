@@ -11,8 +11,9 @@ from .catalog import dominant, to
 from .functions import color as C
 from .functions import stats as S
 from .functions import text as T
+from .operators.sampling import first_of, seeded
 from .reports import drift_pairs, stratified_sample
-from .reviews import first_of, recent_sample, seeded
+from .reviews import recent_sample
 from .sources import catalogue as src
 
 E = F.expr
@@ -198,7 +199,7 @@ KEPT_APART = ("hot rod",)
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("class_name"), F.lit(r"([\w-]+)"))
+    words = F.regexp_extract_all(F.lower("class_name"), F.lit(r"(?U)([\w-]+)"))
     has = lambda names: F.arrays_overlap("words", F.array(*map(F.lit, names)))
     rows = src.detections(spark, d).withColumn("words", words)
     return rows.withColumn("route", F.when(has(GARMENTS), "garment").when(has(ATTRIBUTES), "attribute").otherwise("none"))

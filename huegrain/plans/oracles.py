@@ -13,7 +13,7 @@ ranked_p AS (SELECT *, CASE WHEN z IS NOT NULL THEN row_number() OVER (PARTITION
 bh AS (SELECT *, max(CASE WHEN pval <= rk * 0.05::DOUBLE / tested THEN pval END) OVER () AS cut FROM ranked_p)"""
 
 
-_WORDS = "unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(title_second, '')), '[a-z0-9_-]+'))"
+_WORDS = "unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(title_second, '')), '[\\p{L}\\p{N}_-]+'))"
 
 SQL = {
     "palette_hsb_coverage": q("", f"SELECT brand, {STRICT} AS gender, {BAND} AS band, count(*) AS n_colors, {to('sum(perc)', 2)} AS coverage FROM {tint('palette')} JOIN arch USING (instance_id) GROUP BY ALL"),

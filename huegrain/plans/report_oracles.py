@@ -34,9 +34,9 @@ zones1 AS (SELECT brand, zone, n, lab_l, lab_a, lab_b, {to('sat', 6)} AS sat FRO
 zones AS (SELECT *, {BAND} AS band FROM zones1)"""
 
 SAMPLE = f"""
-hashed AS (SELECT archetype, brand, instance_id, md5('42:' || instance_id::VARCHAR) AS h FROM products JOIN arch USING (instance_id)),
+hashed AS (SELECT archetype, brand, instance_id, has_saturated, md5('42:' || instance_id::VARCHAR) AS h FROM products JOIN arch USING (instance_id)),
 ranked_h AS (SELECT *, row_number() OVER (PARTITION BY archetype, brand ORDER BY h, instance_id) > 4 AS late FROM hashed),
-sample AS (SELECT archetype, brand, instance_id, place FROM (SELECT *, row_number() OVER (PARTITION BY archetype ORDER BY late, h, instance_id) AS place FROM ranked_h) WHERE place <= 24)"""
+sample AS (SELECT archetype, brand, instance_id, place, has_saturated FROM (SELECT *, row_number() OVER (PARTITION BY archetype ORDER BY late, h, instance_id) AS place FROM ranked_h) WHERE place <= 24)"""
 
 SERIES = f"""
 series AS (SELECT brand, {LOOSE} AS gender, query, archive_id, min(month) AS month FROM arch WHERE {LOOSE} IS NOT NULL GROUP BY ALL)"""
@@ -50,7 +50,7 @@ _KEYS = KEYWORD_RE
 _METRICS = {"precision": "coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)", "recall": "coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)", "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)", "accuracy": "coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE, 0)"}
 #: neutral zones by lightness, others by hue turned half round
 _TURN = to("CASE WHEN band = 'neutral' THEN lab_l ELSE (CASE WHEN atan2(lab_b, lab_a) < 0 THEN degrees(atan2(lab_b, lab_a)) + 540 ELSE degrees(atan2(lab_b, lab_a)) + 180 END) % 360 END")
-_TOKENS = "SELECT DISTINCT instance_id, brand, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(title_second, '')), '[a-z0-9_-]+')) AS token FROM inst"
+_TOKENS = "SELECT DISTINCT instance_id, brand, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(title_second, '')), '[\\p{L}\\p{N}_-]+')) AS token FROM inst"
 _BANDS = "CASE WHEN sat < 20 THEN 0 WHEN sat < 45 THEN 1 WHEN sat < 70 THEN 2 ELSE 3 END"
 _KINDS = ("MONO", "DOM_ACC", "DUAL_BAL", "MULTI_DOM", "MULTI_BAL")
 _SHARES = ", ".join(f"{to(f'avg((archetype IN ({k}))::INT) * 100', 3)} AS {n}" for k, n in [*((f"'{k}'", k.lower()) for k in _KINDS), ("'MONO', 'DOM_ACC'", "simple")])
@@ -75,7 +75,7 @@ SQL = {
     "archetype_row_pct": q(MERGE + "," + ARCH, f"SELECT coalesce(brand, 'Overall') AS brand, count(*) AS n, {_SHARES} FROM products JOIN arch USING (instance_id) GROUP BY ROLLUP (brand)"),
     "stratified_sample": q(MERGE + "," + ARCH + "," + SAMPLE, "SELECT * FROM sample"),
     "sample_fingerprint": q(MERGE + "," + ARCH + "," + SAMPLE, f"SELECT count(*) AS n, substr(sha1('archetype|42|' || string_agg(brand || ':' || instance_id, ',' ORDER BY brand || ':' || instance_id)), 1, 12) AS fingerprint FROM sample"),
-    "sample_metadata": q(MERGE + "," + ARCH + "," + SAMPLE, "SELECT archetype, brand, count(*) AS n FROM sample GROUP BY GROUPING SETS ((archetype), (brand), ())"),
+    "sample_metadata": q(MERGE + "," + ARCH + "," + SAMPLE, "SELECT archetype, brand, has_saturated, count(*) AS n FROM sample GROUP BY GROUPING SETS ((archetype), (brand), (has_saturated), ())"),
     "round_robin": q(GRID + f", t AS (SELECT brand, color_cluster // 10000 AS zone, instance_id, {to('perc', 6)} AS perc FROM dominant), r AS (SELECT *, row_number() OVER (PARTITION BY brand, zone ORDER BY perc DESC, instance_id) AS r FROM t)", "SELECT brand, zone, instance_id, row_number() OVER (PARTITION BY brand ORDER BY r, zone) AS place FROM r WHERE r <= 3"),
     "drift_pairs": q(SERIES + ", f AS (SELECT *, first_value(archive_id) OVER (PARTITION BY brand, gender ORDER BY month, archive_id) AS base_id FROM series)", "SELECT brand, gender, base_id, archive_id, month FROM f WHERE archive_id <> base_id"),
     "longest_series": q(SERIES + ", n AS (SELECT brand, gender, query, count(*) AS n_archives, min(month) AS first_month, max(month) AS last_month FROM series GROUP BY ALL)", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY brand, gender ORDER BY n_archives DESC, query) AS r FROM n) WHERE r = 1"),

@@ -16,12 +16,12 @@ from .functions import stats as S
 from .functions import text as T
 from .operators import cluster as K
 from .operators import palette as P
+from .operators.sampling import SEED, first_of, seeded
 from .sources import catalogue as src
 
 E = F.expr
 
 BANDS = (20, 45, 70)
-SEED = "42"
 #: fixed values: the candidates of each constant of the merge rule
 SWEEPS = {"hue_merge": range(10, 46), "low_chroma_merge": range(5, 31), "low_chroma_max_delta_l": range(10, 61), "neutral_chroma": range(2, 21)}
 #: hand labels are private; colours that chains of steps under so many units of LAB join stand in for a person's groups
@@ -208,10 +208,11 @@ def archetype_row_pct(spark, d):
 
 
 def stratified_sample(spark, d, per_brand: int = 4, per_stratum: int = 24):
-    """A sample of each archetype: the same number of every brand, filled up from all that remain, by a seeded hash."""
-    rows = archetype_products(spark, d).join(src.archives_of(spark, d), "instance_id").select("archetype", "brand", "instance_id", F.md5(F.concat(F.lit(SEED), F.lit(":"), F.col("instance_id").cast("string"))).alias("h"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("archetype", "brand").orderBy("h", "instance_id"))).withColumn("late", E(f"cast(r > {per_brand} as int)"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("archetype").orderBy("late", "h", "instance_id"))).filter(f"place <= {per_stratum}").select("archetype", "brand", "instance_id", "place")
+    """A sample of each archetype: the same number of every brand, filled up from all that remain, by a seeded hash. Of each archetype and
+    brand only as many rows as could be chosen are ordered together."""
+    rows = archetype_products(spark, d).join(src.archives_of(spark, d), "instance_id").select("archetype", "brand", "instance_id", "has_saturated", seeded("instance_id").alias("h"))
+    rows = first_of(rows, ["archetype", "brand"], str(per_brand + per_stratum)).withColumn("late", E(f"cast(place > {per_brand} as int)"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("archetype").orderBy("late", "h", "instance_id"))).filter(f"place <= {per_stratum}").select("archetype", "brand", "instance_id", "place", "has_saturated")
 
 
 def sample_fingerprint(spark, d):
@@ -222,7 +223,7 @@ def sample_fingerprint(spark, d):
 
 def sample_metadata(spark, d):
     s = stratified_sample(spark, d)
-    return s.groupingSets([[F.col("archetype")], [F.col("brand")], []], "archetype", "brand").agg(F.count("*").alias("n"))
+    return s.groupingSets([[F.col("archetype")], [F.col("brand")], [F.col("has_saturated")], []], "archetype", "brand", "has_saturated").agg(F.count("*").alias("n"))
 
 
 def round_robin(spark, d):
@@ -263,7 +264,7 @@ def keyword_coverage(spark, d):
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     both = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("title_second", F.lit(""))))
-    return src.instances(spark, d).select("instance_id", "brand", F.explode(F.array_distinct(F.regexp_extract_all(both, F.lit("([a-z0-9_-]+)")))).alias("token"))
+    return src.instances(spark, d).select("instance_id", "brand", F.explode(F.array_distinct(F.regexp_extract_all(both, F.lit(r"(?U)([\w-]+)")))).alias("token"))
 
 
 def term_signals(spark, d):

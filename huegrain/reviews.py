@@ -14,16 +14,11 @@ from .functions import color as C
 from .functions import stats as S
 from .functions import text as T
 from .operators import palette as P
+from .operators.sampling import first_of, seeded
 from .reports import KIND, STRATUM, labelled, pairs_of
 from .sources import catalogue as src
 
 E = F.expr
-SEED = "42"
-
-
-def seeded(*cols: str):
-    """A sampling order: an md5 of the seed and a row's key."""
-    return F.md5(F.concat_ws(":", F.lit(SEED), *(F.col(c).cast("string") for c in cols)))
 
 
 # ---------------------------------------------------------------- clusters and zones
@@ -250,14 +245,6 @@ def boundary_sample(spark, d):
     return first_of(s, ["stratum"], want).withColumn("strata_mode", F.lit("pair-features")).select("stratum", "instance_id", "place", "strata_mode")
 
 
-def first_of(rows: DataFrame, by: list[str], want: str, order: tuple[str, ...] = ("h", "instance_id")) -> DataFrame:
-    """The first ``want`` rows (an expression over ``by``) of each group with their place: first within 64 parts of a group, so that
-    no task orders a whole group, then over what they kept."""
-    part = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).filter(f"_r <= {want}")
-    return part.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(f"place <= {want}").drop("_part", "_r")
-
-
 def strata_banner(spark, d):
     """Whether a set of labels holds products of a boundary sample, so that its accuracy is none of the real world."""
     near = boundary_sample(spark, d).select("instance_id", "strata_mode")
