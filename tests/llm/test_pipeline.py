@@ -1,8 +1,15 @@
-"""The dedup stages of the corpus pipeline against brute force, with null and repeated ids."""
+"""The stages of the corpus pipeline against brute force, with null and repeated ids, and the whole of them."""
 
+import collections
 import re
 
+import pytest
+
 import corpus_pipeline as cp
+from huegrain.llm import language_id as lid
+from huegrain.llm import toxicity as tox
+from huegrain.llm.contracts import tokenizer_file
+from huegrain.llm.packing import encoder
 
 LONG = [f"w{i}" for i in range(60)]
 ROWS = [(None, "only one"), (None, "same text"), (4, "same text"), (4, "another of id four"), (7, "another  of id four"), (7, "kept for seven"), (None, None), (8, ""), (9, "x y"), (9, "x y")]
@@ -23,3 +30,81 @@ def test_near(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [rows[i] for i in (1, 2, 4, 5)]
     assert sorted(map(repr, map(tuple, cp.near(spark, docs, "").collect()))) == sorted(map(repr, want))
+
+
+# ---------------------------------------------------------------- the stages with models, and the whole
+
+WORDS = {"aa": "thorn with shall wherever morning".split(), "bb": "pflug nicht zwei schnell morgen".split()}
+
+
+def corpus(spark):
+    """Documents of two languages, toxic ones, letterless ones, copies and near copies, with ids that are null or repeat."""
+    import numpy as np
+
+    random, rows = np.random.default_rng(1), []
+    for i in range(160):
+        lang = sorted(WORDS)[i % 2]
+        text = " ".join(random.choice(WORDS[lang], 50)) + (" blockhead fool" if i % 5 == 0 else "")
+        rows.append((i, text, lang, f"s{i % 3}", len(text)))
+    base = " ".join(f"shall{i}" for i in range(120))
+    rows += [(200, base, "aa", "s", 0), (201, "  " + base, "aa", "s", 0), (202, base + " morning", "aa", "s", 0), (None, "thorn with no id of its own", None, None, None), (7, "12 + 34 !", "aa", "s", 0), (None, None, None, None, None), (8, "", "bb", "s", 0), (8, "schnell morgen nicht", "bb", "s", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = f"file://{tmp_path_factory.mktemp('sf')}"
+    corpus(spark).repartition(4).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2), int(i % 5 == 0)) for i in range(160)] + [(7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def rows_of(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+def test_model_stages_follow_their_operators(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    said = {(r.text,): r for r in lid.language_id(docs.select("doc_id", "text"), lid.fit(docs)).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    kept = cp.by_language(spark, docs, folder)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    assert "thorn with no id of its own" in texts and "schnell morgen nicht" in texts and not {None, "", "12 + 34 !"} & set(texts)
+    clear = [r.text for r in docs.collect() if r.text and re.search("[a-z]", r.text) and r.doc_id is not None and r.doc_id < 160 and r.doc_id not in (7, 8) and not said[r.text,].ambiguous]
+    assert len(clear) > 100 and not set(clear) - set(texts)
+    model = tox.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = [r.text for r in docs.collect()]
+    score = dict(zip(want, tox.score_texts([tox.words_of(t or "") for t in want], tox.WordScores(model.table(), tox.GRAMS), model.bias, model.segment)))
+    assert sorted(map(repr, (r.text for r in cp.not_toxic(spark, docs, folder).collect()))) == sorted(repr(t) for t in want if score[t] < 0.5)
+    assert not any("blockhead" in t for t in want if t and score[t] < 0.5)
+
+
+def test_run_is_the_stages_one_after_another(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    kept = docs.collect()
+    assert [r.text for r in kept if "shall0 " in (r.text or "")] in ([r.text] for r in corpus(spark).collect() if r.doc_id in (200, 201, 202))
+    encode = encoder(tokenizer_file("byte_bpe_50k.json"))
+    tokens = collections.Counter()
+    for r in kept:
+        tokens[r.doc_id] += len(encode(r.text or "")) + 1
+    pieces, seqs = collections.Counter(), collections.defaultdict(list)
+    for r in cp.run(spark, folder).collect():
+        pieces[r.doc_id] += r.length
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert pieces == tokens
+    for spans in seqs.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
+def test_empty_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0, name
