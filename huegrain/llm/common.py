@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,36 @@ def _writer(df: DataFrame, name: str, write) -> str:
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     atexit.register(_remove, spark, path)
+    if _SCRATCH:
+        _SCRATCH[-1].append((spark, path))
     return path
 
 
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables written inside are deleted at the end, but for those that go through the function that this gives: they belong to the scope
+    around it. What is kept must not read the others any more: it is a written table itself."""
+    held: list[tuple[SparkSession, str]] = []
+    _SCRATCH.append(held)
+
+    def keep(table: DataFrame) -> DataFrame:
+        mine = (table.sparkSession, table._written)
+        held.remove(mine)
+        if len(_SCRATCH) > 1:
+            _SCRATCH[-2].append(mine)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for spark, path in held:
+            _remove(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there,
     a lost executor recomputes nothing before it, and a join on it gets a fresh (splittable) exchange.

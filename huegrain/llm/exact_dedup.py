@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, materialize, text_input
+from .common import doc_chunks, materialize, scratch, text_input
 
 SPACE = b" \t\n\x0b\x0c\r"
 _ROW = pa.struct([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("at", pa.list_(pa.int32()))])
@@ -114,7 +114,8 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row."""
-    named = materialize(block_names(docs, id_col, text_col, block_bytes), "identities")
+    with scratch() as keep:
+        named = keep(materialize(block_names(docs, id_col, text_col, block_bytes), "identities"))
     best = F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
     groups = materialize(named.groupBy("level", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
     groups = groups.select("level", "name", "group_size", F.col("best.row_id").alias("keep_row"), F.col("best.doc_id").alias("keep_id"))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, materialize, mix64, release, text_input
+from .common import doc_chunks, materialize, mix64, release, scratch, text_input
 from .components import components
 
 ORDERS = (0x51ED270B, 0x9E3779B9, 0x85EBCA77)
@@ -190,11 +190,11 @@ def _hashes(k: int):
     return run
 
 
-def _rare_first(open_: DataFrame, sets: DataFrame, k: int, pct: int) -> DataFrame:
+def _rare_first(open_: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """(token, row_id, n, root, left): the prefixes of the open classes, rarest shingles first; ``left`` is how many of the
     class's shingles the order does not put before the token. A shingle that one class alone has is counted, not kept."""
     classes = materialize(open_.select("row_id", "n", "root").distinct(), "open_classes")
-    text = _only(sets.select("row_id", "text"), classes.select("row_id")).join(classes, "row_id").select("row_id", "n", "root", "text")
+    text = _only(texts, classes.select("row_id")).join(classes, "row_id").select("row_id", "n", "root", "text")
     body = materialize(text.mapInArrow(_hashes(k), "row_id long, n long, root long, hashes array<long>"), "open_sets")
     all_ = body.select("row_id", F.explode("hashes").alias("token"))
     twice = materialize(all_.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "open_counts")
@@ -250,7 +250,7 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct()
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int = 256) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, pct: int, per_group: int = 256) -> DataFrame:
     """The links among ``pairs`` (a, b): the further orders' prefixes must meet and the tables of parities leave room for a link;
     then the texts' whole sets are compared.
 
@@ -266,7 +266,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int
     meet = materialize(meet.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded(pct), "a long, b long"), "candidates")
     release(ids, sketch)
     ids = materialize(_ids(meet), "asked")
-    body = materialize(_only(sets.select("row_id", "text"), ids), "bodies")
+    body = materialize(_only(texts, ids), "bodies")
     dealt = materialize(meet.groupBy("a").agg(F.ceil(F.count("*") / per_group).cast("long").alias("groups")), "bases")
     probes = meet.join(dealt, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt")).join(body, F.col("b") == F.col("row_id")).select("a", "b", "text", "salt")
     bases = dealt.join(body, F.col("a") == F.col("row_id")).select("a", F.lit(None).cast("long").alias("b"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
@@ -276,11 +276,14 @@ def _checked(pairs: DataFrame, sets: DataFrame, k: int, pct: int, per_group: int
     return links
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6, few: int = 256) -> DataFrame:
-    """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component."""
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, rounds: int = 3, deals: int = 6, few: int = 256, numbered: bool = False) -> DataFrame:
+    """(row_id, doc_id, n_shingles, root): root is the row that stands for the row's component. Where the rows are ``numbered``, their ids are
+    distinct and ``docs`` is a written table: the id tells them apart, and texts are read from there again instead of being copied."""
     src = text_input(docs, id_col, text_col)
     fields = "doc_id long, text binary, n long, k1 long, k2 long, bits binary, index array<long>" + "".join(f", p{i} array<int>" for i in range(1, len(ORDERS)))
-    rows = materialize(src.mapInArrow(_prefixes(words, pct, shingle_ranks(src, words)), fields).withColumn("row_id", F.monotonically_increasing_id()), "prefixes")
+    prefixes = src.mapInArrow(_prefixes(words, pct, shingle_ranks(src, words)), fields)
+    rows = materialize(prefixes.drop("text").withColumn("row_id", F.col("doc_id")) if numbered else prefixes.withColumn("row_id", F.monotonically_increasing_id()), "prefixes")
+    texts = src.select(F.col("doc_id").alias("row_id"), "text") if numbered else rows.select("row_id", "text")
     whole = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row_id").alias("rep")), "classes")
     member = materialize(rows.select("row_id", "doc_id", "n", "k1", "k2").join(whole, ["k1", "k2"], "left").select("row_id", "doc_id", "n", F.coalesce("rep", "row_id").alias("rep")), "members")
     tokens = rows.select("row_id", "n", "index").join(whole.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.explode("index").alias("token"), "row_id", "n")
@@ -318,7 +321,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.select(F.col("row_id").alias("a"), "b").distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _checked(pairs, rows, words, pct)
+        found = _checked(pairs, rows, texts, words, pct)
         links = found if links is None else links.unionByName(found)
         roots = materialize(components(links), "roots")
         if turn == rounds:
@@ -329,13 +332,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not turn:
             many = materialize(open_.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > few).select("token"), "hot_tokens")
             direct = materialize(open_.join(many, "token", "left_anti"), "direct")
-            open_ = _rare_first(open_.join(many, "token", "left_semi"), rows, words, pct)
+            open_ = _rare_first(open_.join(many, "token", "left_semi"), texts, words, pct)
             index = open_.drop("root")
     return member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, few: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, pct: int = 80, few: int = 256, numbered: bool = False) -> DataFrame:
     """(row_id, doc_id, n_shingles, component_id): the smallest id reachable by links."""
-    rows = materialize(jaccard_classes(docs, id_col, text_col, words, pct, few=few), "rows")
+    with scratch() as keep:
+        rows = keep(materialize(jaccard_classes(docs, id_col, text_col, words, pct, few=few, numbered=numbered), "rows"))
     least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("row_id", "doc_id", "n_shingles", "component_id")

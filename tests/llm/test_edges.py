@@ -57,3 +57,33 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_dir(session(master))
+
+
+def test_scratch_tables_go(spark):
+    from huegrain.llm.common import materialize, scratch
+
+    def there(path):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    with scratch() as outer:
+        with scratch() as keep:
+            gone = materialize(spark.range(3), "gone")
+            kept = keep(materialize(gone.selectExpr("id + 1 AS id"), "kept"))
+        assert not there(gone._written) and there(kept._written) and kept.count() == 3
+        last = outer(materialize(kept, "last"))
+    assert not there(kept._written) and sorted(r.id for r in last.collect()) == [1, 2, 3]
+
+
+def test_numbered_rows_give_the_same_components(spark):
+    import numpy as np
+
+    from huegrain.llm.common import materialize
+    from huegrain.llm.jaccard_join import jaccard_components
+
+    random = np.random.default_rng(3)
+    base = [f"w{i}" for i in random.integers(0, 300, 120)]
+    texts = [" ".join("z" + w if i in set(random.integers(0, 120, 4)) else w for i, w in enumerate(base)) for _ in range(40)] + [None, "", "a b", " ".join(base)] * 2
+    df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "numbered")
+    said = lambda **how: sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, few=3, **how).collect())
+    assert said() == said(numbered=True) and len(said()) == len(texts)
