@@ -53,7 +53,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of near copies (five words, 0.8)."""
     rows = _numbered(docs)
-    found = jaccard_components(rows, id_col="_row", words=5, pct=80)
+    found = jaccard_components(rows, id_col="_row", words=5, pct=80, numbered=True)
     return _first(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
 
 
