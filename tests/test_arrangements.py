@@ -127,3 +127,28 @@ def test_decisions_folders_and_connections(spark, tmp_path):
         files.stamped("out", "run", "today")
     env = {"DB_HOST": "db", "DB_PORT": "6543", "DB_USER": "u", "DB_PASSWORD": "p"}
     assert files.jdbc_options("b", env)["url"] == "jdbc:postgresql://db:6543/b" and "READ ONLY" in files.jdbc_options("b", env)["sessionInitStatement"] and "sessionInitStatement" not in files.jdbc_options("b", env, write=True)
+
+
+def test_forest_finds_zones(spark):
+    """Three groups of clusters in each of two brands: probabilities are of folds that the forest has not seen, and linkage on them gives the groups."""
+    from huegrain.operators import forest
+
+    random = np.random.default_rng(7)
+    rows = []
+    for brand in "xy":
+        place = [g * 40 + random.uniform(-4, 4) for g in range(3) for _ in range(12)]
+        for i in range(36):
+            for j in range(i + 1, 36):
+                far = abs(place[i] - place[j])
+                rows.append((brand, i, j, i // 12 == j // 12, *(float(far + x) for x in random.uniform(0, 1, 11))))
+    pairs = spark.createDataFrame(rows, "brand string, cluster_a long, cluster_b long, same_zone boolean, " + ", ".join(f"{c} double" for c in forest.FEATURES))
+    p = forest.out_of_fold(pairs, "same_zone", ["brand", "cluster_a", "cluster_b"], trees=12, depth=4, folds=3)
+    got = p.collect()
+    assert len(got) == len(rows) and sum((r.p > 0.5) == r.same_zone for r in got) >= 0.97 * len(rows)  # its thresholds are quantiles
+    given = spark.createDataFrame([(r.brand, r.cluster_a, r.cluster_b, 0.9 if r.same_zone else 0.1) for r in got], "brand string, cluster_a long, cluster_b long, p double")
+    zones = lambda pairs: {(r.brand, r.cluster): r.zone for r in forest.zones_from(pairs, "brand", "cluster_a", "cluster_b").collect()}
+    assert zones(given) == {(b, i): i // 12 for b in "xy" for i in range(36)}
+    lone = zones(given.filter("NOT (cluster_a = 0 AND cluster_b < 12)"))  # a pair that is not given is 1 apart: 0 joins nobody
+    assert all((lone["x", 0] == lone["x", i]) == (i == 0) for i in range(36)) and lone["x", 1] == lone["x", 11]
+    one = forest.out_of_fold(pairs.filter("same_zone"), "same_zone", ["brand", "cluster_a", "cluster_b"]).select("p").distinct().collect()
+    assert [r.p for r in one] == [1.0]
