@@ -84,8 +84,9 @@ def color_clusters(spark, d, cut: float = 8.0):
         pdf = pdf.sort_values(LAB, ignore_index=True)
         x = pdf[LAB].to_numpy(float)
         far = np.empty((len(x), len(x)), np.float32)
-        for i in range(0, len(x), 500):  # tiles
-            far[i : i + 500] = K.de00(x[i : i + 500], x)
+        for i in range(0, len(x), 500):  # tiles of the upper triangle
+            far[i : i + 500, i:] = K.de00(x[i : i + 500], x[i:])
+            far[i:, i : i + 500] = far[i : i + 500, i:].T
         pdf["color_cluster"] = O.nearest_chain_linkage(far, cut)
         return pdf[["segment", *LAB, "n", "color_cluster"]]
 
