@@ -11,11 +11,14 @@ from . import language_id as lid
 from . import toxicity as tox
 from .bpe import encode_decode
 from .chat_format import render_chats
+from .chat_repair import damaged, repair_report
+from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .fingerprints import neighbour_fingerprints
 from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .line_dedup import line_dedup
+from .mixing import mix_plan
 from .packing import retrieval_pack
 from .registry import table
 
@@ -72,3 +75,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(turns), turns)

@@ -23,6 +23,9 @@ CONTRACTS = {
     "op8_chat_format": ("contracts", "op8"),
     "op9_language_id": ("contracts", "op9"),
     "op10_order_minhash": ("contracts", "op10"),
+    "op11_phrase_collocations": ("contracts", "op11"),
+    "op12_source_mixing": ("contracts", "op12"),
+    "op13_chat_repair": ("contracts", "op13"),
 }
 
 
