@@ -1,4 +1,4 @@
-"""Orders of zones, samples by distance, exact colour clusters, trees: what needs a matrix of one bounded group at a time."""
+"""Orders of zones, samples by distance, trees: what needs a matrix of one bounded group at a time."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _zones, dominant, to
-from .functions import text as T
+from .catalog import _zones, to
 from .operators import cluster as K
 from .operators import orders as O
 from .operators import palette as P
@@ -74,25 +73,6 @@ def family_stats(spark, d, radius: float = 7.0):
     return f.groupBy("segment").agg(E("count_if(n > 1)").alias("n_groups"), E("sum(CASE WHEN n > 1 THEN n ELSE 0 END)").alias("n_grouped"), E("count_if(n = 1)").alias("n_singletons"), to("coalesce(max(spread), 0)", 3, "max_spread"), to("coalesce(max(CASE WHEN n > 1 THEN l_range END), 0)", 3, "max_l_range"))
 
 
-def color_clusters(spark, d, cut: float = 8.0):
-    """Products of a brand and gender clustered by complete linkage of their dominant colours under CIEDE2000, cut at 8. Equal colours
-    are one point; a group's distances are a matrix of four bytes a pair, filled in tiles, and complete linkage needs them all."""
-    rows = dominant(spark, d).withColumn("gender", E(T.GENDER_LOOSE)).filter("gender is not null").withColumn("segment", F.concat_ws("/", "brand", "gender"))
-    points = rows.groupBy("segment", *LAB).agg(F.count("*").alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(LAB, ignore_index=True)
-        x = pdf[LAB].to_numpy(float)
-        far = np.empty((len(x), len(x)), np.float32)
-        for i in range(0, len(x), 500):  # tiles of the upper triangle
-            far[i : i + 500, i:] = K.de00(x[i : i + 500], x[i:])
-            far[i:, i : i + 500] = far[i : i + 500, i:].T
-        pdf["color_cluster"] = O.nearest_chain_linkage(far, cut)
-        return pdf[["segment", *LAB, "n", "color_cluster"]]
-
-    return points.groupBy("segment").applyInPandas(run, "segment string, lab_l double, lab_a double, lab_b double, n long, color_cluster long")
-
-
 def pixel_palettes(spark, d, k: int = 5):
     """Pixels of an image (here the lines of a supplier's parts) in five clusters, by falling share; an image of under five pixels has none.
     Centres are whole numbers, shares have two digits."""
@@ -170,4 +150,4 @@ def zone_forest(spark, d):
     return forest.zones_from(pairs, "brand", "cluster_a", "cluster_b")
 
 
-ALL = [zone_chain, zone_leaf_order, thumbnail_order, diverse_zones, family_stats, color_clusters, pixel_palettes, merge_tree, tune_rule]
+ALL = [zone_chain, zone_leaf_order, thumbnail_order, diverse_zones, family_stats, pixel_palettes, merge_tree, tune_rule]

@@ -226,16 +226,16 @@ _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, ar
 
 
 def queries() -> dict:
-    from . import arrangements, intake, reports, reviews, stores
+    from . import arrangements, clusters, intake, reports, reviews, stores
 
-    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *stores.ALL]}
+    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *clusters.ALL, *stores.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
     from .plans.oracles import SQL
-    from .plans import intake_oracles, report_oracles, review_oracles, store_oracles
+    from .plans import cluster_oracles, intake_oracles, report_oracles, review_oracles, store_oracles
 
-    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL, **store_oracles.SQL}
+    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL, **cluster_oracles.SQL, **store_oracles.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,25 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "term string, decision string")
     text = "\n".join(r.value for r in spark.read.text(path).collect())  # written by hand, one entry a term
     return spark.createDataFrame(sorted(json.loads(text).items()), "term string, decision string")
+
+
+def handed_on(df: DataFrame) -> DataFrame:
+    """``df`` written to a workspace and read back: lineage ends there, and a lost executor repeats nothing before it. Goes with the session
+    or by ``release``."""
+    path = workspace(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``handed_on`` that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._written)
+
+
+def changed(spark: SparkSession, path: str) -> tuple[str, int]:
+    """A file's or folder's path and the time of its last change."""
+    target, fs = _path(spark, path)
+    return path, fs.getFileStatus(target).getModificationTime()
