@@ -140,14 +140,4 @@ def tune_rule(spark, d, rounds: int = 3, folds: int = 5):
     return spark.createDataFrame(steps, "round int, constant string, before int, best int, accuracy double, held_out_gain double")
 
 
-def zone_forest(spark, d):
-    """Zones of each brand's clusters from a random forest's out-of-fold probabilities that two clusters are in one zone. Not among the
-    registered queries: five fits of 200 trees take minutes even on the smallest tables."""
-    from .intake import zone_pair_features
-    from .operators import forest
-
-    pairs = forest.out_of_fold(zone_pair_features(spark, d), "same_zone", ["brand", "cluster_a", "cluster_b"])
-    return forest.zones_from(pairs, "brand", "cluster_a", "cluster_b")
-
-
 ALL = [zone_chain, zone_leaf_order, thumbnail_order, diverse_zones, family_stats, pixel_palettes, merge_tree, tune_rule]

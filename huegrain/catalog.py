@@ -226,9 +226,9 @@ _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, ar
 
 
 def queries() -> dict:
-    from . import arrangements, clusters, intake, reports, reviews, stores
+    from . import arrangements, clusters, intake, reports, reviews, stores, zones
 
-    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *clusters.ALL, *stores.ALL]}
+    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *clusters.ALL, *zones.ALL, *stores.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def paths(sf_dir: str) -> list[str]:
+    """The files that products, their palettes and prices come from."""
+    return [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "customer", "nation", "region", "part")]
+
+
 def _ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")

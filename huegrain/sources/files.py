@@ -154,3 +154,14 @@ def changed(spark: SparkSession, path: str) -> tuple[str, int]:
     """A file's or folder's path and the time of its last change."""
     target, fs = _path(spark, path)
     return path, fs.getFileStatus(target).getModificationTime()
+
+
+_ONCE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, name: str, paths: list[str], build):
+    """What ``build`` gives, a written table or several, made once a session for the same state of the files at ``paths``."""
+    key = (spark.sparkContext.applicationId, name, *(changed(spark, path) for path in paths))
+    if key not in _ONCE:
+        _ONCE[key] = build()
+    return _ONCE[key]
