@@ -13,6 +13,7 @@ from .functions import text as T
 from .operators import cluster as K
 from .operators import palette as P
 from .sources import catalogue as src
+from .sources.files import handed_on, once
 
 E = F.expr
 
@@ -22,7 +23,12 @@ def to(text: str, digits: int, name: str):
 
 
 def dominant(spark: SparkSession, d: str) -> DataFrame:
-    """Each product with the heaviest colour of its merged palette and that colour's merged coverage, grid cell and discount."""
+    """Each product with the heaviest colour of its merged palette and that colour's merged coverage, grid cell and discount: a table, written
+    once a session for the same files, since most queries read it, some of them several times."""
+    return once(spark, "dominant", src.paths(d), lambda: handed_on(_dominant(spark, d)))
+
+
+def _dominant(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("instance_id").orderBy(F.desc("perc"), "grp")
     p = P.merge_palette(src.palette_colors(spark, d)).withColumn("place", F.row_number().over(order)).filter("place = 1").select("instance_id", "perc", "lab_l", "lab_a", "lab_b")
     rows = src.instances(spark, d).join(p, "instance_id")
