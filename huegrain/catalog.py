@@ -128,8 +128,11 @@ def palette_pair_de00(spark, d):
 
 
 def keyword_exclusion(spark, d):
+    """Products that a keyword excludes, with the keyword as it stands there and the title it was found in, the first before the second."""
     pattern = T.keyword_pattern(T.EXCLUDED)
-    return src.instances(spark, d).filter(F.col("title").rlike(pattern)).select("instance_id", F.regexp_extract("title", pattern, 1).alias("keyword"))
+    field = F.when(F.col("title").rlike(pattern), "title").when(F.col("title_second").rlike(pattern), "title_second")
+    found = src.instances(spark, d).withColumn("field", field).filter("field is not null")
+    return found.select("instance_id", F.regexp_extract(F.when(F.col("field") == "title", F.col("title")).otherwise(F.col("title_second")), pattern, 1).alias("keyword"), "field")
 
 
 def _tokens(spark, d):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-GENDER_STRICT = "(CASE WHEN query LIKE '%womens%' THEN 'womens' WHEN query LIKE '%mens%' THEN 'mens' END)"
-GENDER_LOOSE = "(CASE WHEN query LIKE '%women%' THEN 'womens' WHEN query LIKE '%men%' THEN 'mens' END)"
+GENDER_STRICT = "(CASE WHEN lower(query) LIKE '%womens%' THEN 'womens' WHEN lower(query) LIKE '%mens%' THEN 'mens' END)"
+GENDER_LOOSE = "(CASE WHEN lower(query) LIKE '%women%' THEN 'womens' WHEN lower(query) LIKE '%men%' THEN 'mens' END)"
 
 #: small keyword tables of our own; production lists are the caller's configuration
 EXCLUDED = ("gizmo", "hot", "rod")

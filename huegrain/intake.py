@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from .operators.sampling import first_of, seeded
 from .reports import drift_pairs, stratified_sample
 from .reviews import recent_sample
 from .sources import catalogue as src
+from .sources import logs
 
 E = F.expr
 EXCLUDED = T.keyword_pattern(T.EXCLUDED)
@@ -115,8 +114,7 @@ def formatted_totals(spark, d):
 
 # ---------------------------------------------------------------- logs and attrition
 
-#: reason of a log line by what follows the file name; the first pattern that fits counts
-LOG_REASONS = [("no masks", "yolo_no_masks"), ("Skipping because no masks", "yolo_no_masks"), ("no keyword match", "keyword_map_miss"), ("Skipping because no keyword", "keyword_map_miss"), ("no garment detection", "yolo_no_garment"), ("Skipping because no garment", "yolo_no_garment"), ("file not found", "yolo_file_not_found"), ("bad filename format", "yolo_other"), ("exception", "yolo_other"), ("success \\(seg_id", "segmented"), ("Processed successfully", "segmented")]
+# The stages' names, in the order of the report.
 STAGES = ["null_title", "heraldic_filter", "keyword_map_miss", "archive_unsegmented", "yolo_no_masks", "yolo_no_garment", "yolo_file_not_found", "yolo_other", "yolo_unlogged", "clustering_failed", "gender_unknown", "dominant_merge_failed", "final_palette"]
 INTENTIONAL = ["heraldic_filter", "gender_unknown", "yolo_file_not_found", "yolo_other", "null_title"]
 OPPORTUNITIES = [("detection", ["yolo_no_garment", "yolo_no_masks"]), ("keyword map", ["keyword_map_miss"]), ("pending archives", ["archive_unsegmented"])]
@@ -130,14 +128,12 @@ def latest_logs(lines: DataFrame) -> DataFrame:
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:
-    """(instance_id, reason) of log lines: the first line of an instance that a pattern fits; a file name is archive-instance-and so on."""
-    reason = reduce(lambda rest, x: F.when(F.col("line").rlike(f"(?i)^[^:]+: {x[0]}"), x[1]).otherwise(rest), reversed(LOG_REASONS), F.lit(None).cast("string"))
-    rows = lines.select("line_no", "line", reason.alias("reason"), E("try_cast(regexp_extract(line, '^[0-9]+-([0-9]+)-[^:]*:', 1) AS bigint)").alias("instance_id"))
-    return rows.filter("reason IS NOT NULL AND instance_id IS NOT NULL").groupBy("instance_id").agg(F.min_by("reason", "line_no").alias("reason"))
+    """(instance_id, reason) of log lines; an instance is in one archive, and each archive has one log here."""
+    return logs.parse(lines).groupBy("instance_id").agg(F.min("reason").alias("reason"))
 
 
 def logged_archives(lines: DataFrame) -> DataFrame:
-    return lines.select(E("try_cast(regexp_extract(line, '^archive_id: ([0-9]+)$', 1) AS bigint)").alias("archive_id")).filter("archive_id IS NOT NULL").distinct()
+    return logs.header_archive(lines).select("archive_id").distinct()
 
 
 def log_reasons(spark, d):

@@ -31,7 +31,7 @@ SQL = {
     "month_window": q(GRID + ", cube AS (SELECT brand, (year(CAST(month || '-01' AS DATE)) * 12 + month(CAST(month || '-01' AS DATE))) AS m, count(*) AS n, sum(discounted::INT) AS disc FROM dominant GROUP BY ALL)", f"SELECT brand, CAST(m AS BIGINT) AS m, CAST(sum(n) OVER w AS BIGINT) AS n, {to('sum(disc) OVER w * 100.0e0 / sum(n) OVER w')} AS freq_pct FROM cube WINDOW w AS (PARTITION BY brand ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)"),
     "smoothed_deviation": q(GRID + ", zones AS (SELECT brand, color_cluster AS zone, count(*) AS n, avg(discounted::INT) * 100 AS freq, avg(lab_l) AS l, avg(lab_a) AS a, avg(lab_b) AS b FROM dominant GROUP BY ALL), base AS (SELECT brand, sum(freq * n) / sum(n) AS f0 FROM zones GROUP BY 1), kappa AS (SELECT brand, list_sort(list(n))[len(list(n)) // 2 + 1] AS kappa FROM zones GROUP BY 1), pairs AS (SELECT x.brand, x.zone, x.n, x.freq, y.freq AS fy, y.n * (1 - sqrt(power(x.l - y.l, 2) + power(x.a - y.a, 2) + power(x.b - y.b, 2)) / 15) AS w FROM zones x JOIN zones y ON x.brand = y.brand AND x.zone <> y.zone AND sqrt(power(x.l - y.l, 2) + power(x.a - y.a, 2) + power(x.b - y.b, 2)) < 15), prior AS (SELECT brand, zone, sum(w * fy) / sum(w) AS prior FROM pairs GROUP BY ALL)", f"SELECT z.brand, z.zone, z.n, {to('z.freq - f0', 3)} AS deviation, {to('CASE WHEN prior IS NULL THEN z.freq - f0 ELSE (z.n * (z.freq - f0) + kappa * (prior - f0)) * 1.0e0 / (z.n + kappa) END', 3)} AS smoothed FROM zones z JOIN base USING (brand) JOIN kappa USING (brand) LEFT JOIN prior USING (brand, zone)"),
     "palette_pair_de00": q(", pp AS (SELECT x.instance_id, x.cluster_rank AS i, y.cluster_rank AS j, x.lab_l AS l1, x.lab_a AS a1, x.lab_b AS b1, y.lab_l AS l2, y.lab_a AS a2, y.lab_b AS b2 FROM palette x JOIN palette y ON x.instance_id = y.instance_id AND x.cluster_rank < y.cluster_rank)"[1:], f"SELECT instance_id, i, j, {to('de00', 3)} AS de00 FROM {de00('pp', 'l1', 'a1', 'b1', 'l2', 'a2', 'b2')} q"),
-    "keyword_exclusion": q("", f"SELECT instance_id, regexp_extract(title, {EXCLUDED}, 1) AS keyword FROM inst WHERE regexp_matches(title, {EXCLUDED})"),
+    "keyword_exclusion": q("", f"SELECT instance_id, CASE WHEN regexp_matches(title, {EXCLUDED}) THEN regexp_extract(title, {EXCLUDED}, 1) ELSE regexp_extract(title_second, {EXCLUDED}, 1) END AS keyword, CASE WHEN regexp_matches(title, {EXCLUDED}) THEN 'title' ELSE 'title_second' END AS field FROM inst WHERE regexp_matches(title, {EXCLUDED}) OR regexp_matches(title_second, {EXCLUDED})"),
     "keyword_map": q(f", tokens AS (SELECT DISTINCT instance_id, {_WORDS} AS token FROM inst)"[1:], f"SELECT brand, class, count(DISTINCT instance_id) AS n FROM tokens JOIN {KEYWORDS} AS k(keyword, class) ON token = keyword JOIN arch USING (instance_id) GROUP BY ALL"),
     "term_statistics": q(f", tokens AS (SELECT instance_id, {_WORDS} AS token FROM inst)"[1:], "SELECT token, count(*) AS occurrences, count(DISTINCT instance_id) AS products, count(DISTINCT brand) AS brands FROM tokens JOIN arch USING (instance_id) GROUP BY 1"),
     "attrition": q(", staged AS (SELECT i.instance_id, brand, CASE WHEN p.instance_id IS NOT NULL AND i.instance_id % 17 <> 0 THEN 0 WHEN title IS NULL THEN 1 WHEN regexp_matches(title, '(?i)\\b(gizmo|hot|rod)\\b') THEN 2 WHEN i.instance_id % 17 = 0 THEN 3 ELSE 4 END AS stage_no FROM inst i LEFT JOIN (SELECT DISTINCT instance_id FROM palette) p ON i.instance_id = p.instance_id), c AS (SELECT brand, stage_no, count(*) AS n FROM staged GROUP BY ALL)"[1:], f"SELECT brand, stage_no, n, {to('n * 100.0e0 / sum(n) OVER (PARTITION BY brand)', 3)} AS pct, CAST(sum(CASE WHEN stage_no > 0 THEN n ELSE 0 END) OVER (PARTITION BY brand ORDER BY stage_no) AS BIGINT) AS dropped FROM c"),

@@ -2,9 +2,12 @@
 
 from ..sources.catalogue import OUTCOME_CTES
 from .review_oracles import SQL as REVIEWS
+from .intake_oracles import STAGED
 from .rules import GRID, q
 
 SQL = {
+    "log_files": q(STAGED, "SELECT archive_id, query, 'fpyolo11l241114_20240201' AS run_dir, reason, count(*) AS n, count(*) AS n_agreed FROM reasons WHERE NOT segmented AND reason IS NOT NULL GROUP BY ALL"),
+    "streamed_palettes": q("", "SELECT archive_id, count(*) AS n_colors, count(DISTINCT instance_id) AS n_products FROM palette JOIN arch USING (instance_id) GROUP BY 1"),
     "csv_round_trip": "SELECT color_cluster, n_products, freq_pct, depth_pct, hex_color FROM (" + REVIEWS["cluster_summary"] + ")",
     "lenient_csv": q(OUTCOME_CTES, "SELECT instance_id, CASE WHEN priority <> '1-URGENT' THEN price_std::DOUBLE END AS price_std FROM outcomes WHERE priority NOT IN ('2-HIGH', '5-LOW') AND (priority = '1-URGENT' OR price_std IS NULL OR price_std > 0)"),
     "stored_palettes": q("", "SELECT archive_id, count(*) AS n_colors, (SELECT count(DISTINCT archive_id) FROM palette JOIN arch USING (instance_id) WHERE month < '1999-01') AS first_run, (SELECT count(*) FROM (SELECT archive_id FROM palette JOIN arch USING (instance_id) GROUP BY 1 HAVING min(month) >= '1999-01')) AS second_run FROM palette JOIN arch USING (instance_id) GROUP BY 1"),

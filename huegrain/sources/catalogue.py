@@ -106,10 +106,24 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat(F.lit("logs/"), F.regexp_replace("brand", " ", ""), F.lit("_"), F.col("archive_id").cast("string"), F.lit("_"))
     name = F.concat_ws("-", F.col("archive_id").cast("string"), F.col("instance_id").cast("string"), F.lit("0"), F.lit("1"), F.lit("pid"))
     line = lambda stamp, said: o.select(F.concat(folder, F.lit(f"{stamp}/processing_log.txt")).alias("path"), (F.col("instance_id") + 1).alias("line_no"), F.concat(name, F.lit(": "), said).alias("line"))
-    heads = o.select(folder.alias("f"), "archive_id").distinct().select(F.concat("f", F.lit("20240201/processing_log.txt")).alias("path"), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("archive_id: "), F.col("archive_id").cast("string")).alias("line"))
+    heads = o.select(folder.alias("f"), "archive_id").distinct().select(F.concat("f", F.lit("20240201/processing_log.txt")).alias("path"), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("Archive ID: "), F.col("archive_id").cast("string")).alias("line"))
     return heads.unionByName(line("20240101", F.lit("Skipping because no masks were found"))).unionByName(line("20240201", F.col("said")))
 
 
+def log_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(archive_dir, run_dir, line_no, line): the same logs as files hold them, in folders BRAND_query_archive_month and runs. The first run
+    has the older phrasing, the header comes first in every log."""
+    o = outcomes(spark, sf_dir).filter("not segmented").withColumn("said", F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))[F.col("priority")]).filter("said is not null")
+    place = F.min("month").over(Window.partitionBy("archive_id"))
+    o = o.withColumn("archive_dir", F.concat_ws("_", F.regexp_replace("brand", " ", ""), F.regexp_replace("query", " ", "-"), F.col("archive_id").cast("string"), F.regexp_replace(place, "-", "")))
+    name = F.concat_ws("-", F.col("archive_id").cast("string"), F.col("instance_id").cast("string"), F.lit("0"), F.lit("1"), F.lit("pid"))
+    run = lambda stamp: F.lit(f"fpyolo11l241114_{stamp}")
+    line = lambda stamp, said: o.select("archive_dir", run(stamp).alias("run_dir"), (F.col("instance_id") + 1).alias("line_no"), F.concat(name, F.lit(": "), said).alias("line"))
+    head = lambda stamp: o.select("archive_dir", "archive_id").distinct().select("archive_dir", run(stamp).alias("run_dir"), F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("Archive ID: "), F.col("archive_id").cast("string")).alias("line"))
+    first, last = ("20240101", F.lit("Skipping because no masks were found")), ("20240201", F.col("said"))
+    return head(first[0]).unionByName(head(last[0])).unionByName(line(*first)).unionByName(line(*last))
+
+
 def shown_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(instance_id, brand, text): both titles as the shop shows them."""
     both = instances(spark, sf_dir).select("instance_id", "brand", F.explode(F.array(F.initcap("title"), F.col("title_second"))).alias("text"))
