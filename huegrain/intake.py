@@ -15,7 +15,7 @@ from .operators.sampling import first_of, seeded
 from .reports import drift_pairs, stratified_sample
 from .reviews import recent_sample
 from .sources import catalogue as src
-from .sources import logs
+from .sources import files, logs
 
 E = F.expr
 EXCLUDED = T.keyword_pattern(T.EXCLUDED)
@@ -344,11 +344,21 @@ def cluster_samples(spark, d):
     return first_of(rows.join(F.broadcast(sizes), "color_cluster"), ["color_cluster"], "wanted").select("color_cluster", "instance_id", "place")
 
 
+def decided(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(run, decision) of the samples asked for (run, strata, seed, resample): fresh where none is held, drawn again on demand, reused where the
+    metadata held (run, held_strata, held_seed) are those asked for, refused where not."""
+    same = "held_strata <=> strata AND held_seed <=> seed"
+    return asked.join(held.withColumn("held", F.lit(True)), "run", "left").select("run", E(f"CASE WHEN held IS NULL THEN 'fresh' WHEN resample THEN 'resample' WHEN {same} THEN 'reuse' ELSE 'refuse' END").alias("decision"))
+
+
 def sample_decisions(spark, d):
-    """What becomes of a stored sample: reused where its parameters are those asked for, refused where not, drawn again on demand."""
-    rows = [(1, None, None, "archetype", 42, False), (2, "archetype", 42, "archetype", 42, False), (3, "archetype", 7, "archetype", 42, False), (4, "pair-features", 42, "archetype", 42, False), (5, "archetype", 42, "archetype", 42, True), (6, None, None, "archetype", 42, True)]
-    asked = spark.createDataFrame(rows, "run int, had_strata string, had_seed int, strata string, seed int, resample boolean")
-    return asked.select("run", E("CASE WHEN had_strata IS NULL THEN 'fresh' WHEN resample THEN 'resample' WHEN had_strata = strata AND had_seed = seed THEN 'reuse' ELSE 'refuse' END").alias("decision"))
+    """What becomes of stored samples: their metadata go through JSON files. A run stands for an archive; what it asks for and holds follow from
+    its number."""
+    runs = src.archives_of(spark, d).select(F.col("archive_id").alias("run")).distinct()
+    asked = runs.select("run", E("CASE WHEN run % 3 = 0 THEN 'pair-features' ELSE 'archetype' END").alias("strata"), (F.lit(40) + E("run % 2")).alias("seed"), E("run % 7 = 0").alias("resample"))
+    path = files.workspace(spark)
+    runs.filter("run % 5 <> 0").select("run", E("CASE WHEN run % 2 = 0 THEN 'pair-features' ELSE 'archetype' END").alias("held_strata"), F.lit(41).alias("held_seed")).write.json(path)
+    return decided(asked, spark.read.schema("run bigint, held_strata string, held_seed bigint").json(path))
 
 
 # ---------------------------------------------------------------- flagged products

@@ -90,7 +90,7 @@ SQL = {
     "keyword_filter_metrics": q(JUDGED + ", jm AS (SELECT coalesce(brand, 'all') AS brand, count(*) FILTER (catches AND label) AS tp, count(*) FILTER (catches AND NOT label) AS fp, count(*) FILTER (NOT catches AND label) AS fn, count(*) FILTER (NOT catches AND NOT label) AS tn, count(*) AS n, count(*) FILTER (catches = label) AS k FROM judged GROUP BY ROLLUP (brand))", f"SELECT brand, tp, fp, fn, tn, {to('coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)')} AS precision, {to('coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)')} AS recall, {to('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)')} AS f1, {to('k / n::DOUBLE')} AS accuracy, {to(LO)} AS lo, {to(HI)} AS hi FROM jm"),
     "keyword_filter_errors": q(JUDGED, "SELECT brand, instance_id, title, CASE WHEN label THEN 'FN' ELSE 'FP' END AS error FROM judged WHERE catches <> label"),
     "cluster_samples": q(GRID + f", cs AS (SELECT color_cluster, instance_id, row_number() OVER (PARTITION BY color_cluster ORDER BY {HASH}, instance_id) AS place, count(*) OVER (PARTITION BY color_cluster) AS n FROM dominant)", "SELECT color_cluster, instance_id, place FROM cs WHERE place <= ceil(96.04e0 / (1 + 95.04e0 / n))"),
-    "sample_decisions": "SELECT run, decision FROM (VALUES (1::INT, 'fresh'), (2, 'reuse'), (3, 'refuse'), (4, 'refuse'), (5, 'resample'), (6, 'fresh')) AS v(run, decision)",
+    "sample_decisions": q("", "SELECT DISTINCT archive_id AS run, CASE WHEN archive_id % 5 = 0 THEN 'fresh' WHEN archive_id % 7 = 0 THEN 'resample' WHEN (archive_id % 3 = 0) = (archive_id % 2 = 0) AND archive_id % 2 = 1 THEN 'reuse' ELSE 'refuse' END AS decision FROM arch"),
     "flag_distances": q(FLAGS, "SELECT * FROM flags"),
     "flag_analysis": q(FLAGS, f"SELECT coalesce(lightness, 'all') AS lightness, count(*) AS n, {to('avg(dist_to_own)', 2)} AS mean_own, {to('avg(dist_to_alt)', 2)} AS mean_alt, count(*) FILTER (delta > 0) AS closer_to_alt FROM flags GROUP BY ROLLUP (lightness)"),
     "flag_pairs": q(FLAGS, "SELECT color_cluster, nearest_alt, count(*) AS n FROM flags GROUP BY ALL ORDER BY n DESC, color_cluster, nearest_alt LIMIT 10"),

@@ -92,3 +92,11 @@ def test_votes_do_not_depend_on_tasks(spark):
     assert told[0] == told[1] and len(told[0]) == len(rows)
     p, y = np.array([told[0][r[1], r[2]] for r in rows]), np.array([r[3] for r in rows])
     assert (p[y][:, None] > p[~y][None]).mean() > 0.97  # area under the curve
+
+
+def test_decisions_on_samples(spark):
+    from huegrain.intake import decided
+
+    asked = spark.createDataFrame([(1, "a", 42, False), (2, "a", 42, False), (3, "a", 42, False), (4, "a", 42, False), (5, "a", 42, True), (6, "a", 42, True), (7, None, None, False)], "run long, strata string, seed long, resample boolean")
+    held = spark.createDataFrame([(2, "a", 42), (3, "a", 7), (4, "b", 42), (5, "a", 42), (7, None, None)], "run long, held_strata string, held_seed long")
+    assert {r.run: r.decision for r in decided(asked, held).collect()} == {1: "fresh", 2: "reuse", 3: "refuse", 4: "refuse", 5: "resample", 6: "fresh", 7: "reuse"}
