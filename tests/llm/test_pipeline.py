@@ -108,3 +108,18 @@ def test_empty_documents(spark, folder):
     for name, stage in cp.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0, name
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Columns named as the stages' own come through with their values; an empty table goes through with its columns."""
+    from pyspark.sql import functions as F
+
+    extra = {"_row": "r", "_Score": "s", "_said": "l", "_group": "g", "_place": "p", "keep_id": "k", "component_id": "c"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.concat(F.lit(v), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c, v in extra.items()})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == v + ("-" if r.doc_id is None else str(r.doc_id)) for r in rows for c, v in extra.items()), name
+        if name in ("exact_dedup", "ngram_jaccard"):
+            assert stage(spark, docs.limit(0), folder).count() == 0
