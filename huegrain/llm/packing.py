@@ -1,15 +1,16 @@
-"""Lexical retrieval packing: BM25 neighbours from all documents fill each seed document's window.
+"""Lexical retrieval packing: BM25 neighbours of each seed document fill its window.
 
-Whole windows of a document stand alone. The rests are packed in rounds: each open window takes the best unused documents of the
-whole table for all terms of its seed, by falling BM25 score, with document frequencies and mean length over the whole corpus; a
-document that several windows ask for goes to the highest score. The search is exact: every block of seeds meets the inverted
-index of every block of unused documents. The last document of a window is cut at the window's end and seeds another one. Windows
-for which no unused document has a term are joined end to end at last; what is left of that is cut into sequences of powers of
-two, so that nothing is padded.
+Whole windows of a document stand alone. The rests are dealt to shards of some thousand documents by their words: the nearest of
+some centres (k-means over hashed BM25 vectors, fitted on a bounded sample), and within a centre by the weightiest term, so that
+copies meet. Each shard holds an inverted index of its documents, with document frequencies and mean length of the whole corpus. Its
+documents are seeds in turn: a seed's best unused neighbours under all its terms go into its window, best first; the last is cut at the
+window's end, and its rest stays unused, to be found by another. The search is exact within a shard; a neighbour in another shard is not
+seen, so that work grows with documents, not with their square. Windows for which the shard has nothing unused with a common term are
+joined end to end; what is left of that is cut into sequences of powers of two, so that nothing is padded.
 
 Defined cases: null text is empty (one token, the separator); an empty table gives no pieces; repeated rows are packed each
-by itself; documents of equal score are taken in the order of a hash of their content, equal ones of that in any order; texts of any
-length are packed whole; extra columns are ignored.
+by itself; documents of equal score are taken in the order of a hash of their content, equal ones of that in any order; texts of
+any length are packed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import doc_chunks, materialize, shuffle_width, text_input
+from .common import doc_chunks, in_one_task, materialize, mix64, shuffle_width, text_input
 
 #: the pre-tokenisation of byte-level BPE files that use their library's own pattern (public, as in the first such vocabulary)
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -116,259 +117,276 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "df"])
 
 
-class Bm25:
-    """Inverted index of one block of documents; terms that many documents and queries have are held as a dense matrix."""
-
-    def __init__(self, docs: pa.StructArray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        doc, term = _postings(docs.field("terms"))
-        tf = np.frombuffer(b"".join(docs.field("tfs").to_pylist()), np.uint32).astype(np.float32)
-        length = docs.field("doc_tokens").to_numpy(zero_copy_only=False).astype(np.float32)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
-        order = np.argsort(term, kind="stable")
-        self._doc, self._term, self._weight = doc[order], term[order], weight[order].astype(np.float32)
-        self._at = np.searchsorted(self._term, np.arange(65537))
-        self._keys, self._nodes = (docs.field(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-
-    def scores(self, terms: pa.Array) -> np.ndarray:
-        """The score of every document under all terms of each query."""
-        n, q = len(self._nodes), len(terms)
-        owner, term = _postings(terms)
-        df = np.diff(self._at)
-        heavy = np.flatnonzero(np.bincount(term, minlength=65536) * df > 0.005 * q * n)
-        column = np.full(65536, -1)
-        column[heavy] = np.arange(len(heavy))
-        has, wants = column[self._term], column[term]
-        w = np.zeros((len(heavy), n), np.float32)
-        w[has[has >= 0], self._doc[has >= 0]] = self._weight[has >= 0]
-        x = np.zeros((q, len(heavy)), np.float32)
-        x[owner[wants >= 0], wants[wants >= 0]] = 1
-        score = x @ w
-        rare = (wants < 0) & (df[term] > 0)
-        owner, term = owner[rare], term[rare]
-        ends = np.cumsum(df[term])
-        a = 0
-        while a < len(term):  # some millions of meetings at a time
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22))))
-            size = df[term[a:z]]
-            at = np.arange(size.sum()) + np.repeat(self._at[term[a:z]] - (np.cumsum(size) - size), size)
-            low = int(owner[a])
-            rows = int(owner[z - 1]) - low + 1
-            flat = np.repeat((owner[a:z] - low) * n, size) + self._doc[at]
-            score[low : low + rows] += np.bincount(flat, self._weight[at], rows * n).reshape(rows, n)
-            a = z
-        return score.round(3)
-
-    def search(self, terms: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(nodes, keys, scores) of the ``k`` best documents under all terms of each query, best first (ties: smallest key)."""
-        score, (n, q) = self.scores(terms), (len(self._nodes), len(terms))
-        least = np.partition(score, n - k, axis=1)[:, n - k] if k < n else np.zeros(q, np.float32)
-        out = []
-        for row, floor in zip(score, least):
-            near = np.flatnonzero((row >= floor) & (row > 0))
-            near = near[np.lexsort((self._keys[near], -row[near]))[:k]]
-            out.append((self._nodes[near], self._keys[near], row[near]))
-        return out
-
-
 def _postings(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(place, term) of every term in a column of term lists."""
     blobs = lists.to_pylist()
     return np.repeat(np.arange(len(blobs)), [len(x) // 2 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint16)
 
 
-def _meet(idf: np.ndarray, mean: float, k: int):
-    """Each pair of a block of documents and a block of queries: the block's best documents for each query."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1024 in integers: products of two of them are exact, however they are added."""
+    return np.rint(x * (1024 / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9))).astype(np.float32)
+
+
+class Bm25:
+    """The weights of terms in documents, from statistics of the whole corpus, and inverted indexes of some of the documents. Weights are
+    multiples of 1/64, so that sums of up to 2^18 are exact in whatever order they are added, and ties are ties on every machine."""
+
+    def __init__(self, docs: pa.Table, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
+        self.n = docs.num_rows
+        doc, term = _postings(docs["terms"])
+        tf = np.frombuffer(b"".join(docs["tfs"].to_pylist()), np.uint32).astype(np.float32)
+        length = docs["doc_tokens"].to_numpy().astype(np.float32)
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+        self._term, self._weight = term, (np.rint(weight * 64) / 64).astype(np.float32)
+        self._doc, self._ends = doc, np.searchsorted(doc, np.arange(self.n + 1))
+
+    def _of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``docs``, place in the postings) of their terms."""
+        size = self._ends[docs + 1] - self._ends[docs]
+        return np.repeat(np.arange(len(docs)), size), np.arange(size.sum()) + np.repeat(self._ends[docs] - (np.cumsum(size) - size), size)
+
+    def index(self, docs: np.ndarray) -> Index:
+        place, at = self._of(docs)
+        return Index(self, len(docs), place, self._term[at], self._weight[at])
+
+    def terms(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, at = self._of(docs)
+        return place, self._term[at]
+
+    def vectors(self) -> np.ndarray:
+        """Every document as a vector of length 1024, in integers: each term's weight goes to one of ``DIMS`` places with a sign, both from its hash."""
+        h = mix64(np.arange(65536))
+        sign = np.where(h >> np.uint64(63), np.float32(1), np.float32(-1))
+        flat = self._doc * DIMS + (h % np.uint64(DIMS)).astype(np.int64)[self._term]
+        x = np.bincount(flat, self._weight * sign[self._term], self.n * DIMS).reshape(self.n, DIMS)
+        return _scaled(x)
+
+    def signatures(self) -> np.ndarray:
+        """Each document's weightiest term (ties: the smallest; -1: none): copies share it, near copies mostly."""
+        order = np.lexsort((self._term, -self._weight, self._doc))
+        out, some = np.full(self.n, -1), np.diff(self._ends) > 0
+        out[some] = self._term[order[self._ends[:-1][some]]]
+        return out
+
+
+class Index:
+    """Postings by term; terms that many of the documents have are held as a dense matrix."""
+
+    def __init__(self, corpus: Bm25, n: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self._corpus, self.n = corpus, n
+        order = np.argsort(term, kind="stable")
+        self._doc, self._weight = doc[order], weight[order]
+        self._df = np.bincount(term, minlength=65536)
+        self._at = np.cumsum(self._df) - self._df
+        heavy = np.flatnonzero(self._df > max(n // 16, 8))
+        self._column = np.full(65536, -1)
+        self._column[heavy] = np.arange(len(heavy))
+        self._dense = np.zeros((len(heavy), n), np.float32)
+        has = self._column[term]
+        self._dense[has[has >= 0], doc[has >= 0]] = weight[has >= 0]
+
+    def scores(self, seeds: np.ndarray) -> np.ndarray:
+        """The score of every document of the index under all terms of each seed."""
+        owner, term = self._corpus.terms(seeds)
+        column = self._column[term]
+        x = np.zeros((len(seeds), len(self._dense)), np.float32)
+        x[owner[column >= 0], column[column >= 0]] = 1
+        score = x @ self._dense
+        rare = (column < 0) & (self._df[term] > 0)
+        owner, term = owner[rare], term[rare]
+        size = self._df[term]
+        at = np.arange(size.sum()) + np.repeat(self._at[term] - (np.cumsum(size) - size), size)
+        score += np.bincount(np.repeat(owner * self.n, size) + self._doc[at], self._weight[at], len(seeds) * self.n).reshape(score.shape)
+        return score
+
+
+def best(score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` highest scores above zero, best first (ties: the first place)."""
+    floor = np.partition(score, len(score) - k)[len(score) - k] if k < len(score) else 0
+    near = np.flatnonzero((score >= floor) & (score > 0))
+    return near[np.argsort(-score[near], kind="stable")[:k]]
+
+
+def fill_windows(corpus: Bm25, size: np.ndarray, window: int, k: int, batch: int = 64) -> list[list[tuple[int, int, int]]]:
+    """Windows of (document, from, to). Each seed takes its best unused neighbours, best first; the last is cut at the window's end,
+    and its rest stays unused. Whole documents are seeds before rests. Scores are worked out for some seeds at a time."""
+    at = np.zeros(corpus.n, np.int64)  # what is used of each document
+    bare = np.diff(corpus._ends) == 0  # no term: no neighbour
+    windows = [[(int(r), 0, int(size[r]))] for r in np.flatnonzero(bare)]
+    at[bare] = size[bare]
+    live, index = np.zeros(0, np.int64), None
+
+    def use(r: int, room: int) -> tuple[int, int, int]:
+        a, at[r] = int(at[r]), min(at[r] + room, size[r])
+        return r, a, int(at[r])
+
+    while len(left := np.flatnonzero(at < size)):
+        if index is None or 2 * len(left) < len(live):
+            live, index = left, corpus.index(left)
+        seeds = left[np.argsort(at[left] > 0, kind="stable")][: min(batch, max(len(left) // 8, 1))]
+        for r, before, score in zip(seeds.tolist(), at[seeds].tolist(), index.scores(seeds)):
+            if at[r] > before:
+                continue  # an earlier seed has taken some of it
+            items = [use(r, window)]
+            room = window - (items[0][2] - items[0][1])
+            while room and len(near := live[best(np.where(at[live] < size[live], score, 0), k)]):
+                for d in near.tolist():
+                    if room:
+                        items.append(use(d, room))
+                        room -= items[-1][2] - items[-1][1]
+            windows.append(items)
+    return windows
+
+
+def _close(windows: list[list[tuple[int, int, int]]], window: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences without padding: full windows as they are; the others end to end, cut anew, the last in powers of two."""
+    loose: list[tuple[int, int, int]] = []
+    for items in windows:
+        if sum(b - a for _, a, b in items) == window:
+            yield items
+        else:
+            loose += items
+    left = sum(b - a for _, a, b in loose)
+    loose.reverse()
+    for size in [window] * (left // window) + [1 << b for b in range((left % window).bit_length() - 1, -1, -1) if left % window >> b & 1]:
+        out, room = [], size
+        while room:
+            r, a, b = loose.pop()
+            take = min(b - a, room)
+            out.append((r, a, a + take))
+            room -= take
+            if a + take < b:
+                loose.append((r, a + take, b))
+        yield out
+
+
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+def _pack_shards(idf: np.ndarray, mean: float, window: int, k: int, shard_docs: int, block_bytes: int = 64 << 20):
+    """Rows sorted by shard. A shard is packed in one go; one that grew beyond twice its size, in memory or in rows, in blocks."""
+
+    def pack(parts: list[pa.RecordBatch], lot: int, first: int) -> pa.RecordBatch:
+        docs = pa.Table.from_batches(parts).combine_chunks()
+        rest = [np.frombuffer(x, np.uint16) for x in docs["rest"].to_pylist()]
+        tokens, ids, out = docs["doc_tokens"].to_pylist(), docs["doc_id"].to_pylist(), []
+        windows = fill_windows(Bm25(docs, idf, mean), np.array([len(x) for x in rest]), window, k)
+        for sequence, items in enumerate(_close(windows, window), (lot << 32) + first):
+            offset = 0
+            for r, a, b in items:
+                out.append((ids[r], tokens[r] // window * window + a, b - a, _crc(rest[r][a:b]), tokens[r], sequence, offset))
+                offset += b - a
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, index = None, None
+        held: list[pa.RecordBatch] = []
+        lot, rows, weight, first = -1, 0, 0, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                if (at := batch.column(0)[i].as_py()) != block:
-                    block, index = at, Bm25(batch.column(1)[i].values, idf, mean)
-                queries = batch.column(2)[i].values
-                for a in range(0, len(queries), 1024):
-                    some = queries.slice(a, 1024)
-                    found = index.search(some.field("terms"), k)
-                    size = [len(x[0]) for x in found]
-                    seed = np.repeat(some.field("node").to_numpy(zero_copy_only=False), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(seed), *(pa.array(np.concatenate([x[c] for x in found]), t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float32())))], names=["seed", "node", "key", "score"])
+            lots = batch["lot"].to_numpy()
+            load = pc.binary_length(batch["terms"]).to_numpy(zero_copy_only=False)
+            a = 0
+            while a < batch.num_rows:
+                same = int(np.searchsorted(lots, lots[a], side="right"))
+                if held and (lots[a] != lot or rows >= 2 * shard_docs or weight >= block_bytes):
+                    found = pack(held, lot, first)
+                    yield found
+                    first += found.num_rows
+                    held, rows, weight = [], 0, 0
+                if lots[a] != lot:
+                    lot, first = int(lots[a]), 0
+                z = min(same, a + 2 * shard_docs - rows, a + 1 + int(np.searchsorted(np.cumsum(load[a:same]), block_bytes - weight)))
+                held.append(batch.slice(a, z - a))
+                rows, weight, a = rows + z - a, weight + int(load[a:z].sum()), z
+        if held:
+            yield pack(held, lot, first)
 
     return run
 
 
-def best_unused(seeds: DataFrame, unused: DataFrame, idf: np.ndarray, mean: float, k: int, block_docs: int = 4096) -> DataFrame:
-    """(seed, node, key, score): the ``k`` best of all ``unused`` documents for each seed. Every block of seeds meets every
-    block of documents, so the result does not depend on the blocks; the work grows with seeds times documents."""
-
-    def blocks(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-        n = max(math.ceil(df.count() / block_docs), 1)
-        dealt = df.repartition(n, F.pmod("key", F.lit(n))).groupBy(F.pmod("key", F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name))
-        return materialize(dealt, name)
-
-    docs = blocks(unused, ["node", "key", "terms", "tfs", "doc_tokens"], "docs")
-    pairs = docs.crossJoin(blocks(seeds, ["node", "terms"], "queries").drop("block").hint("shuffle_replicate_nl"))
-    found = pairs.mapInArrow(_meet(idf, mean, k), "seed long, node long, key long, score float")
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "key", "node"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
-
-
-def _fill(window: int):
-    """One lot of windows: full ones as they are; the others end to end, cut anew, the last in powers of two."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["window", "at"], ignore_index=True)
-        out: list[tuple] = []  # (row, from, length, crc, sequence, offset)
-        sequence = int(pdf["lot"].iloc[0]) << 32
-        rest = [np.frombuffer(x, np.uint16) for x in pdf["rest"]]
-        ab = list(zip(pdf["a"].tolist(), pdf["b"].tolist()))
-
-        def close(items: list[tuple[int, int, int]], sizes: list[int]) -> None:
-            nonlocal sequence
-            items = items[::-1]
-            for size in sizes:
-                at = 0
-                while at < size:
-                    r, a, b = items.pop()
-                    take = min(b - a, size - at)
-                    out.append((r, a, take, _crc(rest[r][a : a + take]), sequence, at))
-                    at += take
-                    if a + take < b:
-                        items.append((r, a + take, b))
-                sequence += 1
-
-        loose: list[tuple[int, int, int]] = []
-        for _, rows in pdf.groupby("window", sort=False).indices.items():
-            items = [(int(r), *ab[r]) for r in rows]
-            if sum(b - a for _, a, b in items) == window:
-                close(items, [window])
-            else:
-                loose += items
-        left = sum(b - a for _, a, b in loose)
-        close(loose, [window] * (left // window) + [1 << b for b in range((left % window).bit_length() - 1, -1, -1) if left % window >> b & 1])
-        r, a, length, crc, seq, offset = map(list, zip(*out))
-        tokens = pdf["doc_tokens"].to_numpy()[r]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[r].to_numpy(), "start": tokens // window * window + np.array(a), "length": length, "ids_crc32": crc, "doc_tokens": tokens, "sequence_id": seq, "offset": offset})
+#: places of the vectors that deal documents to shards
+DIMS = 1024
+
+
+def _centroids(leaves: int, turns: int = 12):
+    """Spherical k-means over the sample's vectors, from evenly spaced rows; an empty cluster keeps its centre."""
+
+    def fit(rows: list[dict]) -> np.ndarray:
+        if not rows:
+            return np.zeros((1, DIMS), np.float32)
+        x = np.frombuffer(b"".join(r["vector"] for r in rows), np.float32).reshape(-1, DIMS)
+        centre = x[np.unique(np.linspace(0, len(x) - 1, leaves).astype(int))].copy()
+        for _ in range(turns):
+            of = (x @ centre.T).argmax(axis=1)
+            total = np.zeros_like(centre)
+            np.add.at(total, of, x)
+            centre = np.where(np.bincount(of, minlength=len(centre))[:, None] > 0, _scaled(total.astype(np.float64)), centre)
+        return centre
+
+    return fit
+
+
+def _some(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
 
-    return run
 
+def _vectorise(idf: np.ndarray, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _some(batch):
+                vectors = Bm25(pa.Table.from_batches([part]), idf, mean).vectors()
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array([v.tobytes() for v in vectors], pa.binary())], names=["key", "vector"])
 
-_PLACED = pa.schema([("node", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("window", pa.int64()), ("at", pa.int32())])
+    return run
 
 
-def _finish(window: int, idf: np.ndarray, mean: float, batch: int = 512):
-    """All open windows and unused documents that are left, in memory: each window in turn, in the order of keys, takes the best unused
-    documents while half of one fits; then the first unused document begins the next window. Scores are worked out for some hundred
-    windows at a time. The rest of a document that was cut is a window that nothing is left for."""
+def _route(idf: np.ndarray, mean: float, centre: np.ndarray):
+    """(node, key, leaf, signature): the nearest centre to each document, and what its copies share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [x for x in batches if x.num_rows]
-        if not given:
-            return
-        table = pa.Table.from_batches(given).sort_by([("open", "descending"), ("key", "ascending"), ("node", "ascending")]).combine_chunks()
-        node, size, filled, is_open = (table[c].to_numpy() for c in ("node", "size", "filled", "open"))
-        terms, docs = table["terms"].combine_chunks(), np.flatnonzero(~is_open)
-        index = Bm25(table.take(pa.array(docs)).to_struct_array().combine_chunks(), idf, mean)  # in the order of keys
-        free, slot = np.ones(len(docs), bool), np.full(len(table), -1)
-        slot[docs] = np.arange(len(docs))
-        out: list[tuple[int, int, int, int, int]] = []
-        queue, begun = np.flatnonzero(is_open).tolist(), 0  # documents before ``begun`` have begun a window or are used
-        while free.any():
-            if not queue:
-                starts = docs[begun:][free[begun:]][:batch]
-                queue, begun = starts.tolist(), int(slot[starts[-1]]) + 1
-            some, queue = queue[:batch], queue[batch:]
-            for r, score in zip(some, index.scores(terms.take(pa.array(some)))):
-                full = int(filled[r])
-                if not is_open[r]:  # a document that begins a window, unless an earlier one has taken it
-                    if not free[slot[r]]:
-                        continue
-                    free[slot[r]], full = False, int(size[r])
-                    out.append((int(node[r]), 0, full, int(node[r]), 0))
-                while full < window and free.any():
-                    best = int(np.where(free, score, -1).argmax())
-                    d = int(docs[best])
-                    take = min(int(size[d]), window - full)
-                    if score[best] <= 0 or 2 * take < size[d]:
-                        break
-                    free[best] = False
-                    out.append((int(node[d]), 0, take, int(node[r]), full))
-                    full += take
-                    if take < size[d]:
-                        out.append((int(node[d]), take, int(size[d]), int(node[d]), 0))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_PLACED)], schema=_PLACED)
+        for batch in batches:
+            for part in _some(batch):
+                corpus = Bm25(pa.Table.from_batches([part]), idf, mean)
+                leaf = (corpus.vectors() @ centre.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part["node"], part["key"], pa.array(leaf.astype(np.int32)), pa.array(corpus.signatures())], names=["node", "key", "leaf", "signature"])
 
     return run
 
 
-def _place(rows: DataFrame, window: int, idf: np.ndarray, mean: float, k: int, last_docs: int) -> DataFrame:
-    """(node, a, b, window, at): where each rest goes. In a round every open window asks for its seed's best unused documents
-    of the whole table, a document goes to the window that scores it highest, and the next round asks again without it. The last
-    ``last_docs`` documents, as many at every size, go to windows one by one in one task, which needs no rounds."""
-    some = F.length("terms") > 0
-    alone = rows.filter(~some)  # no term: no partner
-    parts = [alone.select("node", F.lit(0).alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at"))]
-    unused = materialize(rows.filter((F.col("size") > 0) & some), "unused")
-    open_, turn, stalled = None, 0, 0
-    while True:
-        left = unused.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t"), F.min("key").alias("key")).first()
-        if not left.n:
-            break
-        room = open_.agg(F.coalesce(F.sum(F.lit(window) - F.col("filled")), F.lit(0))).first()[0] if open_ is not None else 0
-        if left.n <= last_docs:
-            least = unused.select("node", "key", "terms", "tfs", "doc_tokens", "size", F.lit(0).alias("filled"), F.lit(False).alias("open"))
-            if open_ is not None:  # windows enough for what is left, by hash; the others stay as they are
-                asks = open_.filter(F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(1 << 30)) < int(min(1.0, 2 * left.t / max(room, 1)) * (1 << 30)))
-                least = least.unionByName(asks.select("node", "key", "terms", F.lit(b"").alias("tfs"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(0).alias("size"), F.col("filled").cast("int"), F.lit(True).alias("open")))
-            parts.append(materialize(least.repartition(1).mapInArrow(_finish(window, idf, mean), "node long, a int, b int, window long, at int"), "last"))
-            break
-        short = max(math.ceil((left.t - room) / window), 0 if room else 1)  # windows, if the open ones cannot hold all
-        share = min(max(short / 3, min(short, 64), 2**stalled if stalled else 0) / left.n, 1)  # a third of them now: seeds take no partners from each other
-        new = (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))) | (F.lit(not room) & (F.col("key") == left.key))
-        marked = materialize(unused.withColumn("new", new), "marked")
-        fresh, unused = marked.filter("new").drop("new"), marked.filter("not new").drop("new")
-        parts.append(fresh.select("node", F.lit(0).alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at")))
-        begun = fresh.select("node", "terms", "key", F.col("size").alias("filled"))
-        open_ = begun if open_ is None else open_.unionByName(begun)
-        claims = materialize(best_unused(open_, unused, idf, mean, k), "claims")
-        won = claims.groupBy("node").agg(F.max(F.struct("score", (-F.col("seed")).alias("seed"))).alias("w")).select("node", (-F.col("w.seed")).alias("window"), "w.score")
-        order = Window.partitionBy("window").orderBy(F.desc("score"), "key", "node")
-        won = won.join(unused, "node").join(open_.select(F.col("node").alias("window"), "filled"), "window")
-        won = won.withColumn("at", (F.col("filled") + F.sum("size").over(order) - F.col("size")).cast("int")).filter(F.col("at") < window)
-        won = materialize(won.withColumn("take", F.least("size", F.lit(window) - F.col("at"))), "won")
-        parts += [
-            won.select("node", F.lit(0).alias("a"), F.col("take").alias("b"), "window", "at"),
-            won.filter("take < size").select("node", F.col("take").alias("a"), F.col("size").alias("b"), F.col("node").alias("window"), F.lit(0).alias("at")),
-        ]
-        # windows that found nothing are done; full ones too; the rest of a document that was cut begins a window
-        asked = claims.select(F.col("seed").alias("node")).distinct()
-        now = won.groupBy(F.col("window").alias("node")).agg(F.max(F.col("at") + F.col("take")).alias("now"))
-        kept = open_.join(asked, "node", "left_semi").join(now, "node", "left").withColumn("filled", F.coalesce("now", "filled")).drop("now").filter(F.col("filled") < window)
-        open_ = materialize(kept.unionByName(won.filter("take < size").select("node", "terms", "key", (F.col("size") - F.col("take")).alias("filled"))), "open")
-        unused = materialize(unused.join(won.select("node"), "node", "left_anti"), "unused")
-        placed = won.count()
-        stalled = 0 if placed else stalled + 1  # seeds without any partner: more of them at once
-        k = k if 8 * placed > left.n else 2 * k  # many windows ask for the same few documents: longer lists
-        turn += 1
-    return reduce(DataFrame.unionByName, parts)
-
-
-def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, neighbours: int = 12, last_docs: int = 32_768) -> DataFrame:
+def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, neighbours: int = 12, shard_docs: int = 4096, most_leaves: int = 256, sample_docs: int = 8192) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every document in one piece. Ids are
-    kept as 16 bits; a tokenizer of more than 65,536 ids is refused."""
+    kept as 16 bits; a tokenizer of more than 65,536 ids is refused. Shards hold some ``shard_docs`` documents at every size of the
+    table; the centres that deal documents to them (``most_leaves`` at most) are fitted on some ``sample_docs`` documents."""
     if (size := tokenizer(path).get_vocab_size(with_added_tokens=True)) > 1 << 16 or not 0 <= separator < 1 << 16:
         raise ValueError(f"{path} has {size} ids and the separator is {separator}: at most 65,536 ids can be packed")
     raw = text_input(docs, id_col, text_col).mapInArrow(_tokenize(path, window, separator), "doc_id long, doc_tokens long, crcs array<long>, rest binary, terms binary, tfs binary")
-    rows = materialize(raw.withColumn("node", F.monotonically_increasing_id()), "tokens")
+    key = F.xxhash64("doc_id", "rest", "terms", "tfs")  # of the content: partners do not depend on how rows are dealt
+    rows = materialize(raw.withColumn("node", F.monotonically_increasing_id()).withColumn("key", key), "tokens")
     n, mean = rows.agg(F.count("*"), F.avg("doc_tokens")).first()
+    mean = float(mean or 1)
     idf = np.zeros(65536, np.float32)  # as long as the vocabulary, whatever the data
     for term, df in rows.select("terms").mapInArrow(_term_counts, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         idf[term] = math.log(1 + (n - df + 0.5) / (df + 0.5))
-    key = F.xxhash64("doc_id", "rest", "terms", "tfs")  # of the content: partners do not depend on how rows are dealt
-    nodes = rows.select("node", key.alias("key"), "terms", "tfs", "doc_tokens", (F.length("rest") / 2).cast("int").alias("size"))
+    rests = rows.filter(F.length("rest") > 0)
+    few = rests.filter((F.length("terms") > 0) & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(n, 1)) * (1 << 30))))
+    leaves = min(most_leaves, math.ceil(n / shard_docs)) or 1
+    vectors = few.select("key", "terms", "tfs", "doc_tokens").mapInArrow(_vectorise(idf, mean), "key long, vector binary")
+    centre = in_one_task(vectors, _centroids(leaves), order="key")
+    routed = rests.select("node", "key", "terms", "tfs", "doc_tokens").mapInArrow(_route(idf, mean, centre), "node long, key long, leaf int, signature long")
+    routed = materialize(routed, "routed")
+    counts = {r.leaf: r.n for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    lots = [max(math.ceil(counts.get(i, 0) / shard_docs), 1) for i in range(len(centre))]
+    base = np.cumsum([0, *lots])
+    # what more than one row in 1024 share (1024 values at most) would make a hot shard: such rows are dealt one by one
+    hot = routed.groupBy("signature").agg(F.count("*").alias("n")).filter(F.col("n") > max(n / 1024, shard_docs / 4)).select("signature", F.lit(True).alias("hot"))
+    dealt = routed.join(F.broadcast(hot), "signature", "left")
+    leaf = F.col("leaf") + 1
+    by = F.when(F.col("hot"), F.xxhash64("key", "node")).otherwise(F.xxhash64("signature"))
+    lot = F.element_at(F.array(*[F.lit(int(b)) for b in base[:-1]]), leaf) + F.pmod(by, F.element_at(F.array(*[F.lit(c) for c in lots]), leaf))
+    shards = rests.select("node", "doc_id", "doc_tokens", "rest", "terms", "tfs").join(dealt.select("node", "key", lot.cast("long").alias("lot")), "node")
+    parts = max(shuffle_width(docs.sparkSession), math.ceil(int(base[-1]) / 4))
+    shards = shards.repartition(parts, "lot").sortWithinPartitions("lot", "key", "node")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     whole = rows.select("doc_id", F.posexplode("crcs").alias("i", "ids_crc32"), "doc_tokens")
     whole = whole.select("doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = _place(nodes, window, idf, float(mean or 1), neighbours, last_docs)
-    lots = max(math.ceil(n / 4000), min(n // 200, shuffle_width(docs.sparkSession)), 1)
-    pieces = placed.join(rows.select("node", "doc_id", "doc_tokens", "rest"), "node").withColumn("lot", F.pmod(F.xxhash64("window"), F.lit(lots)))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return pieces.groupBy("lot").applyInPandas(_fill(window), schema).unionByName(whole)
+    return shards.mapInArrow(_pack_shards(idf, mean, window, neighbours, shard_docs), schema).unionByName(whole)

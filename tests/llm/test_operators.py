@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from huegrain.llm import language_id as lid
@@ -20,7 +21,7 @@ from huegrain.llm.fingerprints import edited, neighbour_fingerprints, order_minh
 from huegrain.llm.jaccard_join import jaccard_components
 from huegrain.llm.license_scan import license_scan
 from huegrain.llm.line_dedup import PerfectHash, line_dedup
-from huegrain.llm.packing import retrieval_pack
+from huegrain.llm.packing import Bm25, best, fill_windows, retrieval_pack
 
 LONG = " ".join(f"word{i % 977} and{i % 31}" for i in range(9000))
 LINE = "This line is the same in Every document"
@@ -149,34 +150,68 @@ def test_packing(docs, none):
     assert retrieval_pack(none, path).count() == 0
 
 
-def test_packing_neighbours(spark):
-    """The search against brute-force BM25 over all documents, in blocks of few; and near copies meet, wherever they are."""
-    from pyspark.sql import functions as F
-
-    from huegrain.llm.packing import best_unused
-
-    random = np.random.default_rng(5)
-    bags = [{int(t): int(c) for t, c in zip(*np.unique(random.zipf(1.3, 60) % 500, return_counts=True))} for _ in range(60)]
+def _bags(n, seed=5):
+    """A block of documents as the packing holds it, its inverse frequencies, and every pair's BM25 score by brute force (weights in steps of 1/64)."""
+    random = np.random.default_rng(seed)
+    bags = [{int(t): int(c) for t, c in zip(*np.unique(random.zipf(1.3, 60) % 500, return_counts=True))} for _ in range(n - 1)] + [{}]
     df = collections.Counter(t for x in bags for t in x)
     idf = np.zeros(65536, np.float32)
     for t, c in df.items():
-        idf[t] = np.log(1 + (60 - c + 0.5) / (c + 0.5))
-    rows = [(i, i, np.array(sorted(x), np.uint16).tobytes(), np.array([x[t] for t in sorted(x)], np.uint32).tobytes(), sum(x.values())) for i, x in enumerate(bags)]
-    table = spark.createDataFrame(rows, "node long, key long, terms binary, tfs binary, doc_tokens long")
-    got = collections.defaultdict(list)
-    for r in best_unused(table.filter("node < 20"), table.filter("node >= 20"), idf, 60.0, 5, block_docs=7).orderBy("seed", F.desc("score")).collect():
-        got[r.seed].append((r.node, r.score))
-    for q in range(20):
-        score = {d: sum(float(idf[t]) * bags[d][t] * 2.2 / (bags[d][t] + 1.2 * (0.25 + 0.75 * sum(bags[d].values()) / 60)) for t in bags[q] if t in bags[d]) for d in range(20, 60)}
-        want = sorted(score.values(), reverse=True)[:5]
-        assert [s for _, s in got[q]] == pytest.approx(want, abs=2e-3) and all(score[d] == pytest.approx(s, abs=2e-3) for d, s in got[q])
+        idf[t] = np.log(1 + (n - c + 0.5) / (c + 0.5))
+    table = pa.table({"terms": [np.array(sorted(x), np.uint16).tobytes() for x in bags], "tfs": [np.array([x[t] for t in sorted(x)], np.uint32).tobytes() for x in bags], "doc_tokens": pa.array([sum(x.values()) for x in bags], pa.int64())})
+    score = [[sum(round(64 * float(idf[t]) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * sum(d.values()) / 60))) / 64 for t in q if t in d) for d in bags] for q in bags]
+    return Bm25(table, idf, 60.0), np.array(score)
+
+
+def test_bm25_of_some_documents():
+    corpus, score = _bags(60)
+    some = np.arange(3, 60, 2)
+    got = corpus.index(some).scores(np.array([5, 0, 59, 41]))
+    assert (got == score[[5, 0, 59, 41]][:, some]).all() and not got[2].any()
+    assert best(np.array([0.0, 2, 3, 2, 0, 2]), 3).tolist() == [2, 1, 3] and best(np.array([0.0, 1, 0]), 9).tolist() == [1] and not len(best(np.zeros(3), 2))
+
+
+@pytest.mark.parametrize("n, batch", [(60, 1), (60, 16), (400, 64), (1, 4)])
+def test_windows_hold_the_best_unused(n, batch):
+    """Every window is replayed against brute-force scores: the best unused, best first, the last one cut; full unless nothing is left."""
+    corpus, score = _bags(n)
+    size = np.random.default_rng(n).integers(1, 101, n)
+    used = np.zeros(n, int)
+    bare, loose = [i for i in range(n) if not score[i, i]], 0
+    for items in fill_windows(corpus, size, 100, 3, batch):
+        seed, room = items[0][0], 100
+        for i, (d, a, b) in enumerate(items):
+            left = [x for x in np.flatnonzero(used < size) if x not in bare and x != seed]
+            if i:
+                assert score[seed, d] == max(score[seed, left])
+            assert a == used[d] and b == min(size[d], a + room)
+            used[d], room = b, room - (b - a)
+        left = [x for x in np.flatnonzero(used < size) if x not in bare]
+        assert not room or seed in bare or not left or not max(score[seed, left])
+        loose += room > 0
+    assert (used == size).all() and loose <= len(bare) + 3
 
+
+def test_packing_neighbours(spark):
+    """Near copies meet, wherever they are, in one shard and in many; groups of copies are no hot shard; results are the same however rows are dealt."""
+    random = np.random.default_rng(5)
     words = [" ".join(f"q{c}x{w}" for w in random.integers(0, 40, 110)) for c in range(450) for _ in range(2)]  # pairs of one topic
-    pairs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string").repartition(5)
-    seqs = collections.defaultdict(set)
-    for r in retrieval_pack(pairs, tokenizer_file("byte_bpe_50k.json")).collect():
-        seqs[r.doc_id].add(r.sequence_id)
-    assert sum(bool(seqs[i] & seqs[i + 1]) for i in range(0, 900, 2)) > 270
+    path = tokenizer_file("byte_bpe_50k.json")
+    for shard_docs in (4096, 100):
+        pairs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
+        seqs, results = collections.defaultdict(set), []
+        for parts in (5, 2):
+            results.append(retrieval_pack(pairs.repartition(parts), path, shard_docs=shard_docs).filter("sequence_id >= 0").collect())
+        for r in results[0]:
+            seqs[r.doc_id].add(r.sequence_id)
+        assert sum(bool(seqs[i] & seqs[i + 1]) for i in range(0, 900, 2)) > 270
+        assert sorted(results[0]) == sorted(results[1])
+    copies = spark.createDataFrame([(i % 50, "the same text " * 40) for i in range(700)] + [(None, None), (None, "x")], "doc_id long, text string").repartition(3)
+    got = retrieval_pack(copies, path, shard_docs=50).collect()
+    lots = collections.Counter()
+    for r in got:
+        lots[r.sequence_id >> 32] += r.length
+    assert len(lots) > 8 and max(lots.values()) < 3 * sum(lots.values()) / len(lots) and sum(lots.values()) == 702 + sum(r.doc_tokens - 1 for r in got if not r.start)
 
 
 def test_fingerprints(docs, none):
