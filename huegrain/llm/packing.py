@@ -377,11 +377,14 @@ def retrieval_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     counts = {r.leaf: r.n for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
     lots = [max(math.ceil(counts.get(i, 0) / shard_docs), 1) for i in range(len(centre))]
     base = np.cumsum([0, *lots])
-    # what more than one row in 1024 share (1024 values at most) would make a hot shard: such rows are dealt one by one
-    hot = routed.groupBy("signature").agg(F.count("*").alias("n")).filter(F.col("n") > max(n / 1024, shard_docs / 4)).select("signature", F.lit(True).alias("hot"))
-    dealt = routed.join(F.broadcast(hot), "signature", "left")
+    # what more than one row in 1024 share (1024 values at most) would make a hot shard: documents of such a term are dealt by content, rows
+    # of such a content one by one
+    dealt = routed
+    for column, mark in (("signature", "hot"), ("key", "same")):
+        many = routed.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") > max(n / 1024, shard_docs / 4))
+        dealt = dealt.join(F.broadcast(many.select(column, F.lit(True).alias(mark))), column, "left")
     leaf = F.col("leaf") + 1
-    by = F.when(F.col("hot"), F.xxhash64("key", "node")).otherwise(F.xxhash64("signature"))
+    by = F.when(F.col("same"), F.xxhash64("key", "node")).when(F.col("hot"), F.xxhash64("key")).otherwise(F.xxhash64("signature"))
     lot = F.element_at(F.array(*[F.lit(int(b)) for b in base[:-1]]), leaf) + F.pmod(by, F.element_at(F.array(*[F.lit(c) for c in lots]), leaf))
     shards = rests.select("node", "doc_id", "doc_tokens", "rest", "terms", "tfs").join(dealt.select("node", "key", lot.cast("long").alias("lot")), "node")
     parts = max(shuffle_width(docs.sparkSession), math.ceil(int(base[-1]) / 4))

@@ -206,7 +206,9 @@ def test_packing_neighbours(spark):
             seqs[r.doc_id].add(r.sequence_id)
         assert sum(bool(seqs[i] & seqs[i + 1]) for i in range(0, 900, 2)) > 270
         assert sorted(results[0]) == sorted(results[1])
-    copies = spark.createDataFrame([(i % 50, "the same text " * 40) for i in range(700)] + [(None, None), (None, "x")], "doc_id long, text string").repartition(3)
+    group = spark.createDataFrame([(i, "the same text " * 40) for i in range(700)], "doc_id long, text string")
+    assert len({tuple(sorted(retrieval_pack(group.repartition(parts), path, shard_docs=50).collect())) for parts in (5, 2)}) == 1
+    copies = spark.createDataFrame([(7, "the same text " * 40) for i in range(700)] + [(None, None), (None, "x")], "doc_id long, text string").repartition(3)
     got = retrieval_pack(copies, path, shard_docs=50).collect()
     lots = collections.Counter()
     for r in got:
