@@ -12,6 +12,7 @@ from .functions import stats as S
 from .functions import text as T
 from .operators import cluster as K
 from .operators import palette as P
+from .operators.transport import entropic_transport
 from .sources import catalogue as src
 from .sources.files import handed_on, once
 
@@ -209,7 +210,8 @@ def farthest_points(spark, d):
 
 def archive_drift(spark, d):
     """Transport distance of each later archive's down-sampled palette, weighted by coverage, to that of the earliest archive of
-    its brand and gender, under CIEDE2000 and regularisation 0.1; a row is one pair of archives."""
+    its brand and gender, under CIEDE2000 and regularisation 0.1; a row is one pair of archives. A base with many later archives
+    is no hot group: pairs are dealt one by one."""
     from .reports import downsample_palettes, drift_pairs
 
     lab = ["lab_l", "lab_a", "lab_b"]
@@ -223,7 +225,7 @@ def archive_drift(spark, d):
             out = []
             for r in pdf.to_dict("records"):
                 (x, p), (y, q) = ((np.stack([r[f"{s}{c}"] for c in lab], 1).astype(float), np.asarray(r[f"{s}perc"], float)) for s in ("base_", ""))
-                distance, met = K.sinkhorn(p / p.sum(), q / q.sum(), K.de00(x, y), reg=0.1, tol=1e-9, rounds=1000)
+                distance, met = entropic_transport(p / p.sum(), q / q.sum(), K.de00(x, y), reg=0.1, tol=1e-9)
                 out.append((r["brand"], r["gender"], r["base_id"], r["archive_id"], r["month"], round(distance, 8), met))
             yield pd.DataFrame(out, columns=["brand", "gender", "base_id", "archive_id", "month", "distance", "converged"])
 
@@ -235,16 +237,16 @@ _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, ar
 
 
 def queries() -> dict:
-    from . import arrangements, clusters, intake, reports, reviews, stores, zones
+    from . import arrangements, clusters, intake, layout, reports, reviews, stores, zones
 
-    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *clusters.ALL, *zones.ALL, *stores.ALL]}
+    return {f.__name__: f for f in [*_ALL, *reports.ALL, *reviews.ALL, *intake.ALL, *arrangements.ALL, *clusters.ALL, *zones.ALL, *layout.ALL, *stores.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
     from .plans.oracles import SQL
-    from .plans import cluster_oracles, intake_oracles, report_oracles, review_oracles, store_oracles
+    from .plans import cluster_oracles, intake_oracles, layout_oracles, report_oracles, review_oracles, store_oracles
 
-    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL, **cluster_oracles.SQL, **store_oracles.SQL}
+    return {**SQL, **report_oracles.SQL, **review_oracles.SQL, **intake_oracles.SQL, **cluster_oracles.SQL, **layout_oracles.SQL, **store_oracles.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
