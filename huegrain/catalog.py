@@ -216,7 +216,7 @@ def archive_drift(spark, d):
 
     lab = ["lab_l", "lab_a", "lab_b"]
     palettes = downsample_palettes(spark, d).filter("perc > 0").groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("place", *lab, "perc"))).alias("colors"))
-    palettes = palettes.select("archive_id", *(F.col(f"colors.{c}").alias(c) for c in (*lab, "perc")))
+    palettes = handed_on(palettes.select("archive_id", *(F.col(f"colors.{c}").alias(c) for c in (*lab, "perc"))))
     base = palettes.select(F.col("archive_id").alias("base_id"), *(F.col(c).alias(f"base_{c}") for c in (*lab, "perc")))
     pairs = drift_pairs(spark, d).join(palettes, "archive_id").join(base, "base_id")
 

