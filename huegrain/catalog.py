@@ -12,7 +12,7 @@ from .functions import stats as S
 from .functions import text as T
 from .operators import cluster as K
 from .operators import palette as P
-from .operators.transport import entropic_transport
+from .operators.transport import pair_distances, palettes_in_rows
 from .sources import catalogue as src
 from .sources.files import handed_on, once
 
@@ -210,27 +210,11 @@ def farthest_points(spark, d):
 
 def archive_drift(spark, d):
     """Transport distance of each later archive's down-sampled palette, weighted by coverage, to that of the earliest archive of
-    its brand and gender, under CIEDE2000 and regularisation 0.1; a row is one pair of archives. A base with many later archives
-    is no hot group: pairs are dealt one by one."""
+    its brand and gender, under CIEDE2000 and regularisation 0.1; a row is one pair of archives."""
     from .reports import downsample_palettes, drift_pairs
 
-    lab = ["lab_l", "lab_a", "lab_b"]
-    palettes = downsample_palettes(spark, d).filter("perc > 0").groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("place", *lab, "perc"))).alias("colors"))
-    palettes = handed_on(palettes.select("archive_id", *(F.col(f"colors.{c}").alias(c) for c in (*lab, "perc"))))
-    base = palettes.select(F.col("archive_id").alias("base_id"), *(F.col(c).alias(f"base_{c}") for c in (*lab, "perc")))
-    pairs = drift_pairs(spark, d).join(palettes, "archive_id").join(base, "base_id")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                (x, p), (y, q) = ((np.stack([r[f"{s}{c}"] for c in lab], 1).astype(float), np.asarray(r[f"{s}perc"], float)) for s in ("base_", ""))
-                distance, met = entropic_transport(p / p.sum(), q / q.sum(), K.de00(x, y), reg=0.1, tol=1e-9)
-                out.append((r["brand"], r["gender"], r["base_id"], r["archive_id"], r["month"], round(distance, 8), met))
-            yield pd.DataFrame(out, columns=["brand", "gender", "base_id", "archive_id", "month", "distance", "converged"])
-
-    wide = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive_id")  # the work is in the rows, not in their bytes
-    return wide.mapInPandas(run, "brand string, gender string, base_id long, archive_id long, month string, distance double, converged boolean")
+    palettes = handed_on(palettes_in_rows(downsample_palettes(spark, d), ["place"]))
+    return pair_distances(drift_pairs(spark, d).select("brand", "gender", "base_id", "archive_id", "month"), palettes)
 
 
 _ALL = [palette_hsb_coverage, palette_hex, palette_merge, archetype_products, archetype_distribution, archetype_crosstab, coverage_quantiles, gender_rules, discount_baseline, cluster_tests, cluster_centroids, temporal_cube, month_window, smoothed_deviation, palette_pair_de00, keyword_exclusion, keyword_map, term_statistics, attrition, label_confusion, sample_sizes, unprocessed_archives, recent_archives, zone_price_tests, rand_index, hue_families, farthest_points, archive_drift]

@@ -85,12 +85,22 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: str, required: tupl
     return rows
 
 
-def append_missing(df: DataFrame, path: str, by: str, partition: str | None = None) -> int:
+def missing(df: DataFrame, path: str, by: str | list[str]) -> DataFrame:
+    """The rows of those values of ``by`` that the table at ``path`` does not hold; all where there is no table yet. No value is null."""
+    if not exists(df.sparkSession, path):
+        return df
+    return df.join(df.sparkSession.read.parquet(path).select(by).distinct(), by, "left_anti").select(*df.columns)
+
+
+def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; without rows where nothing was appended yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def append_missing(df: DataFrame, path: str, by: str | list[str], partition: str | None = None) -> int:
     """Append the rows of those values of ``by`` that the table at ``path`` does not hold yet; their number of values. An append is
     committed whole or not at all, so a run that was cut off is made good by the next one."""
-    spark = df.sparkSession
-    if exists(spark, path):
-        df = df.join(spark.read.schema(df.schema).parquet(path).select(by).distinct(), by, "left_anti").select(*df.columns)
+    df = missing(df, path, by)
     fresh = df.select(by).distinct().count()
     if fresh:
         rows = df.repartition(F.col(partition)).write.partitionBy(partition) if partition else df.write
