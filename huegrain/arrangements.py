@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from .operators import orders as O
 from .operators import palette as P
 from .reports import SWEEPS, labelled, pairs_of
 from .sources import catalogue as src
+from .sources.files import handed_on, release
 
 E = F.expr
 LAB = ["lab_l", "lab_a", "lab_b"]
@@ -110,33 +112,61 @@ def merge_tree(spark, d):
     return spark.createDataFrame([(name, float(round(tree.featureImportances[i], 4)), text) for i, name in enumerate(TREE)], "feature string, importance double, rules string")
 
 
-def _accuracy(spark: SparkSession, w: DataFrame, constant: str, values: list[int], rule: dict[str, int], folds: int = 5) -> DataFrame:
-    """(fold, candidate, right, pairs) of each value of one constant, the others as in ``rule``; groups by closure."""
-    bits = lambda said: E(" + ".join(f"CASE WHEN {said(i, j)} THEN {1 << k} ELSE 0 END" for k, (i, j) in enumerate(P.PAIRS)))
-    t = w.withColumn("candidate", F.explode(F.array(*map(F.lit, values))))
-    t = t.select("fold", "candidate", "pairs", "same", bits(lambda i, j: P.merges(i, j, **{**rule, constant: "candidate"})).alias("one"))
-    t = t.withColumn("grouped", F.element_at(F.array(*map(F.lit, P.closed_pairs())), F.col("one") + 1))
-    return t.groupBy("fold", "candidate").agg(E("sum(bit_count(pairs & ~(grouped ^ same)))").alias("right"), E("sum(bit_count(pairs))").alias("pairs"))
+MEASURES = ("dl", "dh", "lo", "hi")
+
+
+def laid_out(w: DataFrame, folds: int = 5) -> DataFrame:
+    """A product's fold, which of its pairs there are (``pairs``), which the labels make one (``same``), a bit each, and its pairs' measures as
+    bytes, written once: every step of the tuning reads them. The rule's constants are whole numbers from 0 to 126, so x < v is floor(x) < v and
+    x <= v is ceil(x) <= v, and no more than 127 need be told apart."""
+    bits = lambda said: E(" + ".join(f"CASE WHEN {said(i, j)} THEN {1 << k} ELSE 0 END" for k, (i, j) in enumerate(P.PAIRS))).cast("short")
+    byte = lambda k, i, j: E(f"cast(coalesce(least({'ceil' if k == 'dl' else 'floor'}({k}{i}{j}), 127), 127) as tinyint)").alias(f"{k}{i}{j}")
+    return handed_on(w.select(F.pmod(F.xxhash64("instance_id"), F.lit(folds)).cast("tinyint").alias("fold"), bits(lambda i, j: f"dl{i}{j} IS NOT NULL").alias("pairs"), bits(lambda i, j: f"dl{i}{j} IS NOT NULL AND u{i} = u{j}").alias("same"), *(byte(k, i, j) for k in MEASURES for i, j in P.PAIRS)))
+
+
+def _accuracy(t: DataFrame, constant: str, values: list[int], rule: dict[str, int], folds: int = 5) -> DataFrame:
+    """(fold, candidate, right, pairs) of each value of one constant over ``laid_out`` products, the others as in ``rule``; groups by closure."""
+    assert all(isinstance(v, int) and 0 <= v <= 126 for v in (*values, *rule.values())), "the measures are told apart from 0 to 126"
+    closed, ones = np.array(P.closed_pairs(), "int16"), np.array([m.bit_count() for m in range(1 << len(P.PAIRS))], "int8")
+
+    def run(batches):
+        right, pairs = np.zeros((len(values), folds)), np.zeros(folds)
+        for batch in batches:
+            fold, there, same = (batch.column(c).to_numpy() for c in ("fold", "pairs", "same"))
+            dl, dh, lo, hi = (np.stack([batch.column(f"{k}{i}{j}").to_numpy() for i, j in P.PAIRS]) for k in MEASURES)
+            pairs += np.bincount(fold, ones[there], folds)
+            for at, value in enumerate(values):
+                r = {**rule, constant: value}
+                grey = hi < max(r["low_chroma_merge"], r["neutral_chroma"])
+                one = np.where(grey, dl <= r["low_chroma_max_delta_l"], (lo >= r["neutral_chroma"]) & (dh < r["hue_merge"]))
+                mask = np.zeros(len(fold), "int16")
+                for k, said in enumerate(one):
+                    mask |= said.astype("int16") << k
+                right[at] += np.bincount(fold, ones[there & ~(closed[mask & there] ^ same)], folds)
+        rows = [(k, v, int(right[at, k]), int(pairs[k])) for at, v in enumerate(values) for k in range(folds) if pairs[k]]
+        yield pa.RecordBatch.from_pylist([dict(zip(("fold", "candidate", "right", "pairs"), row)) for row in rows], pa.schema([("fold", pa.int64()), ("candidate", pa.int32()), ("right", pa.int64()), ("pairs", pa.int64())]))
+
+    return t.mapInArrow(run, "fold long, candidate int, right long, pairs long").groupBy("fold", "candidate").agg(F.sum("right").alias("right"), F.sum("pairs").alias("pairs"))
 
 
 def tune_rule(spark, d, rounds: int = 3, folds: int = 5):
     """The merge rule's constants tuned to the labels one after another, three times (greedy coordinate descent): each step's best value,
     its accuracy, and the mean gain on held-out folds of products when the value is chosen on the others."""
-    bits = lambda said: E(" + ".join(f"CASE WHEN {said(i, j)} THEN {1 << k} ELSE 0 END" for k, (i, j) in enumerate(P.PAIRS)))
-    w = labelled(spark, d).select(F.pmod(F.xxhash64("instance_id"), F.lit(folds)).alias("fold"), *(f"{k}{i}{j}" for k in ("dl", "dh", "lo", "hi") for i, j in P.PAIRS), bits(lambda i, j: f"dl{i}{j} IS NOT NULL").alias("pairs"), bits(lambda i, j: f"dl{i}{j} IS NOT NULL AND u{i} = u{j}").alias("same"))
+    t = laid_out(labelled(spark, d), folds)
     rule, steps, settled = dict(P.RULE), [], False
     for turn in range(rounds):
         if settled:  # a round that changed nothing: so will the next
             break
         settled = True
         for constant, values in SWEEPS.items():
-            counts = _accuracy(spark, w, constant, sorted({*values, rule[constant]}), rule, folds).collect()  # a row a fold and candidate
+            counts = _accuracy(t, constant, sorted({*values, rule[constant]}), rule, folds).collect()  # a row a fold and candidate
             score = lambda v, keep: (lambda r, p: r / p if p else 0.0)(*(sum(x[c] for x in counts if x.candidate == v and keep(x.fold)) for c in ("right", "pairs")))
             best = max([rule[constant], *values], key=lambda v: score(v, lambda f: True))  # the present value wins ties, then the first
             held = [(score(max([rule[constant], *values], key=lambda v: score(v, lambda f: f != k)), lambda f: f == k), score(rule[constant], lambda f: f == k)) for k in range(folds)]
             gain = round(sum(a - b for a, b in held) / folds, 6)
             steps.append((turn, constant, rule[constant], best, round(score(best, lambda f: True), 6), gain))
             settled, rule = settled and best == rule[constant], {**rule, constant: best}
+    release(t)
     return spark.createDataFrame(steps, "round int, constant string, before int, best int, accuracy double, held_out_gain double")
 
 

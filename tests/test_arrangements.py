@@ -80,6 +80,24 @@ def test_tuning(spark):
     assert sweep[first.constant, first.best] == pytest.approx(100 * first.accuracy, abs=1e-3) == pytest.approx(max(v for (c, _), v in sweep.items() if c == first.constant), abs=1e-3)
 
 
+def test_tuning_reads_products_once(spark):
+    """A step reads the table that was laid out, without the catalogue's lines, and counts what the rule's own expressions say, at values on
+    the measures and between them."""
+    w = A.labelled(spark, "/root/testdata/sf0.001")
+    t = A.laid_out(w)
+    values = [2, 8, 10, 25, 35, 60]
+    for constant in P.RULE:
+        got = A._accuracy(t, constant, values, P.RULE)
+        assert "lineitem" not in got._jdf.queryExecution().toString()
+        one = lambda v: [f"{P.merges(i, j, **{**P.RULE, constant: v})}" for i, j in P.PAIRS]  # noqa: B023, E731
+        for v in (8, 25):
+            g = P.closure(w, lambda i, j: one(v)[P.PAIRS.index((i, j))], "h")  # noqa: B023
+            right = " + ".join(f"CASE WHEN dl{i}{j} IS NOT NULL AND (h{i} = h{j}) = (u{i} = u{j}) THEN 1 ELSE 0 END" for i, j in P.PAIRS)
+            want = g.selectExpr("pmod(xxhash64(instance_id), 5) AS fold", f"{right} AS r").groupBy("fold").sum("r").collect()
+            assert sorted(tuple(r) for r in want) == sorted((r.fold, r.right) for r in got.collect() if r.candidate == v)
+    A.release(t)
+
+
 def test_colors_rounded_half_to_even(spark):
     rows = spark.createDataFrame([(0.5 / 255,), (1.5 / 255,), (2.5 / 255,), (254.6 / 255,)], "c double")
     assert [r[0] for r in rows.selectExpr(C.byte_of("c", True)).collect()] == [0, 2, 2, 255] and [r[0] for r in rows.selectExpr(C.byte_of("c")).collect()] == [0, 1, 2, 254]
