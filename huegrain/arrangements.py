@@ -104,8 +104,9 @@ def merge_tree(spark, d):
     from pyspark.ml.feature import VectorAssembler
 
     p = pairs_of(labelled(spark, d), "instance_id").withColumn("far", E("sqrt(power(l1 - l2, 2) + power(a1 - a2, 2) + power(b1 - b2, 2))"))
-    p = p.select(*TREE, E("cast(same as double)").alias("label")).fillna(180.0, "dhue")
+    p = handed_on(p.select(*TREE, E("cast(same as double)").alias("label")).fillna(180.0, "dhue"))  # the fit reads it several times
     tree = DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=20, seed=42).fit(VectorAssembler(inputCols=TREE, outputCol="features").transform(p))
+    release(p)
     text = tree.toDebugString.split("\n", 1)[1]
     for i, name in enumerate(TREE):
         text = text.replace(f"(feature {i} ", f"({name} ")

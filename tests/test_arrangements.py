@@ -98,6 +98,14 @@ def test_tuning_reads_products_once(spark):
     A.release(t)
 
 
+def test_tree_reads_written_pairs(spark, monkeypatch):
+    """The fit, which reads its rows several times, reads them from a table, which goes afterwards."""
+    seen = []
+    monkeypatch.setattr(A, "handed_on", lambda df: seen.append(files.handed_on(df)) or seen[-1])
+    assert sum(r.importance for r in A.merge_tree(spark, "/root/testdata/sf0.001").collect()) == pytest.approx(1, abs=1e-3)
+    assert [t.columns for t in seen] == [[*A.TREE, "label"]] and not files.exists(spark, seen[0]._written)
+
+
 def test_colors_rounded_half_to_even(spark):
     rows = spark.createDataFrame([(0.5 / 255,), (1.5 / 255,), (2.5 / 255,), (254.6 / 255,)], "c double")
     assert [r[0] for r in rows.selectExpr(C.byte_of("c", True)).collect()] == [0, 2, 2, 255] and [r[0] for r in rows.selectExpr(C.byte_of("c")).collect()] == [0, 1, 2, 254]
